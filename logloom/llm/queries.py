@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, caps, chat, exact, langid, minhash, packing, quality, url_rules
+from . import byte_bpe, caps, chat, exact, langid, minhash, packing, quality, suffix, url_rules
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.mine(url_rules.labelled(pages, table(spark, sf_dir, "labels"))))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.links(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_minhash": op5_minhash,
     "op6_url_filter": op6_url_filter,
+    "op7_suffix_array": op7_suffix_array,
     "op8_embedding_links": op8_embedding_links,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
