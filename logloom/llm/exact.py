@@ -181,11 +181,19 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of one text are dealt to so many tasks by their id.
+SALTS = 16
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, that with the largest doc_id; columns stay as they are."""
+    """One row of each group of equal texts, that with the largest doc_id; columns stay as they are.
+
+    Rows meet their group by (text, salt of the id), so that a large group is spread; rows that agree in both text
+    and id share the salt, and one of them is taken without a further shuffle."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__sha", F.unhex(F.sha2(text.cast("binary"), 256))).join(_classes(docs, text), "__sha", "left")
-    alone = rows.where("__n is null").select(*docs.columns)
-    first = rows.where(F.col("__n").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep")))
-    first = first.withColumn("__at", F.row_number().over(W.partitionBy("__sha").orderBy("doc_id"))).where("__at = 1")
-    return alone.unionByName(first.select(*docs.columns))
+    salt = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SALTS)).cast("int")
+    found = _classes(docs, text).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.withColumns({"__sha": F.unhex(F.sha2(text.cast("binary"), 256)), "__salt": salt}).join(found, ["__sha", "__salt"], "left")
+    kept = rows.where(F.col("__n").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
+    at = F.when(F.col("__n").isNull(), 1).otherwise(F.row_number().over(W.partitionBy("__sha", "__salt").orderBy("doc_id")))
+    return kept.withColumn("__at", at).where("__at = 1").select(*docs.columns)
