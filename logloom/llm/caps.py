@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, cut, group_bounds
-from .linking import blocked, components, dealt, local_roots, pairs_in_groups
+from .linking import blocked, components, dealt, pairs_in_groups
 
 FILTERS, SIGNS = 40, 128
 #: Differing sign bits beyond which a pair is not near: at 0.95, 13 of 128 are expected, with a deviation of 3.4.
@@ -139,47 +139,48 @@ def active(members: DataFrame) -> DataFrame:
     return dealt(blocked(members, "key", "node"), "key").mapInArrow(run, "key long, node long").distinct()
 
 
-def _smallest_shared(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of sorted key lists (rows padded with -1 and -2 apart), the smallest that rows i and j share."""
-    out = np.empty(len(i), dtype="i8")
-    step = max(1, 4_000_000 // keys.shape[1] ** 2)
-    for a in range(0, len(i), step):
-        x, y = keys[i[a : a + step]], keys[j[a : a + step]]
-        shared = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
-        out[a : a + step] = np.where(shared, x, np.iinfo("i8").max).min(1)
-    return out
+def _shares_smaller(lists: list, key: int) -> np.ndarray:
+    """Which pairs of rows share a filter smaller than ``key``, by one product of incidence matrices."""
+    own = [np.asarray(k, dtype="i8") for k in lists]
+    own = [k[k < key] for k in own]
+    flat = np.concatenate(own)
+    if not len(flat):
+        return np.zeros((len(own), len(own)), dtype=bool)
+    _, place = np.unique(flat, return_inverse=True)
+    held = np.zeros((len(own), int(place.max()) + 1), dtype="f4")
+    held[np.repeat(np.arange(len(own)), [len(k) for k in own]), place] = 1
+    return held @ held.T > 0
 
 
 def linked(rows: DataFrame, least: float) -> DataFrame:
-    """From blocked rows (key, node, vector, keys, many): node, n (links within the group), root (of the group's links)."""
+    """From blocked rows (key, node, vector, keys, many): node, n (links within the group), root (of the group's links).
+
+    A group is at most two blocks, so its cosines and shared filters are two matrix products of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in by_group(batches, ["key", "lo", "hi"], 4_000):
+        for whole in by_group(batches, ["key", "lo", "hi"], 2_000):
             node, key, lo, hi, block, group = _groups(whole)
-            lists = whole.column("keys").to_pylist()
-            wide = max(map(len, lists))
-            keys = np.array([sorted(k) + [-1] * (wide - len(k)) for k in lists], dtype="i8")
-            raw, many = whole.column("vector").to_pylist(), whole.column("many").to_numpy()
-            size = np.array([len(r) // 8 for r in raw])
-            x = np.zeros((len(raw), size.max()))
-            for k, r in enumerate(raw):
-                x[k, : size[k]] = np.frombuffer(r, dtype="f8")
-            total, links = np.zeros(len(node), dtype="i8"), []
-            for i, j in pairs_in_groups(group, block, lo, hi, 20_000):
-                use = np.einsum("ij,ij->i", x[i], x[j]) >= least
-                i, j = i[use], j[use]
-                if not len(i):
+            lists, raw, many = whole.column("keys").to_pylist(), whole.column("vector").to_pylist(), whole.column("many").to_numpy()
+            total, root, linked_ = np.zeros(len(node), dtype="i8"), np.arange(len(node)), np.zeros(len(node), dtype=bool)
+            bounds = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(node))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                x = np.frombuffer(b"".join(raw[a:b]), dtype="f8").reshape(b - a, -1)  # a key holds vectors of one length
+                near = x @ x.T >= least
+                near &= True if lo[a] == hi[a] else block[a:b, None] != block[None, a:b]
+                np.fill_diagonal(near, False)
+                if not near.any():
                     continue
-                links.append((i, j))
-                first = _smallest_shared(keys, i, j) == key[i]
-                i, j = i[first], j[first]
-                total += np.bincount(i, many[j], len(node)).astype("i8") + np.bincount(j, many[i], len(node)).astype("i8")
-            if links:
-                i, j = (np.concatenate(c) for c in zip(*links))
-                root = node[local_roots(len(node), i, j)]
-                use = np.zeros(len(node), dtype=bool)
-                use[i] = use[j] = True
-                yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(total[use]), pa.array(root[use])], names=["node", "n", "root"])
+                linked_[a:b] = near.any(1)
+                total[a:b] = (near & ~_shares_smaller(lists[a:b], int(key[a]))) @ many[a:b]
+                at = np.arange(b - a)
+                while True:
+                    low = np.minimum(at, np.where(near, at[None, :], b - a).min(1))
+                    if np.array_equal(low, at):
+                        break
+                    at = low
+                root[a:b] = a + at
+            if linked_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked_]), pa.array(total[linked_]), pa.array(node[root[linked_]])], names=["node", "n", "root"])
 
     return dealt(rows, "key").mapInArrow(run, "node long, n long, root long")
 

@@ -47,21 +47,6 @@ def pairs_in_groups(group: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest place that each place reaches over the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        np.minimum.at(root, before[i], low)
-        np.minimum.at(root, before[j], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of an edge, comp being the smallest node it reaches.
 
