@@ -84,13 +84,25 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    #: Letters whose lower case is the tokenizer's own, before or after it composes characters.
+    _PLAIN = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
+    #: A run of these after a letter or digit is a match of the tokenizer's pattern of its own.
+    _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if self._AWKWARD.search(t) else t.split() for t in texts]
+        cuts = [None if self._AWKWARD.search(t) else (t if self._PLAIN.search(t) else t.lower()).split() for t in texts]
         if len(self.words) > CACHE:
             used = set().union(*(w for w in cuts if w)) & self.words.keys()
             self.words = {w: self.words[w] for w in used}
-        fresh = list(set().union(*(w for w in cuts if w)) - self.words.keys())
+        parts: dict[str, tuple[str, ...]] = {}
+        for word in set().union(*(w for w in cuts if w)) - self.words.keys():
+            head = word.rstrip(self._TAIL)
+            parts[word] = (head, word[len(head) :]) if head and head != word and head[-1].isalnum() and not self._PLAIN.search(head[-1]) else (word,)
+        fresh = list(set().union(*parts.values()) - self.words.keys())
         self.words.update(zip(fresh, self._plain(fresh)))
+        for word, own in parts.items():
+            if len(own) > 1:
+                self.words[word] = self.words[own[0]] + self.words[own[1]]
         get = self.words.__getitem__
         return [self._plain([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, cuts)]
 
