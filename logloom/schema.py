@@ -53,8 +53,12 @@ def parse_role(text: str | None) -> str | None:
     return ROLES.get(text.lower()) if isinstance(text, str) else None
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """From ``name type`` pairs; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (pair.split() for pair in spec.split(","))])
 
 
 USAGE_COLUMNS = (
