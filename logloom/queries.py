@@ -163,11 +163,11 @@ def _duck_prices() -> str:
     return f"CASE WHEN total_tokens > 0 AND input_tokens + output_tokens + cache_read_tokens + cache_write_tokens = total_tokens AND component_total_tokens = total_tokens AND {modes} AND ({direct}) THEN CASE {' '.join(rows)} END END"
 
 
-@register("usage_list_price", _usage_sql(f"SELECT conversation_id, idx, round(usd, 8) AS usd FROM (SELECT *, {_duck_prices()} AS usd FROM t) WHERE usd IS NOT NULL"))
+@register("usage_list_price", _usage_sql(f"SELECT conversation_id, idx, round(usd, 8) AS usd FROM (SELECT *, {_duck_prices()} AS usd FROM t)"))
 def usage_list_price(spark, sf_dir):
     rows = U.select_rows(A.usage_rows(spark, sf_dir), UsageFilters())
     rows = cost.with_list_cost(rows).withColumnRenamed("list_usd", "usd")
-    return rows.where("usd is not null").select("conversation_id", "idx", F.round("usd", 8).alias("usd"))
+    return rows.select("conversation_id", "idx", F.round("usd", 8).alias("usd"))
 
 
 @register("usage_list_cost_totals", _usage_sql(f"SELECT {_DUCK_TOTALS}, {_DUCK_LIST} FROM (SELECT *, {_duck_prices()} AS usd FROM t)"))
