@@ -11,9 +11,10 @@ nothing.  Documents with equal sets are one node.  Nodes whose sets have a Jacca
    (at 0.8, with a probability below 1e-7).
 2. In each bucket every node is paired with one centre, another in every band.  Of these pairs, each node first
    confirms that with the smallest node; then all pairs whose nodes are not connected yet.
-3. Buckets that still hold nodes of different components are dealt out in blocks, and all of their pairs across
-   components that the sketches pass are confirmed as well.  So no link that decides a component is left out, and
-   no bucket's pairs are listed.
+3. Nodes that the sketched pairs hang together are a group.  Groups that still hold several components are dealt
+   out in blocks with their hashed sets; where two blocks meet, all of their pairs across components that the sketches
+   pass are decided, and a forest of the links goes on.  Pairs of two groups that share a bucket are compared by
+   sketch in blocks of the bucket.  So no link that decides a component is left out, and no group's pairs are listed.
 
 Links are confirmed on the full sets of shingles of the texts.  A null text is an empty one; a null doc_id is
 linked with nothing and kept; rows with one doc_id count as one document where their texts agree; further columns are not read by ``classes`` and
@@ -188,19 +189,127 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     more = cut(_confirmed(open_, texts, width, percent), "edges")
     edges = edges.unionByName(more)
     comps = cut(components(edges), "comps")
-    # buckets that still hold several components
-    labelled = shared.where("n > 2").select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(several, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
+    # groups that sketches hang together, and that still hold several components
+    groups = cut(components(star).select("node", F.col("comp").alias("grp")), "groups")
+    apart = nodes.select("node", "sketch").join(groups, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    inner = cut(_inner(_several(apart, "grp"), texts, width, percent), "inner")
+    # links between such groups, in buckets of more than one
+    labelled = shared.where("n > 2").select("key", "node").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    mixed = _several(labelled, "key", "grp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    outer = cut(_outer(mixed.join(nodes.select("node", "sketch"), "node")), "outer")
+    late = cut(inner.unionByName(outer).distinct(), "late")
+    if late.isEmpty():
+        return signed, comps
+    texts = _texts(docs, signed, late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))), width)
+    more = cut(_confirmed(late, cut(texts, "texts"), width, percent), "edges")
+    return signed, cut(components(edges.unionByName(more)), "comps")
+
+
+def _several(rows: DataFrame, key: str, label: str = "comp") -> DataFrame:
+    """The rows of keys that hold more than one label."""
+    several = rows.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo < hi").select(key)
+    return rows.join(several, key, "left_semi")
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x and y the sketches pass."""
+    out = np.empty((len(x), len(y)), dtype=bool)
+    for a in range(0, len(x), 64):
+        out[a : a + 64] = np.bitwise_count(x[a : a + 64, None] ^ y).sum(2) <= MOST_BITS
+    return out
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, by products of 0/1 matrices of a few columns at a time."""
+    sizes = [len(s) for s in (*x, *y)]
+    _, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), dtype="f4")
+    for low in range(0, int(column[-1]) + 1, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        dense = np.zeros((len(sizes), 4096), dtype="f4")
+        dense[row[a:b], column[a:b] - low] = 1
+        out += dense[: len(x)] @ dense[len(x) :].T
+    return out.astype("i8")
+
+
+def _inner(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within groups (grp, node, comp, sketch): every pair of two components that the sketches pass is decided on
+    the hashed sets where its blocks meet, and of the links found there a forest over components goes on.
+
+    A group has some two dozen blocks, of 64 rows at least; blocks do not pass 1024 rows or 2^18 shingles on average,
+    so that further rows make more blocks."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Hashes()
+        for batch in batches:
+            for part in slices(batch, 4_000_000):
+                found = [hashed(words_of(t), width, cache) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in found], pa.binary())], names=["node", "hashes"])
+
+    wanted = texts.join(rows.select("node"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, hashes binary")
+    full = cut(rows.join(wanted, "node"), "sets")
+    n = full.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.length("hashes") / 8).alias("all"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.greatest(F.lit(64), F.least(F.lit(1024), F.ceil(F.col("n") / 24)))), F.ceil(F.col("all") / (1 << 18)))
+    each = full.join(n.select("grp", blocks.cast("int").alias("__b")), "grp").withColumn("block", F.pmod(F.xxhash64("node", "grp"), F.col("__b")).cast("int"))
+    each = each.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    each = each.withColumns({"lo": F.least("block", "__o"), "hi": F.greatest("block", "__o")}).drop("__b", "__o")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in by_group(batches, ["grp", "lo", "hi"], 1):
+            node, comp, block, group, lo, hi = (whole.column(c).to_numpy() for c in ("node", "comp", "block", "grp", "lo", "hi"))
+            bounds = group_bounds(group, lo, hi)
+            for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                x = np.arange(p, q) if lo[p] == hi[p] else p + np.flatnonzero(block[p:q] == lo[p])
+                y = x if lo[p] == hi[p] else p + np.flatnonzero(block[p:q] == hi[p])
+                sketch = _bits(whole.column("sketch").slice(p, q - p))
+                near = _near(sketch[x - p], sketch[y - p]) & (comp[x][:, None] != comp[y])
+                x, y, near = x[near.any(1)], y[near.any(0)], near[near.any(1)][:, near.any(0)]
+                if not near.size:
+                    continue
+                u, v = ([np.frombuffer(whole.column("hashes")[k].as_py(), dtype="u8") for k in at.tolist()] for at in (x, y))
+                same = _common(u, v)
+                total = np.array([len(s) for s in u])[:, None] + np.array([len(s) for s in v])
+                i, j = np.nonzero(near & (100 * same >= percent * (total - same)))
+                found = _forest(node[x[i]], node[y[j]], comp[x[i]], comp[y[j]])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return dealt(each, "grp").mapInArrow(links, "a long, b long")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (a, b) between components as many as hang the same components together."""
+    top: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (up := top.get(k, k)) != k:
+            top[k] = top.get(up, up)
+            k = up
+        return k
+
+    out = []
+    for x, y, p, q in zip(a.tolist(), b.tolist(), ca.tolist(), cb.tolist()):
+        p, q = root(p), root(q)
+        if p != q:
+            top[p] = q
+            out.append((min(x, y), max(x, y)))
+    return out
+
+
+def _outer(rows: DataFrame) -> DataFrame:
+    """Pairs in buckets (key, node, grp, comp, sketch) of two groups and two components that the sketches pass."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in by_group(batches, ["key", "lo", "hi"], 20_000):
-            node, comp, block, key, lo, hi = (whole.column(c).to_numpy() for c in ("node", "comp", "block", "key", "lo", "hi"))
+            node, comp, grp, block, key, lo, hi = (whole.column(c).to_numpy() for c in ("node", "comp", "grp", "block", "key", "lo", "hi"))
             sketch = _bits(whole.column("sketch"))
             bounds = group_bounds(key, lo, hi)
             group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             for i, j in pairs_in_groups(group, block, lo, hi, 100_000):
-                use = comp[i] != comp[j]
+                use = (comp[i] != comp[j]) & (grp[i] != grp[j])
                 i, j = i[use], j[use]
                 use = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= MOST_BITS
                 if use.any():
@@ -208,13 +317,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
                     found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    found = dealt(blocked(rest, "key", "node"), "key").mapInArrow(near, "a long, b long").distinct()
-    late = cut(found.join(star, ["a", "b"], "left_anti"), "late")
-    if late.isEmpty():
-        return signed, comps
-    texts = _texts(docs, signed, late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))), width)
-    more = cut(_confirmed(late, cut(texts, "texts"), width, percent), "edges")
-    return signed, cut(components(edges.unionByName(more)), "comps")
+    return dealt(blocked(rows, "key", "node"), "key").mapInArrow(near, "a long, b long").distinct()
 
 
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
