@@ -9,7 +9,8 @@ its bytes alone, so equal strings can be brought together by such a value withou
    with a count, collapsed before the shuffle.
 3. Contexts of an anchor are one group.  A group with more than ``GROUP`` different contexts is split: its runs
    are cut where further anchors in the windows' first and last thirds change, and those belong to the key; what is
-   still large is cut into single windows, whose keys are their bytes, so that a group is one context.
+   still large, by those in the first and last ninths; what is large even then is cut into single windows, whose keys
+   are their bytes, so that a group is one context.
 4. In each batch of whole groups, an enhanced suffix array (suffixes by prefix doubling, common prefixes from the
    doubling's ranks) is scanned with a stack for its common-prefix intervals.  An interval of ``length`` or more whose
    suffixes do not all continue one left byte is a maximal repeat within the contexts, with all occurrences.  They
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 
 LENGTH, ANCHOR, SUB, GROUP = 400, 64, 32, 512
+#: Times that large groups are split; the last time into single windows.
+LEVELS = 3
 #: Bytes of contexts in one suffix array.
 BATCH = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -92,12 +95,12 @@ def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
 
 
 def finer(key: int, context: bytes, level: int, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(key, first, last) of parts of a context's windows: level 1 by further anchors, level 2 single windows."""
+    """(key, first, last) of parts of a context's windows: levels 1 and 2 by further anchors, level 3 single windows."""
     n = len(context) - length + 1
-    if level == 2:
+    if level == LEVELS:
         return [(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(context[i : i + length])))), i, i) for i in range(n)]
     h = gram_hashes(np.frombuffer(context, dtype="u1"), SUB)
-    w = length // 3 - SUB + 1
+    w = max(1, length // 3**level - SUB + 1)
     at = window_argmin(h, w)
     left, right = at[:n], at[length - SUB - w + 1 : length - SUB - w + 1 + n]
     first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
@@ -292,7 +295,7 @@ def _solved(contexts: DataFrame, length: int) -> DataFrame:
     """ident, begin, stop of covered spans, from distinct contexts (key, context, ident, many)."""
     at = contexts.select("key", "context", F.col("ident").alias("parent"), F.lit(0).cast("long").alias("shift"), "many")
     found = None
-    for level in (0, 1, 2):
+    for level in range(LEVELS + 1):
         if level:
             at = _split(at, level, length)
         at = at.withColumn("ident", F.unhex(F.md5(F.concat(F.col("context"), F.col("key").cast("string").cast("binary")))))
@@ -300,12 +303,12 @@ def _solved(contexts: DataFrame, length: int) -> DataFrame:
         own = at.groupBy("key", "ident").agg(F.sum("many").alias("many"))
         size = own.groupBy("key").agg(F.count("*").alias("n"), F.sum("many").alias("all"))
         size = size.where("all > 1")  # what occurs once repeats nothing
-        solve = size.where(F.col("n") <= GROUP).select("key") if level < 2 else size.select("key")
+        solve = size.where(F.col("n") <= GROUP).select("key") if level < LEVELS else size.select("key")
         body = at.groupBy("key", "ident").agg(F.first("context").alias("context"), F.sum("many").alias("many"))
         spans = _spans(body.join(solve, "key", "left_semi"), length)
         here = at.select("ident", "parent", "shift").join(spans, "ident").select(F.col("parent").alias("ident"), (F.col("shift") + F.col("begin")).alias("begin"), (F.col("shift") + F.col("stop")).alias("stop"))
         found = here if found is None else found.unionByName(here)
-        if level < 2:
+        if level < LEVELS:
             at = cut(at.join(size.where(F.col("n") > GROUP).select("key"), "key", "left_semi").select("key", "context", "parent", "shift", "many"), "large")
             if at.isEmpty():
                 break
