@@ -245,3 +245,25 @@ def test_chat(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(rows)).collect()}
     assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(b"\nx\n\nx\nassistant\n\n").hexdigest() and got[None].loss_chars == 3
     assert chat.read_back(chat.format_turns(rows.limit(0))).count() == 0
+
+
+def test_minhash_hot_group(spark):
+    """Variants of one text, most of them just too far apart: the components of brute force."""
+    import random
+
+    rng = random.Random(3)
+    base, rows = [f"w{rng.randrange(400)}" for _ in range(120)], []
+    for k in range(200):
+        words = list(base)
+        for _ in range(rng.choice([2, 4, 6, 8, 9])):
+            words[rng.randrange(120)] = f"x{rng.randrange(60)}"
+        rows.append((k, " ".join(words)))
+    sets, top = [minhash.shingles(text, 2) for _, text in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same) and top[i] != top[j]:
+                low, high = sorted((top[i], top[j]))
+                top = [low if x == high else x for x in top]
+    found = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(top))
