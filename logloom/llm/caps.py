@@ -1,18 +1,19 @@
 """Embedding near-dedup by spherical-cap filters.
 
-A filter is a direction; a vector falls into it if their cosine exceeds a threshold.  Directions are a product
-code: one of ``size`` random unit vectors for each half of the coordinates, joined, so ``size`` squared of them.
-List decoding finds all directions that a vector exceeds without trying each: both halves' inner products are
-sorted, and for each first half only second halves that lift the sum over the threshold are read.  The number
-of code words follows from the dimension, so that a vector falls into about ``FILTERS`` caps.
+A filter is a direction.  Directions are a product code: one of ``size`` random unit vectors for each half of the
+coordinates, joined, so ``size`` squared of them.  The coordinates are rotated at random before they are halved, so
+that it does not matter where a vector has its length.  A vector falls into the ``FILTERS`` directions that it is
+nearest to, in each of ``CODES`` independent codes; so each vector has the same number, whatever its halves are.  List
+decoding finds them without trying each: of the best words of both halves, the i-th and j-th are read together only
+where i * j is ``FILTERS`` at most.  ``size`` follows from the dimension, so that ``FILTERS`` caps of ``threshold``
+hold a random direction on the mean.
 
 Vectors that share a filter meet in blocks of bounded size.  First, rows that no sign sketch brings near another
 row of their bucket are left out; then cosines are worked out in double precision, each pair counting in the
 smallest filter that it shares.  Equal vectors are one node with a count.
 
 A null or zero vector, or one with a null or non-finite component, has no links; vectors of different length
-have none either.  The rows with one vec_id count each.  At a cosine of 0.95 in 64 dimensions about half of a
-vector's filters are shared, so that a link is missed with a probability far below 1e-6.
+have none either.  The rows with one vec_id count each.  Filters may miss a link: see README for the measured shares.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import by_group, cut, group_bounds
 from .linking import blocked, components, dealt, pairs_in_groups
 
-FILTERS, SIGNS = 40, 128
+FILTERS, CODES, SIGNS = 40, 2, 128
 #: Differing sign bits beyond which a pair is not near: at 0.95, 13 of 128 are expected, with a deviation of 3.4.
 MOST_SIGNS = 36
 
 
 def threshold(dim: int) -> float:
-    """Cosine that a cap's vectors exceed: four deviations of a random direction, 0.6 at most."""
+    """Cosine of the caps that the code's size is worked out for: four deviations of a random direction, 0.6 at most."""
     return min(0.6, 4 / np.sqrt(dim))
 
 
@@ -58,25 +59,36 @@ def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng([7, dim]).normal(size=(dim, SIGNS))
 
 
-def decode(unit: np.ndarray) -> list[np.ndarray]:
-    """For each unit vector (rows) the numbers of all filters that it exceeds; the best one where it exceeds none."""
+@lru_cache(maxsize=16)
+def _rotation(dim: int, seed: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim, 1]).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def _best(products: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the places of the ``n`` largest, in order, and their values."""
+    n = min(n, products.shape[1])
+    at = np.argpartition(-products, n - 1, axis=1)[:, :n]
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(products, at, 1), axis=1, kind="stable"), 1)
+    return at, np.take_along_axis(products, at, 1)
+
+
+def nearest_filters(unit: np.ndarray, number: int) -> np.ndarray:
+    """For each unit vector (rows) the ``FILTERS`` nearest filters of one code, or all if there are fewer."""
     dim = unit.shape[1]
-    first, second = code(dim)
+    first, second = code(dim, seed=99 + number)
     half = dim // 2 if dim > 1 else 1
-    least = threshold(dim) * np.sqrt(2 if dim > 1 else 1)
-    out = []
-    for a, b in zip(unit[:, :half] @ first.T, unit[:, half:] @ second.T):
-        order = np.argsort(-b)
-        ranked = b[order]
-        n = np.searchsorted(-ranked, a - least, side="right")  # second halves with a + b >= least
-        hit = np.flatnonzero(n)
-        if not len(hit):
-            out.append(np.array([int(a.argmax()) * len(b) + int(order[0])]))
-            continue
-        n = n[hit]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append(np.sort(np.repeat(hit, n) * len(b) + order[place]))
-    return out
+    turned = unit @ _rotation(dim, 99 + number)
+    (at, a), (bt, b) = _best(turned[:, :half] @ first.T, FILTERS), _best(turned[:, half:] @ second.T, FILTERS)
+    # the pair of ranks (i, j) is among the best n only if (i + 1) * (j + 1) <= n
+    i, j = np.nonzero(np.outer(np.arange(1, a.shape[1] + 1), np.arange(1, b.shape[1] + 1)) <= FILTERS)
+    own, _ = _best(a[:, i] + b[:, j], FILTERS)
+    return np.take_along_axis(at[:, i] * len(second) + bt[:, j], own, 1)
+
+
+def decode(unit: np.ndarray) -> np.ndarray:
+    """For each unit vector (rows) the sorted numbers of its filters, of all codes."""
+    return np.sort(np.concatenate([nearest_filters(unit, k) | k << 32 for k in range(CODES)], axis=1), axis=1)
 
 
 def filtered(vectors: DataFrame) -> DataFrame:

@@ -267,3 +267,24 @@ def test_minhash_hot_group(spark):
                 top = [low if x == high else x for x in top]
     found = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(top))
+
+
+@pytest.mark.parametrize("uneven", [False, True])
+def test_caps_planted(spark, uneven):
+    """Pairs planted from 0.9501 to 0.98, each far from all others, are all found, whatever coordinates hold the length."""
+    rng = np.random.default_rng(8)
+    a, noise = rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))
+    scale = np.where(np.arange(64) < 32, 1.0, 0.3) if uneven else np.ones(64)
+    a, noise = a * scale, noise * scale
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = np.resize([0.9501, 0.96, 0.97, 0.98], 1500)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * noise
+    both = np.concatenate([a, b])
+    near = both @ both.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 3000
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(both.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in caps.links(frame).collect()}
+    assert [got[i] for i in range(3000)] == near.sum(1).tolist()
