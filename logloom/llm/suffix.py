@@ -17,6 +17,10 @@ its bytes alone, so equal strings can be brought together by such a value withou
    cover what is to be removed.
 5. Spans go back to the documents by context, and runs of covered bytes are united.
 
+``dedup_passages`` removes strings of so many words as well.  A text's words (between blanks of ASCII) become codes of
+``CODE`` bytes, and repeats are looked for in these as above.  A string of ``length`` bytes that holds as many words is
+among them; so bytes are compared only of texts with a window of ``length`` bytes that may hold fewer.
+
 Null texts are empty; texts shorter than ``length`` have nothing to remove.  Documents are told apart by doc_id
 and the text's hash, so repeated rows are two documents with one text.  A null doc_id is a value like others.  Further columns are
 not read by ``digests`` and kept as they are by ``dedup``.
@@ -38,9 +42,13 @@ from .common import cut, slices
 LENGTH, ANCHOR, SUB, GROUP = 400, 64, 32, 512
 #: Times that large groups are split; the last time into single windows.
 LEVELS = 3
+#: Bytes that stand for a word.
+CODE = 6
 #: Bytes of contexts in one suffix array.
 BATCH = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.default_rng(51).integers(0, 1 << 64, 256, dtype="u8")
+_INVERSE = np.uint64(pow(int(_MUL), -1, 1 << 64))
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -391,10 +399,89 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without the covered bytes; of a character that is cut, the rest goes too.  Documents of which
     nothing is left go; columns stay as they are, but for text and, where there is one, n_chars."""
     rows = _bodies(docs)
-    changed = _cut_texts(rows.select("doc", "body"), length).select(F.col("doc").alias("__doc"), F.col("text").alias("__kept"))
+    return _without(docs, rows, _cut_texts(rows.select("doc", "body"), length))
+
+
+def _without(docs: DataFrame, rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """``docs``, of which ``rows`` are with doc, with the texts of ``changed`` (doc, text)."""
+    changed = changed.select(F.col("doc").alias("__doc"), F.col("text").alias("__kept"))
     full = rows.join(changed, rows["doc"] == changed["__doc"], "left")
     text = F.coalesce("__kept", "text")
     out = full.withColumn("text", text).where(F.col("__kept").isNull() | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, stops) of the words of a text's bytes."""
+    blank = np.ones(len(data) + 2, dtype=bool)
+    blank[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(blank.astype("i1"))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_codes(data: np.ndarray) -> bytes:
+    """``CODE`` bytes for each word: of a hash, by sums over the text's bytes times powers."""
+    begins, stops = word_spans(data)
+    power = np.full(len(data) + 1, _MUL)
+    power[0] = 1
+    sums = np.append(np.uint64(0), np.cumsum(_BYTES[data] * np.cumprod(power)[:-1], dtype="u8"))
+    back = np.full(len(data) + 1, _INVERSE)
+    back[0] = 1
+    h = (sums[stops] - sums[begins]) * np.cumprod(back)[begins]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h.astype("<u8").view("u1").reshape(-1, 8)[:, :CODE].tobytes()
+
+
+def sparse(data: np.ndarray, words: int, length: int) -> bool:
+    """Whether a window of ``length`` bytes may hold fewer whole words: the first that begins after its first byte and
+    the last one, which may go on, are told by the window's bytes alone."""
+    if len(data) < length:
+        return False
+    begins, _ = word_spans(data)
+    at = np.zeros(len(data) + 1, dtype="i8")
+    at[1:] = np.cumsum(np.bincount(begins, minlength=len(data))[: len(data)])
+    return bool((at[length:] - at[1 : len(at) - length + 1]).min() <= words)
+
+
+def _coded(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """doc, body (codes of the words), sparse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 4_000_000):
+                texts = [np.frombuffer(t, dtype="u1") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_codes(t) for t in texts], pa.binary()), pa.array([sparse(t, words, length) for t in texts], pa.bool_())], names=["doc", "body", "sparse"])
+
+    return docs.select("doc", "body").mapInArrow(run, "doc binary, body binary, sparse boolean")
+
+
+def _cut_passages(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """doc, text (what is left) of the different texts that lose something."""
+    coded = _coded(docs, words, length)
+    by_word = covered(coded.select("doc", "body"), words * CODE)[1].withColumn("unit", F.lit(CODE))
+    few = cut(coded.where("sparse").select("doc").distinct(), "sparse")
+    by_byte = covered(docs.join(few, "doc", "left_semi"), length)[1].withColumn("unit", F.lit(1))
+    lists = by_word.unionByName(by_byte).groupBy("doc").agg(F.collect_set(F.struct("begin", "stop", "unit")).alias("spans"))  # of one text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, body, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                spans = [(s["begin"], s["stop"]) for s in own if s["unit"] == 1]
+                begins, stops = word_spans(np.frombuffer(body, dtype="u1"))
+                for a, b in _united([(s["begin"], s["stop"]) for s in own if s["unit"] == CODE]):
+                    a, b = -(-a // CODE), b // CODE  # whole words
+                    spans.append((int(begins[a]), int(stops[b - 1])))
+                out.append((doc, _kept(body, _united(spans)).decode("utf-8", "ignore")))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.binary(), pa.string()))] if out else [pa.array([], t) for t in (pa.binary(), pa.string())], names=["doc", "text"])
+
+    return docs.join(lists, "doc").dropDuplicates(["doc"]).select("doc", "body", "spans").mapInArrow(run, "doc binary, text string")
+
+
+def dedup_passages(docs: DataFrame, words: int = 51, length: int = LENGTH) -> DataFrame:
+    """As ``dedup``, without strings of ``words`` words, or of ``length`` bytes with fewer words, that start elsewhere as well."""
+    rows = _bodies(docs)
+    return _without(docs, rows, _cut_passages(rows.select("doc", "body"), words, length))

@@ -288,3 +288,50 @@ def test_caps_planted(spark, uneven):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(both.tolist())], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in caps.links(frame).collect()}
     assert [got[i] for i in range(3000)] == near.sum(1).tolist()
+
+
+def test_passages(spark):
+    """The pipeline's stage removes planted passages of 51 words, not of 50, and of 400 bytes with few words."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    text = lambda n, k=5: " ".join(word(k) for _ in range(n))
+    shared, short, tiny, long_ = text(51), text(50), text(51, 2), word(420)
+    assert len(shared) < 400 and len(tiny) < 160
+    rows, want = [], []
+    for i, passage in enumerate([shared, shared, short, short, tiny, tiny, long_, long_, shared]):
+        a, b = text(70 + i), text(40 + i)
+        rows.append((i, f"{a}\n{passage}\t{b}"))
+        want.append(f"{a}\n\t{b}" if passage != short else rows[-1][1])
+    rows += [(9, shared), (10, None), (11, "é " * 30), (12, text(300))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert [got[i] for i in range(6)] == want[:6] and got[8] == want[8] and 9 not in got
+    assert all(long_ not in got[i] and len(got[i]) <= len(want[i]) + 2 for i in (6, 7)) and got[11] == "é " * 30 and got[12] == rows[12][1]
+
+
+def brute_passages(texts, words):
+    seen, split = {}, [t.split() for t in texts]
+    for w in split:
+        for i in range(len(w) - words + 1):
+            seen[tuple(w[i : i + words])] = seen.get(tuple(w[i : i + words]), 0) + 1
+    out = []
+    for w in split:
+        hit = np.zeros(len(w), dtype=bool)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i : i + words])] > 1:
+                hit[i : i + words] = True
+        out.append([x for x, h in zip(w, hit) if not h])
+    return out
+
+
+def test_passages_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").dropDuplicates(["text"])
+    dense = [r.doc_id for r in docs.select("doc_id", "text").collect() if not suffix.sparse(np.frombuffer(r.text.encode(), "u1"), 51, 400)]
+    docs = docs.where(F.col("doc_id").isin(dense))  # bytes are compared of the others as well
+    rows = docs.select("doc_id", "text").collect()
+    want = brute_passages([r.text for r in rows], 51)
+    got = {r.doc_id: r.text.split() for r in suffix.dedup_passages(docs).collect()}
+    assert sum(len(w) for w in want) < sum(len(r.text.split()) for r in rows)
+    assert all(got.get(r.doc_id, []) == w for r, w in zip(rows, want))
