@@ -8,8 +8,8 @@ Everything on the main path is DataFrame and SQL functions.
   with the rule's path; the longest wins (host and path together, ties by text).
 * Mined rules: url tokens (``h:`` host suffixes, ``w:`` host labels, ``p:`` path words, ``d:`` depth) of labelled
   urls are transactions of Spark's FP-growth; an itemset is a rule if at least ``min_support`` of the labelled
-  urls hold it and a share of ``min_confidence`` of those are labelled bad.  A rule whose proper subset is a
-  rule as well is pruned.  Rules are matched by an inverted index: each stands under its rarest token, a url
+  urls hold it and a share of ``min_confidence`` of those are labelled bad, whatever its size.  A rule whose proper
+  subset is a rule as well is pruned.  Rules are matched by an inverted index: each stands under its rarest token, a url
   looks its tokens up there, and a hit counts if all the rule's tokens are the url's.
 
 Where no rule of either kind fits, the verdict is ``allow``.  Null urls have no tokens and hosts; repeated rows stay; other
@@ -22,6 +22,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,7 +64,7 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(every)
 
 
-def mine(urls: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, max_items: int = 3) -> DataFrame:
+def mine(urls: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
     """Rules (rule_id, items, support, confidence) from rows of (tokens, bad); bad is 0 or 1."""
     spark = urls.sparkSession
     empty = spark.createDataFrame([], "rule_id long, items array<string>, support double, confidence double")
@@ -75,25 +77,33 @@ def mine(urls: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8
         return empty
     bad = urls.where("bad = 1").select(F.col("tokens").alias("items"))
     frequent = FPGrowth(itemsCol="items", minSupport=floor, numPartitions=spark.sparkContext.defaultParallelism).fit(bad).freqItemsets
-    found = frequent.where(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad"))
+    found = cut(frequent.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad")), "itemsets")
+    found = found.join(_implied(urls, found), "items", "left_anti")
     # how often each itemset stands in all labelled urls, by the index: itemset under its first item
     indexed = found.select(F.element_at("items", 1).alias("token"), "items", "n_bad")
     rows = urls.select("tokens", F.explode("tokens").alias("token"))
     held = rows.join(indexed, "token").where(F.size(F.array_except("items", "tokens")) == 0)
     counted = held.groupBy("items").agg(F.count("*").alias("n"), F.first("n_bad").alias("n_bad"))
     rules = counted.select("items", (F.col("n") / totals["n"]).alias("support"), (F.col("n_bad") / F.col("n")).alias("confidence")).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
-    # at most three items: the proper subsets are few, so they are looked up by equality
-    parts = rules.select("items", F.explode(_subsets()).alias("part"))
-    smaller = parts.where(F.size("part") > 0).join(rules.select(F.col("items").alias("part")), "part", "left_semi").select("items").distinct()
+    rules = cut(rules, "rules")
+    # smaller rules by the index as well: each under its first item
+    parts = rules.select(F.element_at("items", 1).alias("token"), F.col("items").alias("part"))
+    held = rules.select("items", F.explode("items").alias("token")).join(parts, "token")
+    smaller = held.where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)).select("items").distinct()
     kept = rules.join(smaller, "items", "left_anti")
     return kept.select(F.xxhash64("items").alias("rule_id"), "items", "support", "confidence")
 
 
-def _subsets() -> Column:
-    """Proper subsets of ``items`` of size up to 2 that leave something out."""
-    singles = F.transform("items", lambda x: F.array(x))
-    without = F.transform("items", lambda x: F.array_remove("items", x))
-    return F.when(F.size("items") == 1, F.array().cast("array<array<string>>")).otherwise(F.array_distinct(F.concat(singles, without)))
+def _implied(urls: DataFrame, found: DataFrame) -> DataFrame:
+    """Itemsets of ``found`` with an item that stands in every labelled url that another item stands in: without it they
+    have the same support and confidence, so they are no rules or pruned."""
+    single = found.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"))
+    own = urls.select("tokens", F.explode("tokens").alias("token")).join(single, "token")
+    n = own.groupBy("token").agg(F.count("*").alias("n"))
+    pairs = own.select("token", F.explode("tokens").alias("other")).where("token != other")
+    always = pairs.groupBy("token", "other").agg(F.count("*").alias("both")).join(n, "token").where("both = n")
+    always = always.groupBy("token").agg(F.collect_list("other").alias("others"))
+    return found.select("items", F.explode("items").alias("token")).join(always, "token").where(F.arrays_overlap("items", "others")).select("items").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None, fixed=RULES) -> DataFrame:

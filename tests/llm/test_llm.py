@@ -335,3 +335,22 @@ def test_passages_brute_force(spark):
     got = {r.doc_id: r.text.split() for r in suffix.dedup_passages(docs).collect()}
     assert sum(len(w) for w in want) < sum(len(r.text.split()) for r in rows)
     assert all(got.get(r.doc_id, []) == w for r, w in zip(rows, want))
+
+
+def test_url_rules_of_four(spark):
+    """A combination of four tokens is bad, each three of them are common among good urls: the rules of brute force."""
+    from itertools import combinations
+
+    four = ["h:shop.example", "p:buy", "p:now", "d:2"]
+    rows = [(four + ["p:x%d" % (i % 3)], 1) for i in range(30)]
+    rows += [([t for t in four if t != left] + ["p:x%d" % (i % 3)], 0) for left in four for i in range(40)] + [(["h:bad.example", "w:bad", "d:1"], 1)] * 20
+    marked = spark.createDataFrame(rows, "tokens array<string>, bad int")
+    every = sorted({t for items, _ in rows for t in items})
+    rules = set()
+    for size in range(1, len(every) + 1):
+        for items in combinations(every, size):
+            hit = [b for t, b in rows if set(items) <= set(t)]
+            if len(hit) >= 0.05 * len(rows) and sum(hit) >= 0.8 * len(hit) and not any(r < set(items) for r in rules):
+                rules.add(frozenset(items))
+    got = url_rules.mine(marked, 0.05, 0.8)
+    assert {frozenset(r["items"]) for r in got.collect()} == rules and frozenset(four) in rules
