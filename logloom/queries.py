@@ -415,6 +415,16 @@ def search_snippet(spark, sf_dir):
     return docs.select("id", text.snippet("preview", "the").alias("snippet"))
 
 
+@register(
+    "search_snippet_whole",
+    f"""WITH {A.DUCK_DOCS}, c AS (SELECT id, CASE WHEN strlen(content) <= 300 THEN content ELSE left(content, CAST(list_max(list_filter(range(0, 301), lambda i: strlen(left(content, i)) <= 300)) AS BIGINT)) || '...' END AS p FROM docs),
+s AS (SELECT id, p, instr(lower(p), 'the') AS a FROM c)
+SELECT id, CASE WHEN a > 0 THEN replace(substr(p, greatest(a - 50, 1), a + 103 - greatest(a - 50, 1)), 'the', '<mark>' || substr(p, a, 3) || '</mark>') WHEN length(p) > 150 THEN substr(p, 1, 150) || '...' ELSE p END AS snippet FROM s""",
+)
+def search_snippet_whole(spark, sf_dir):
+    return A.search_docs(spark, sf_dir).select("id", text.snippet("preview", "the").alias("snippet"))
+
+
 @register("search_document_frequency", f"WITH {_DUCK_INDEX} SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT id, field, term, count(*) AS tf FROM (SELECT id, field, unnest(w) AS term FROM toks) GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def search_document_frequency(spark, sf_dir):
     return S.postings(A.search_docs(spark, sf_dir)).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
