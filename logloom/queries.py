@@ -485,6 +485,14 @@ def message_dedup(spark, sf_dir):
     return normalized_messages(rows).select("conversation_id", "role", "content", F.col("idx").cast("long").alias("idx"))
 
 
+@register("message_dedup_whole", "SELECT conversation_id, role, content, row_number() OVER (PARTITION BY conversation_id ORDER BY role, content) - 1 AS idx FROM (SELECT DISTINCT conv_id AS conversation_id, role, text AS content FROM conversations)")
+def message_dedup_whole(spark, sf_dir):
+    from .operators.store import normalized_messages
+
+    _, messages = A.conversations(spark, sf_dir)
+    return normalized_messages(messages).select("conversation_id", "role", "content", F.col("idx").cast("long").alias("idx"))
+
+
 @register(
     "logical_root",
     """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id - user_id % 5 + (user_id % 5 - 1) END AS parent FROM events),

@@ -121,3 +121,13 @@ def test_snippet_of_every_document(spark, tmp_path):
         assert got == want
     assert len(got) == len(texts)
     assert len(rows_and_sql(spark, "search_snippet_whole", SF, "documents")[0]) == spark.read.parquet(f"{SF}/documents.parquet").where("doc_id is not null").count()
+
+
+def test_whole_messages(spark, tmp_path):
+    rows = [(1, 0, "user", "same first words, one"), (1, 1, "user", "same first words, two"), (1, 2, "user", "same first words, one"), (21, 0, "user", "same first words, one"), (21, 1, "assistant", "same first words, one"), (21, 2, "assistant", None), (21, 3, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.QUERIES["message_dedup_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.conversation_id, r.role, r.content or "") for r in got) == sorted({(c, r, t or "") for c, _, r, t in rows})
+    assert len(got) == 5
+    got, want = rows_and_sql(spark, "message_dedup_whole", SF, "conversations")
+    assert got == want
