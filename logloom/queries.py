@@ -539,6 +539,21 @@ def dry_run_classes(spark, sf_dir):
     return change_classes(old, new).groupBy("class").agg(F.count("*").alias("n"))
 
 
+@register(
+    "dry_run_classes_whole",
+    """WITH o AS (SELECT doc_id AS k, md5(text) AS f, 1 AS o FROM documents), n AS (SELECT CASE WHEN doc_id % 4 = 0 THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN doc_id % 10 = 5 THEN 'x' ELSE md5(text) END AS f, 1 AS n FROM documents)
+SELECT CASE WHEN o IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' WHEN o.f IS DISTINCT FROM n.f THEN 'update' ELSE 'unchanged' END AS class, count(*) AS n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""",
+)
+def dry_run_classes_whole(spark, sf_dir):
+    from .operators.store import change_classes
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("source_fingerprint"))
+    old = docs.select(F.col("doc_id").cast("string").alias("source_path"), "source_fingerprint")
+    key = F.when(F.col("doc_id") % 4 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    new = docs.select(key.cast("string").alias("source_path"), F.when(F.col("doc_id") % 10 == 5, "x").otherwise(F.col("source_fingerprint")).alias("source_fingerprint"))
+    return change_classes(old, new).groupBy("class").agg(F.count("*").alias("n"))
+
+
 @register("union_distinct_roots", "SELECT source AS root FROM documents WHERE source IS NOT NULL UNION SELECT concat('src', CAST(user_id % 30 AS VARCHAR)) FROM events")
 def union_distinct_roots(spark, sf_dir):
     a = _read(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("root"))

@@ -131,3 +131,11 @@ def test_whole_messages(spark, tmp_path):
     assert len(got) == 5
     got, want = rows_and_sql(spark, "message_dedup_whole", SF, "conversations")
     assert got == want
+
+
+def test_dry_run_of_whole_table(spark):
+    got, want = rows_and_sql(spark, "dry_run_classes_whole", SF, "documents")
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert got == want
+    count = {r["class"]: r.n for r in queries.QUERIES["dry_run_classes_whole"](spark, SF).collect()}
+    assert set(count) == {"insert", "delete", "update", "unchanged"} and count["delete"] + count["update"] + count["unchanged"] == n == count["insert"] + count["update"] + count["unchanged"]
