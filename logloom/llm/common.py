@@ -33,14 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, so that the loss of an
-    executor replays one step at most.  The files go when the driver's JVM ends."""
+    executor replays one step at most.  ``free`` deletes the files; what is left goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``cut`` that nothing will read again, and let the driver find that the shuffles
+    behind them are done with, so that Spark deletes those files too."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            at, files = _files(df.sparkSession, path)
+            files.delete(at, True)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def sampled(share: float, column: str = "doc_id"):
+    """True for about that share of the values of a column, chosen by 63 bits of a hash; all of them from 1 on."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(column), 1) < F.lit(int(share * (1 << 63)))
+
+
+#: Rows of one key are dealt to so many tasks where they meet a table with few rows of each key.
+SALTS = 8
+
+
+def dealt_join(rows: DataFrame, few: DataFrame, by: str, spread, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``few``, which has few rows of each ``by``; the rows of one key go to ``salts`` tasks, by a hash
+    of ``spread``."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(few, [by, "__salt"], how).drop("__salt")
 
 
 def is_held_out(doc_id: str = "doc_id"):
