@@ -1,11 +1,13 @@
 """Packing: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
 Each text is tokenized whole (null: empty) and closed by one more id.  A document longer than a sequence is cut
-into full pieces and a rest.  Pieces fall into random groups (a hash of doc_id and a seed) of about
-``group_tokens`` tokens; in a group, pieces go in falling order of length each into the first sequence that has
-room, which the tournament tree over the sequences' room finds in logarithmic time.
+into full pieces and a rest.  Documents fall into random groups (a hash of a seed and of the row's place in the written
+pieces, so that rows of one doc_id or of none are spread as well) of about ``group_tokens`` tokens; in a group, pieces go in
+falling order of length each into the first sequence that has room, which the tournament tree over the sequences' room
+finds in logarithmic time.  Equal lengths go in the order of doc_id, start, checksum and row.
 
-Sequence ids are ``group << 32 | number in the group``.  Repeated rows are packed each; a null doc_id is one
+Ids are those of the tokenizer as it is loaded, so a special token's text becomes its id.  Sequence ids are
+``group << 32 | number in the group``.  Repeated rows are packed each; a null doc_id is one
 value like others; an empty table gives no pieces.  Only ``doc_id`` and ``text`` are read.
 """
 
@@ -19,13 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, cut, group_bounds, slices
 
 SEQUENCE, CLOSING = 4096, 2
-CACHE = 400_000
+CACHE = 600_000
 
 
 class Tournament:
@@ -78,11 +81,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        # a word of letters is one match of the tokenizer's pattern, and its last token says that it ends there
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str], together: int = 500) -> list[bytes]:
+        """Words of letters only, many of them in one text."""
+        out = []
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        for group, data in zip(groups, self._plain([" ".join(g) for g in groups])):
+            stops = 4 * (np.flatnonzero(self.closes[np.frombuffer(data, dtype="<u4")]) + 1)
+            if len(stops) != len(group):
+                out += self._plain(group)
+                continue
+            begin = 0
+            for stop in stops.tolist():
+                out.append(data[begin:stop])
+                begin = stop
+        return out
 
     #: Letters whose lower case is the tokenizer's own, before or after it composes characters.
     _PLAIN = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
@@ -98,8 +119,11 @@ class WordEncoder:
         for word in set().union(*(w for w in cuts if w)) - self.words.keys():
             head = word.rstrip(self._TAIL)
             parts[word] = (head, word[len(head) :]) if head and head != word and head[-1].isalnum() and not self._PLAIN.search(head[-1]) else (word,)
-        fresh = list(set().union(*parts.values()) - self.words.keys())
-        self.words.update(zip(fresh, self._plain(fresh)))
+        fresh = set().union(*parts.values()) - self.words.keys()
+        letters = [w for w in fresh if w.isalpha() and not self._PLAIN.search(w)]
+        self.words.update(zip(letters, self._letters(letters)))
+        rest = list(fresh.difference(letters))
+        self.words.update(zip(rest, self._plain(rest)))
         for word, own in parts.items():
             if len(own) > 1:
                 self.words[word] = self.words[own[0]] + self.words[own[1]]
@@ -108,23 +132,24 @@ class WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, closing: int = CLOSING) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece, before packing."""
+    """doc_id, start, length, ids_crc32, doc_tokens of each piece, before packing, and row, another number for each document."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     end = int(closing).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder, row = WordEncoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, 2_000_000):
                 rows = []
                 for i, data in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     data += end
                     n = len(data) // 4
-                    rows += [(i, s, min(sequence, n - s), zlib.crc32(data[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
+                    rows += [(i, s, min(sequence, n - s), zlib.crc32(data[4 * s : 4 * (s + sequence)]), n, row + i) for s in range(0, n, sequence)]
                 cols = [np.array(c, dtype="i8") for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+                row += part.num_rows
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, closing: int = CLOSING, group_tokens: int = 512 * SEQUENCE, seed: int = 5) -> DataFrame:
@@ -132,7 +157,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, clo
     cutted = cut(pieces(docs, path, sequence, closing), "pieces")
     total = cutted.agg(F.sum("length")).first()[0] or 0
     n = max(1, -(-total // group_tokens))
-    grouped = cutted.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(n)))
+    grouped = cutted.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +171,5 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, clo
             out = whole.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
             yield from out.to_batches()
 
-    ordered = grouped.repartition("__group").sortWithinPartitions("__group", F.desc("length"), "doc_id", "start", "ids_crc32")
+    ordered = grouped.repartition("__group").sortWithinPartitions("__group", F.desc("length"), "doc_id", "start", "ids_crc32", "row")
     return ordered.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -60,7 +61,51 @@ def test_language(spark, docs, odd):
     by_text = dict(zip(ODD, [r.lang_pred for r in langid.predict(odd, langid.train(odd, F.lit(True))).collect()]))
     assert by_text[(1, None)] == by_text[(2, "")] == by_text[(4, "12 34 !")] == "und" and by_text[(3, "a")] == "en"
     assert langid.identify(odd.limit(0)).count() == 0
-    assert langid.filter_known(odd).columns == odd.columns
+    clash = odd.select("*", F.lit("keep").alias("score"), F.lit("me").alias("lang_pred"), F.lit(1).alias("__text"))
+    kept = langid.filter_known(clash)
+    assert kept.columns == clash.columns and {(r.score, r.lang_pred) for r in kept.collect()} == {("keep", "me")}
+
+
+def test_language_brute_force(spark, docs):
+    """Counts and scores by dictionaries of n-grams; texts longer than a block, ties and repeats."""
+    import math
+
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect() if r.text]
+    rows += [(90_001, rows[0][1], rows[0][2]), (90_001, rows[0][1], rows[0][2]), (90_002, "Ab" * 700_000, "en"), (90_003, "1 a", None)]
+    bucket = lambda g: int(np.uint64((sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g)) ^ len(g) << 21 * len(g)) % (1 << 64)) * langid._MIX >> langid._SHIFT)
+    memo, number = {}, {}
+
+    def counts(text):
+        out, low = {}, text.lower()
+        for n in langid.ORDERS:
+            for i in range(len(low) - n + 1):
+                g = low[i : i + n]
+                if g not in memo:
+                    memo[g] = bucket(g)
+                out[memo[g]] = out.get(memo[g], 0) + 1
+        return out
+
+    every = [(lang, counts(text)) for _, text, lang in rows]
+    sums = {}
+    for (lang, own), (_, text, _) in zip(every, rows):
+        if lang is not None and langid.has_letter(text):
+            total = sums.setdefault(lang, {})
+            number[lang] = number.get(lang, 0) + 1
+            for k, n in own.items():
+                total[k] = total.get(k, 0) + n
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    langs, model = langid.train(frame, F.lit(True))
+    assert langs == sorted(sums)
+    found = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(frame, (langs, model)).collect()}
+    size = {x: sum(sums[x].values()) + langid.SMOOTHING * langid.BUCKETS for x in langs}
+    want = set()
+    for (i, text, _), (_, own) in zip(rows, every):
+        logs = [math.log(number[x] / sum(number.values())) + sum(n * math.log((sums[x].get(k, 0) + langid.SMOOTHING) / size[x]) for k, n in own.items()) for x in langs]
+        top = max(logs)
+        want.add((i, langs[logs.index(top)], 1 / sum(math.exp(v - top) for v in logs)))
+    assert {x[:2] for x in found} == {x[:2] for x in want}
+    score = {x[0]: x[2] for x in found}
+    assert all(abs(score[i] - p) < 1e-3 for i, _, p in want)
 
 
 def test_quotient_filter_merges():
@@ -86,11 +131,16 @@ def test_exact(spark, odd):
 
 def test_packing(spark, odd):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(odd).collect()
-    want = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
-    assert sorted(r.doc_tokens for r in rows if r.start == 0) == want
-    assert sum(r.length for r in rows) == sum(want)
+    more = [(40 + k, t) for k, t in enumerate(["a <|endoftext|> b", "<|startoftext|>", "İstanbul's ǅ \u2028 x\x1cy", "don't stop" * 900])] + [(None, f"null {k}") for k in range(60)]
+    frame = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = packing.pack(frame, group_tokens=20_000).collect()
+    want = []
+    for i, t in ODD + more:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        want += [(i, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes()), len(ids)) for s in range(0, len(ids), 4096)]
+    order = lambda x: (x[0] is not None, x)
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows), key=order) == sorted(want, key=order)
+    assert len({r.sequence_id >> 32 for r in rows if r.doc_id is None}) > 1
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -156,6 +206,7 @@ def test_url_rules(spark):
     rows = [("http://spam.example/buy/%d" % i, 1) for i in range(30)] + [("http://good.example/read/%d" % i, 0) for i in range(60)] + [("http://good.example/buy/%d" % i, 0) for i in range(5)]
     host, path = url_rules.split_url(F.col("url"))
     marked = spark.createDataFrame(rows, "url string, bad int").select(url_rules.tokens(host, path).alias("tokens"), "bad")
+    assert url_rules.mine(marked).count() > 0
     rules = url_rules.mine(marked, 0.1, 0.9)
     found = {tuple(r["items"]) for r in rules.collect()}
     seen = [(set(r.tokens), r.bad) for r in marked.collect()]
@@ -183,9 +234,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [512, 2])
-def test_suffix(spark, docs, group, monkeypatch):
+@pytest.mark.parametrize(("group", "levels"), [(1 << 15, 2), (2, 2), (2, 0)])
+def test_suffix(spark, docs, group, levels, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "LEVELS", levels)
     rng = random.Random(6)
     passage = "".join(rng.choices("abcdefgh ", k=700))
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(80).collect()]
@@ -196,12 +248,33 @@ def test_suffix(spark, docs, group, monkeypatch):
 
 
 def test_maximal_repeats():
-    spans, found = suffix.repeats([b"xabcdefghy", b"zabcdefghw", b"qabcdeq"], [1, 1, 1], 5)
-    assert spans == [[[1, 9]], [[1, 9]], [[1, 6]]]
-    assert {(p, tuple(sorted(w))) for p, w in found} == {(8, ((0, 1), (1, 1))), (5, ((0, 1), (1, 1), (2, 1)))}
+    """Three contexts of the anchor "cde": one repeat of all, a longer one of two, each with all occurrences."""
+    begin, stop, found = suffix.repeats([1, 1, 1, 2], [b"xabcdefghy", b"zabcdefghw", b"qabcdeq", b"alone"], [3, 3, 3, 0], [1, 1, 1, 1], 5)
+    assert list(zip(begin.tolist(), stop.tolist())) == [(1, 9), (1, 9), (1, 6), (-1, -1)]
+    assert {(n, p, tuple(sorted(m.tolist()))) for n, p, m in found} == {(8, 2, (0, 1)), (5, 2, (0, 1, 2))}
+
+
+def test_repeat_groups(spark):
+    """All occurrences of a passage of 450 bytes in 500 documents, each in one repeat that spans it."""
+    rng = random.Random(16)
+    passage, rows = "".join(rng.choices("abcdefgh ", k=450)), []
+    for k in range(500):
+        rows.append((k, "".join(rng.choices("klmnop", k=rng.randint(0, 500))) + passage + "".join(rng.choices("klmnop", k=rng.randint(0, 500)))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix.digests(frame).collect()}
+    for (i, t), want in zip(rows, brute_repeats([t.encode() for _, t in rows], 400)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == want
+    groups = suffix.repeat_groups(frame).collect()
+    text, by = dict(rows), {}
+    for r in groups:
+        by.setdefault(r["repeat"], set()).add((r.doc_id, r.begin, text[r.doc_id].encode()[r.begin : r.begin + r.n_bytes]))
+    assert all(len({s for _, _, s in places}) == 1 and len(places) > 1 for places in by.values())
+    assert max(len({d for d, _, _ in places}) for places in by.values()) == 500
 
 
 def test_suffix_odd(spark, odd):
+    clash = odd.select("*", F.lit("keep").alias("body"), F.lit("me").alias("doc"), F.lit(1).alias("spans"))
+    assert {(r.body, r.doc, r.spans) for r in suffix.dedup(clash).collect()} == {("keep", "me", 1)} and suffix.dedup_passages(clash).columns == clash.columns
     out = suffix.dedup(odd)
     assert out.columns == odd.columns and {5, 6, 8}.isdisjoint({r.doc_id for r in out.collect()})
     assert suffix.digests(odd.limit(0)).count() == 0
@@ -222,6 +295,38 @@ def test_caps(spark):
     assert caps.links(frame.limit(0)).count() == 0
 
 
+def test_quality_brute_force():
+    """Scores by loops over filters, chunks and bytes."""
+    net = quality.Network(3)
+    net.offset[0], net.bias[:] = 0.2, np.linspace(-1, 1, quality.FILTERS)
+    texts = ["", None, "abc", "x" * 700, "Größe 語 " * 90, "x" * 700]
+    got = net.score(texts)
+    for text, score in zip(texts, got):
+        raw = b"\0" * (quality.WIDTH - quality.STRIDE) + (text or "").encode()
+        halves = max(2, -(-(len(raw) + quality.WIDTH) // quality.SPAN))
+        raw = raw + b"\0" * (halves * quality.SPAN + quality.WIDTH - len(raw))
+        tops = np.full((halves, quality.FILTERS), -np.inf)
+        for h in range(halves):
+            for k in range(quality.HALF):
+                at = h * quality.SPAN + k * quality.STRIDE
+                tops[h] = np.maximum(tops[h], sum(net.embed[b] @ net.filters[j] for j, b in enumerate(raw[at : at + quality.WIDTH])))
+        act = np.maximum(tops + net.bias, 0)
+        chunks = np.maximum(act[:-1], act[1:])
+        x = np.concatenate([chunks.mean(0), chunks.max(0)]) @ net.weights + net.offset[0]
+        assert abs(score - 1 / (1 + np.exp(-x))) < 1e-4
+    assert got[3] == got[5] and got[0] == got[1]
+
+
+def test_quality_rows(spark, odd):
+    """Repeated labels and rows, ties, an empty table, and texts beyond the bytes of the sample."""
+    labels = spark.createDataFrame([(3, 0, 0), (3, 1, 0), (3, None, 0), (4, 0, 1), (7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(odd.withColumn("score", F.lit("x")), labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert len({r.score for r in got if r.doc_id in (6, 8)}) == 1
+    assert quality.classify(odd.limit(0), labels).count() == 0
+    assert quality.train(odd, labels, F.lit(True), max_bytes=1) is not None
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -241,6 +346,9 @@ def test_chat(spark):
     assert all(chat.canonical(x) == [("user", "p"), ("assistant", "r")] for x in layouts)
     with pytest.raises(ValueError):
         chat.canonical({"foo": "bar"})
+    for broken in ("x", text[:-3], text.replace("\n", "", 1), "<|im_start|>user\na<|b<|im_end|>\n"):
+        with pytest.raises(ValueError):
+            chat.read_chat(broken)
     rows = spark.createDataFrame([(1, 2, "assistant", None, 0), (1, 1, None, "x", 0), (1, 1, None, "x", 0), (None, 5, "assistant", "<|y", 0)], "conv_id long, turn long, role string, text string, part int")
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(rows)).collect()}
     assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(b"\nx\n\nx\nassistant\n\n").hexdigest() and got[None].loss_chars == 3
@@ -354,3 +462,91 @@ def test_url_rules_of_four(spark):
                 rules.add(frozenset(items))
     got = url_rules.mine(marked, 0.05, 0.8)
     assert {frozenset(r["items"]) for r in got.collect()} == rules and frozenset(four) in rules
+    rate, by_lift = sum(b for _, b in rows) / len(rows), set()
+    for size in range(1, len(every) + 1):
+        for items in combinations(every, size):
+            hit = [b for t, b in rows if set(items) <= set(t)]
+            if len(hit) >= 0.05 * len(rows) and sum(hit) >= 1.3 * rate * len(hit) and sum(hit) - len(hit) * rate >= 2 * (len(hit) * rate * (1 - rate)) ** 0.5 and not any(r < set(items) for r in by_lift):
+                by_lift.add(frozenset(items))
+    got = url_rules.mine(marked, 0.05).collect()
+    n = {t: sum(t in x for x, _ in rows) for t in every}
+    assert {frozenset(r["items"]) for r in got} == by_lift and all(n[r.token] == min(n[t] for t in r["items"]) for r in got)
+
+
+def test_url_verdicts(spark):
+    """The verdicts of the whole sample tables by rules that are matched one by one, null and repeated urls too."""
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "labels"))
+    rules = url_rules.mine(url_rules.labelled(pages, labels))
+    pages = pages.select("page_id", "url").unionByName(spark.createDataFrame([(-k, None) for k in range(1, 9)] + [(-20 - k, "http://ththre.example.net/fr/1") for k in range(5)], "page_id long, url string"))
+    host, path = url_rules.split_url(F.col("url"))
+    rows = pages.select("page_id", "url", url_rules.tokens(host, path).alias("tokens")).collect()
+    known = [(r.rule_id, set(r["items"])) for r in rules.collect()]
+    got = {r.page_id: r for r in url_rules.judge(pages, rules).collect()}
+    assert known and len(got) == len(rows) and any(r.mined is not None for r in got.values())
+    for r in rows:
+        fit = [i for i, items in known if items <= set(r.tokens)]
+        own = got[r.page_id]
+        if own.rule is None:
+            assert own.mined == min(fit, default=None) and own.verdict == ("block" if fit else "allow")
+
+
+def test_chat_layouts(spark):
+    """Tables of four layouts, chosen by the fingerprint of their schema, give one result; so do JSON records."""
+    own = "<|im_end|><|im_start|>assistant ok"
+    flat = spark.createDataFrame([(1, 0, "user", own), (1, 1, "assistant", own), (2, 0, "user", "q"), (2, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    nested = spark.createDataFrame([(1, [("user", own), ("assistant", own)], 5), (2, [("user", "q"), ("assistant", None)], 6)], "conv_id long, messages array<struct<role:string,content:string>>, other int")
+    named = spark.createDataFrame([(1, [("human", own), ("gpt", own)]), (2, [("human", "q"), ("gpt", "")])], "conv_id long, conversations array<struct<from:string,value:string>>")
+    pairs = spark.createDataFrame([(1, own, own, ""), (2, "q", None, None)], "conv_id long, prompt string, response string, system string")
+    tables = [nested, named, pairs]
+    want = sorted(chat.read_back(chat.format_turns(flat)).collect())
+    for rows in tables:
+        assert sorted(chat.read_back(chat.format_turns(rows)).collect()) == want
+        records = chat.format_records(rows.select("conv_id", F.to_json(F.struct(*[c for c in rows.columns if c != "conv_id"])).alias("record")).where("conv_id = 1"), "conv_id").first()
+        assert chat.read_chat(records.formatted) == [("user", own), ("assistant", own)] and chat.masked(records.formatted, records.loss) == own
+    steps = spark.createDataFrame([(1, "do", "this", "done")], "conv_id long, instruction string, input string, output string")
+    assert [r.formatted for r in chat.format_turns(steps).orderBy("part").collect()] == ["<|im_start|>user\ndo\n\nthis<|im_end|>\n", "<|im_start|>assistant\ndone<|im_end|>\n"]
+    with pytest.raises(ValueError):
+        chat.format_turns(steps.select("conv_id", "input"))
+
+
+def test_chat_long_text():
+    """A turn of 20 million characters takes a small multiple of its size."""
+    import tracemalloc
+
+    text = "<|" + "a b\n" * 5_000_000
+    tracemalloc.start()
+    piece, begin, end = chat.format_turn("assistant", text)
+    assert chat.read_chat(piece) == [("assistant", text)] and chat.masked(piece, [(begin, end)]) == text
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
+@pytest.mark.parametrize("dim", [256, 768])
+def test_caps_dimensions(dim):
+    """Of pairs planted at 0.9501 and more, 0.999 share a filter."""
+    rng = np.random.default_rng(dim)
+    a, noise = rng.normal(size=(2000, dim)), rng.normal(size=(2000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = np.resize([0.9501, 0.96], 2000)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * noise
+    found = [len(np.intersect1d(x, y)) > 0 for x, y in zip(caps.decode(a), caps.decode(b))]
+    assert np.mean(found) >= 0.999
+
+
+def test_merge_is_a_sum():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 7):
+        parts = [np.unique(rng.integers(0, 50, rng.integers(0, 40), dtype="u8"), return_counts=True) for _ in range(n)]
+        keys, counts = np.unique(np.concatenate([np.repeat(*p) for p in parts]), return_counts=True)
+        merged = exact.QuotientFilter.merge([exact.QuotientFilter(k, c, 0, 8) for k, c in parts])
+        assert merged.items()[0].tolist() == keys.tolist() and merged.items()[1].tolist() == counts.tolist()
+
+
+def test_refused_thresholds(spark, docs):
+    with pytest.raises(ValueError):
+        minhash.classes(docs, percent=50)
+    with pytest.raises(ValueError):
+        caps.links(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), 0.5)
