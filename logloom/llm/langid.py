@@ -2,10 +2,12 @@
 
 Counts are gathered on the executors from a sample of labelled rows of about ``max_rows`` rows, summed by
 Spark, and turned into one matrix of log probabilities (languages x buckets), which is broadcast: its size is
-bounded by ``max_langs`` x ``BUCKETS`` floats.  Every text is scored whole, as a sparse count vector.
+bounded by ``max_langs`` x ``BUCKETS`` floats.  Every text is scored whole: a batch's n-grams are a sparse matrix, whose
+product with the log probabilities gives all of its scores.
 
 A null text, or one without a letter, gets ``und`` and score 0; so does every text where nothing could be
-learned (an empty table).  Other columns are not read.  Score is the largest posterior probability.
+learned (an empty table).  Other columns are not read.  Score is the largest posterior probability; of languages that tie,
+the first in order of text.  Repeated rows count and are scored each; rows with a null doc_id share one draw of the sample.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out
+from .common import is_held_out, sampled, slices
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -52,9 +54,7 @@ def train(docs: DataFrame, where: Column, max_rows: int = 20_000, max_langs: int
     """Languages and log probabilities (bucket columns, then the prior) from rows with text and lang that meet
     ``where``: all of them, or about ``max_rows`` chosen by a hash of doc_id."""
     rows = docs.where(where & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    share = max_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = rows.where(sampled(max_rows / max(1, rows.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -89,28 +89,60 @@ def train(docs: DataFrame, where: Column, max_rows: int = 20_000, max_langs: int
     return langs, model
 
 
-def score(text: str | None, langs: list[str], model: np.ndarray) -> tuple[str, float]:
-    if not text or not langs or not has_letter(text):
-        return "und", 0.0
-    total = counts(text)
-    at = np.flatnonzero(total)
-    logs = model[:, at].astype("f8") @ total[at] + model[:, BUCKETS]
-    best = int(np.argmax(logs))
-    return langs[best], float(1 / np.exp(logs - logs[best]).sum())
-
-
-def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) of every row, lang_pred and score."""
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The batch as a sparse matrix in rows of texts, part by part: (bucket of each n-gram, its text), texts in order."""
+    raw = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
+    size = np.array([len(r) // 4 for r in raw])
+    codes, ends = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(size)
+    for begin in range(0, len(codes), BLOCK):
+        stop = min(begin + BLOCK, len(codes))
+        part = codes[begin : stop + max(ORDERS) - 1].astype("u8")
+        at = np.arange(begin, stop)
+        owner = np.searchsorted(ends, at, "right")
+        for n in ORDERS:
+            fit = np.flatnonzero(at + n <= ends[owner])
+            key = np.full(len(fit), n, dtype="u8")
+            for j in range(n):
+                key = key << np.uint64(21) ^ part[fit + j]
+            yield (key * _MIX >> _SHIFT).astype("i8"), owner[fit]
+
+
+def score(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text: the batch's sparse count matrix times the log probabilities, in doubles.
+
+    Of languages with one posterior the first in order of text is taken."""
+    found, best = ["und"] * len(texts), np.zeros(len(texts))
+    use = [i for i, t in enumerate(texts) if langs and t and has_letter(t)]
+    if not use:
+        return found, best
+    columns = np.ascontiguousarray(model[:, :BUCKETS].T, dtype="f8")
+    logs = np.repeat(model[:, BUCKETS].astype("f8")[None], len(use), 0)
+    step = max(1, (1 << 22) // len(langs))
+    for bucket, owner in grams([texts[i] for i in use]):
+        for a in range(0, len(bucket), step):
+            own = owner[a : a + step]
+            rows = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            logs[own[rows]] += np.add.reduceat(columns[bucket[a : a + step]], rows, axis=0)
+    top = logs.argmax(1)
+    best[use] = 1 / np.exp(logs - logs[np.arange(len(use)), top][:, None]).sum(1)
+    for i, k in zip(use, top.tolist()):
+        found[i] = langs[k]
+    return found, best
+
+
+def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (doc_id) of every row, and the two ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(trained)
     keep = keep or ["doc_id"]
-    rows = docs.select(F.col("text").alias("__text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", lang_pred string, score double"
+    rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + f", {names[0]} string, {names[1]} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value
         for batch in batches:
-            found = [score(t.as_py(), langs, model) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            for part in slices(batch, BLOCK, 0):
+                found, best = score(part.column(0).to_pylist(), langs, model)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.string()), pa.array(best)], names=[*part.schema.names[1:], *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -122,7 +154,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def filter_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Keeps documents whose language is found with at least that score; columns stay as they are."""
+    """Keeps documents whose language is found with at least that score; columns stay as they are, whatever their names."""
     trained = train(docs, F.lit(True))
-    names = docs.columns
-    return predict(docs, trained, names).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = predict(row, trained, ["__row"], ("__lang", "__score")).where((F.col("__lang") != "und") & (F.col("__score") >= least))
+    return found.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
