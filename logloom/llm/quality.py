@@ -5,8 +5,10 @@ are max-pooled in chunks of 2 x ``HALF`` responses that overlap by half; the mea
 document's chunks feed one logistic unit.  As an embedding followed by a filter is a table by byte, responses
 are sums of table rows.  Texts of any length are worked on in blocks.
 
-Trained on the driver from about ``max_rows`` labelled rows (chosen by a hash of doc_id) whose label is not
-null.  A null text is scored as an empty one.  Without rows of both labels the score is the label's share, 0.5
+Trained on the driver from labelled rows (chosen by a hash of doc_id) whose label is not null: about ``max_rows`` of them,
+or fewer where their texts would pass ``max_bytes``.  Of several labels of one doc_id the largest holds; of repeated rows
+each is learned from and scored.  An empty table gives no rows.  A null text is scored as an empty one; scores tie as they
+fall, and equal texts have equal scores.  Without rows of both labels the score is the label's share, 0.5
 where there is none.  Labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, slices
+from .common import is_held_out, sampled, slices
 
 WIDTH, STRIDE, HALF, FILTERS, EMBED = 6, 2, 128, 16, 8
 SPAN = STRIDE * HALF  # bytes that a half chunk steps over
@@ -27,8 +29,9 @@ BLOCK = 1024  # half chunks worked on at a time
 
 
 def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Zero-padded bytes of all texts, and each text's first half chunk; two at least, none shared."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    """Zero-padded bytes of all texts, and each text's first half chunk; two at least, none shared.  The zeros before a
+    text are all that the last responses of the one before reach, so that scores don't depend on neighbours."""
+    raw = [b"\0" * (WIDTH - STRIDE) + (t or "").encode("utf-8", "surrogatepass") for t in texts]
     n = [max(2, -(-(len(r) + WIDTH) // SPAN)) for r in raw]
     return np.frombuffer(b"".join(r.ljust(k * SPAN, b"\0") for r, k in zip(raw, n)) + b"\0" * WIDTH, dtype="u1"), np.cumsum([0, *n])
 
@@ -124,13 +127,18 @@ class Network:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, label: str = "quality", max_rows: int = 2500) -> Network:
+def train(docs: DataFrame, labels: DataFrame, where: Column, label: str = "quality", max_rows: int = 2500, max_bytes: int = 64 << 20) -> Network:
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("__label")).where(where)
+    marked = marked.groupBy("doc_id").agg(F.max("__label").alias("__label"))
     share = max_rows / max(1, marked.count())
-    if share < 1:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # about max_rows ids at most, hence small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+    def drawn(share: float) -> DataFrame:
+        # about max_rows ids at most, hence small enough to broadcast
+        own = docs.select("doc_id", "text").join(F.broadcast(marked.where(sampled(share))), "doc_id")
+        return own.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__label")
+
+    size = drawn(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = drawn(min(share, 1) * min(1, max_bytes / max(1, size))).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return Network().fit(rows.column("text").to_pylist(), rows.column("__label").to_numpy())
 
 
