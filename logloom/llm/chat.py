@@ -1,6 +1,6 @@
 """Chat formatting: schema fingerprints choose how a layout becomes canonical turns.
 
-``field_paths`` lists the nested field paths of a record, of which the ones that some layout knows are hashed;
+``field_paths`` lists the nested field paths of a record, ``schema_paths`` those of a table's schema; the ones that some layout knows are hashed;
 ``LAYOUTS`` maps the fingerprint to a declarative mapping.  Fields that no layout knows do not change it, so
 further columns never clash.  An unknown fingerprint is an error that names the paths.
 
@@ -9,7 +9,7 @@ The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Ins
 in roles, backslashes and newlines are escaped as well.  The loss mask covers the texts of assistant turns.
 
 Null roles and texts count as empty; rows of one conversation are ordered by turn (nulls first), then role,
-then text, repeated rows stay.  Formatting streams over sorted rows: a conversation of any size is never held
+then text, repeated rows stay.  An empty table gives no rows.  Formatting streams over sorted rows: a conversation of any size is never held
 whole, one turn is.
 """
 
@@ -24,6 +24,7 @@ from typing import Any, NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -129,17 +130,16 @@ def format_chat(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]
     return "".join(parts), spans
 
 
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n((?:[^<]|<(?!\|))*)<\|im_end\|>\n")
-
-
 def read_chat(formatted: str) -> list[tuple[str, str]]:
+    """The turns of a formatted text, found by their marks: no other ``<|`` stands in it."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if m is None:
+        line = formatted.find("\n", at)
+        stop = formatted.find("<|", line + 1)
+        if line < 0 or not formatted.startswith(START, at) or stop < 0 or not formatted.startswith(END, stop):
             raise ValueError(f"no turn at {at}")
-        out.append((_role_out(m[1]), _unescape(m[2])))
-        at = m.end()
+        out.append((_role_out(formatted[at + len(START) : line]), _unescape(formatted[line + 1 : stop])))
+        at = stop + len(END)
     return out
 
 
@@ -168,11 +168,38 @@ def format_records(records: DataFrame, ident: str = "id", column: str = "record"
     return rows.mapInArrow(run, "id string, layout string, formatted string, loss array<array<long>>")
 
 
-def format_turns(rows: DataFrame) -> DataFrame:
-    """One formatted piece for each row of a table of turns, in order within partitions that hold whole
+def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+    """The nested field paths of a table's schema, as ``field_paths`` has them of a record."""
+    if isinstance(kind, T.StructType):
+        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields)) if kind.fields else {at}
+    return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else {at}
+
+
+def turns_of(rows: DataFrame, ident: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text of a table in any layout that its schema's fingerprint selects."""
+    paths, conv = schema_paths(rows.schema), F.col(ident).cast("long").alias("conv_id")
+    layout = layout_of(paths if fingerprint(paths) in LAYOUTS else paths - {ident})
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    if layout.turns == "":
+        return rows.select(conv, F.col("turn").cast("long").alias("turn"), blank(F.col(layout.role)).alias("role"), blank(F.col(layout.text)).alias("text"))
+    if layout.turns:
+        own = rows.select(conv, F.posexplode(layout.turns).alias("turn", "__t"))
+        role = F.col("__t").getField(layout.role)
+        for theirs, ours in ROLES.items():
+            role = F.when(F.col("__t").getField(layout.role) == theirs, ours).otherwise(role)
+        return own.select("conv_id", F.col("turn").cast("long").alias("turn"), blank(role).alias("role"), blank(F.col("__t").getField(layout.text)).alias("text"))
+    parts = []
+    for role, path in layout.fields:
+        texts = F.filter(F.array(*[blank(F.col(p)) for p in path.split("+")]), lambda x: x != "")
+        parts.append(F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text")))
+    kept = F.filter(F.array(*parts), lambda x: (x["role"] != "system") | (x["text"] != ""))
+    return rows.select(conv, F.posexplode(kept).alias("turn", "__t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "__t.role", "__t.text")
+
+
+def format_turns(rows: DataFrame, ident: str = "conv_id") -> DataFrame:
+    """One formatted piece for each turn of a table of any known layout, in order within partitions that hold whole
     conversations: conv_id, part, formatted, loss_begin, loss_end (within the piece; null: no loss)."""
-    layout = layout_of(rows.columns)
-    turns = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col(layout.role), F.lit("")).alias("role"), F.coalesce(F.col(layout.text), F.lit("")).alias("text"))
+    turns = turns_of(rows, ident)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, part = object(), 0
