@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import dealt_join
+
 
 class QuotientFilter:
     """Counts of 64-bit fingerprints: quotients (high bits) mark ``occupied``, the remainders of a quotient form a
@@ -72,12 +74,28 @@ class QuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[QuotientFilter]) -> QuotientFilter:
-        """All of one range; counts add up."""
-        keys, counts = (np.concatenate(x) for x in zip(*(f.items() for f in filters)))
-        order = np.argsort(keys, kind="stable")  # a merge of sorted runs
-        keys, counts = keys[order], counts[order].astype("u8")
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype="i8")
-        return cls(keys[first], np.add.reduceat(counts, first) if len(first) else counts, filters[0].low, filters[0].bits)
+        """All of one range, two by two; counts add up.  Remainders lie in order of their quotients, so each filter is a
+        sorted run, and where the items of one run fall in the other is their place in the merged one."""
+        runs = [f.items() for f in filters]
+        while len(runs) > 1:
+            runs = [cls._merged(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        return cls(*runs[0], filters[0].low, filters[0].bits)
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, other = np.searchsorted(b[0], a[0], "left"), np.searchsorted(a[0], b[0], "left")
+        shared = np.zeros(len(b[0]), dtype=bool)
+        if len(a[0]):
+            shared = a[0][np.minimum(other, len(a[0]) - 1)] == b[0]
+        skipped = np.cumsum(shared) - shared  # items of b that a has as well, before each
+        at = np.arange(len(a[0])) + own - (np.append(0, np.cumsum(shared))[own])
+        to = np.where(shared, 0, np.arange(len(b[0])) - skipped + other)
+        keys = np.empty(len(a[0]) + int((~shared).sum()), dtype="u8")
+        counts = np.zeros(len(keys), dtype="u8")
+        keys[at], counts[at] = a[0], a[1]
+        keys[to[~shared]], counts[to[~shared]] = b[0][~shared], b[1][~shared]
+        counts[at[other[shared]]] += b[1][shared].astype("u8")
+        return keys, counts
 
     def to_bytes(self) -> bytes:
         wide = -(-self.r // 8)
@@ -104,10 +122,15 @@ class QuotientFilter:
         return self
 
 
+#: Rows that a range of fingerprints holds on the mean: about 40 MB of filters.
+RANGE = 4_000_000
+
+
 def repeated(fingerprints: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
-    """The values of a long column that occur more than once."""
+    """The values of a long column that occur more than once.  There are as many ranges as shuffle partitions, or more
+    where the rows ask for it, so that a task's filters stay small at any size."""
     spark = fingerprints.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fingerprints.count() // RANGE))
     power = max(1, (n - 1).bit_length())
     bits = 64 - power
 
@@ -166,12 +189,16 @@ def _classes(docs: DataFrame, text: Column) -> DataFrame:
     return same.select(F.unhex(F.sha2(F.col("__text").cast("binary"), 256)).alias("__sha"), "__keep", "__n")
 
 
+#: Rows of one text are dealt to so many tasks by their id.
+SALTS = 16
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("__sha"))
-    found = rows.join(_classes(docs, text), "__sha", "left")
+    found = dealt_join(rows, _classes(docs, text), "__sha", "doc_id", "left", SALTS)
     return found.select(
         "doc_id",
         F.when(F.col("__n").isNull(), F.col("doc_id")).otherwise(F.col("__keep")).alias("keep_id"),
@@ -181,10 +208,6 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of one text are dealt to so many tasks by their id.
-SALTS = 16
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, that with the largest doc_id; columns stay as they are.
 
