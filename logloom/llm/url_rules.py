@@ -7,13 +7,15 @@ Everything on the main path is DataFrame and SQL functions.
 * Stated rules (``allow``/``block``, host/path): one fits its host and all subdomains if the url's path starts
   with the rule's path; the longest wins (host and path together, ties by text).
 * Mined rules: url tokens (``h:`` host suffixes, ``w:`` host labels, ``p:`` path words, ``d:`` depth) of labelled
-  urls are transactions of Spark's FP-growth; an itemset is a rule if at least ``min_support`` of the labelled
-  urls hold it and a share of ``min_confidence`` of those are labelled bad, whatever its size.  A rule whose proper
-  subset is a rule as well is pruned.  Rules are matched by an inverted index: each stands under its rarest token, a url
+  urls are transactions of Spark's FP-growth; an itemset of any size is a rule if at least ``min_support`` of the labelled
+  urls hold it and the share of those that are labelled bad is high enough: ``min_confidence``, or as much above the share
+  among all labelled urls as ``min_lift`` and ``min_deviations`` say.  A rule whose proper subset is a rule as well is pruned.
+  Rules are matched by an inverted index: each stands under its rarest token by count, a url
   looks its tokens up there, and a hit counts if all the rule's tokens are the url's.
 
-Where no rule of either kind fits, the verdict is ``allow``.  Null urls have no tokens and hosts; repeated rows stay; other
-columns are not read.  With no labelled rows nothing is mined.
+Where no rule of either kind fits, the verdict is ``allow``; where mined rules fit, it is ``block``, and ``mined`` is the smallest
+rule_id of these.  Null urls have no tokens and hosts; repeated rows stay; other
+columns are not read.  With no labelled rows nothing is mined; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt_join
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,34 +66,53 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(every)
 
 
-def mine(urls: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
-    """Rules (rule_id, items, support, confidence) from rows of (tokens, bad); bad is 0 or 1."""
+def rarest(items: DataFrame, counts: DataFrame, *keep: str) -> DataFrame:
+    """token (the item that ``counts`` (token, n) has least of; of ties the first), and the columns ``keep``, for each row
+    of items."""
+    rows = items.select("items", *keep, F.explode("items").alias("token")).join(counts, "token")
+    return rows.groupBy("items").agg(F.min(F.struct("n", "token"))["token"].alias("token"), *[F.first(k).alias(k) for k in keep])
+
+
+def mine(urls: DataFrame, min_support: float = 0.01, min_confidence: float | None = None, min_lift: float = 1.3, min_deviations: float = 2.0) -> DataFrame:
+    """Rules (rule_id, items, token, support, confidence) from rows of (tokens, bad); bad is 0 or 1.  ``token`` is the item
+    that the fewest labelled urls hold.
+
+    Without ``min_confidence`` the share of bad urls has to pass that among all labelled ones ``min_lift`` times, and by
+    ``min_deviations`` standard deviations of a draw of as many urls."""
     spark = urls.sparkSession
-    empty = spark.createDataFrame([], "rule_id long, items array<string>, support double, confidence double")
+    empty = spark.createDataFrame([], "rule_id long, items array<string>, token string, support double, confidence double")
     totals = urls.agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).first()
     if not totals["n"] or not totals["bad"]:
         return empty
+    rate = totals["bad"] / totals["n"]
+    least = min_lift * rate if min_confidence is None else min_confidence
+    if least > 1:
+        return empty
     # every rule's itemset is frequent among the bad urls already at the support it needs there
-    floor = min_support * min_confidence * totals["n"] / totals["bad"]
+    floor = min_support * least / rate
     if floor > 1:
         return empty
     bad = urls.where("bad = 1").select(F.col("tokens").alias("items"))
     frequent = FPGrowth(itemsCol="items", minSupport=floor, numPartitions=spark.sparkContext.defaultParallelism).fit(bad).freqItemsets
     found = cut(frequent.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad")), "itemsets")
     found = found.join(_implied(urls, found), "items", "left_anti")
-    # how often each itemset stands in all labelled urls, by the index: itemset under its first item
-    indexed = found.select(F.element_at("items", 1).alias("token"), "items", "n_bad")
-    rows = urls.select("tokens", F.explode("tokens").alias("token"))
-    held = rows.join(indexed, "token").where(F.size(F.array_except("items", "tokens")) == 0)
-    counted = held.groupBy("items").agg(F.count("*").alias("n"), F.first("n_bad").alias("n_bad"))
-    rules = counted.select("items", (F.col("n") / totals["n"]).alias("support"), (F.col("n_bad") / F.col("n")).alias("confidence")).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
+    # how often each itemset stands in all labelled urls, by the index: itemset under its rarest item
+    counts = cut(urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
+    indexed = rarest(found, counts, "n_bad")
+    rows = urls.select("tokens", F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("__spread"))
+    held = dealt_join(rows, indexed, "token", "__spread").where(F.size(F.array_except("items", "tokens")) == 0)
+    counted = held.groupBy("items").agg(F.count("*").alias("n"), F.first("n_bad").alias("n_bad"), F.first("token").alias("token"))
+    fits = (F.col("support") >= min_support) & (F.col("confidence") >= least)
+    if min_confidence is None:
+        fits &= F.col("n_bad") - F.col("n") * rate >= min_deviations * F.sqrt(F.col("n") * rate * (1 - rate))
+    rules = counted.withColumns({"support": F.col("n") / totals["n"], "confidence": F.col("n_bad") / F.col("n")}).where(fits).select("items", "token", "support", "confidence")
     rules = cut(rules, "rules")
-    # smaller rules by the index as well: each under its first item
-    parts = rules.select(F.element_at("items", 1).alias("token"), F.col("items").alias("part"))
+    # smaller rules by the index as well
+    parts = rules.select("token", F.col("items").alias("part"))
     held = rules.select("items", F.explode("items").alias("token")).join(parts, "token")
     smaller = held.where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)).select("items").distinct()
     kept = rules.join(smaller, "items", "left_anti")
-    return kept.select(F.xxhash64("items").alias("rule_id"), "items", "support", "confidence")
+    return cut(kept.select(F.xxhash64("items").alias("rule_id"), "items", "token", "support", "confidence"), "mined")
 
 
 def _implied(urls: DataFrame, found: DataFrame) -> DataFrame:
@@ -115,13 +136,13 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, fixed=RULES) -> Data
     if rules is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("__says", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("mined"))
     rows = rows.withColumn("__tokens", F.when(F.col("__says").isNull(), tokens(F.col("host"), F.col("path"))))
-    # under its rarest token: the longest token text stands for the rarest, as host suffixes nest
-    index = rules.select(F.array_max(F.transform("items", lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"].alias("__token"), "rule_id", "items")
+    index = rules.select(F.col("token").alias("__token"), "rule_id", "items")
     # what fits depends on the url alone, so hits are joined back by url
     looked_up = rows.where(F.col("__tokens").isNotNull()).select("url", "__tokens").distinct()
-    hits = looked_up.select("url", "__tokens", F.explode("__tokens").alias("__token")).join(index, "__token").where(F.size(F.array_except("items", "__tokens")) == 0)
+    hits = dealt_join(looked_up.select("url", "__tokens", F.explode("__tokens").alias("__token")), index, "__token", "url").where(F.size(F.array_except("items", "__tokens")) == 0)
     best = hits.groupBy("url").agg(F.min("rule_id").alias("mined"))
-    return rows.join(best, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("__says", F.when(F.col("mined").isNotNull(), "block"), F.lit("allow")).alias("verdict"), "mined")
+    rows = dealt_join(rows, best, "url", "page_id", "left")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("__says", F.when(F.col("mined").isNotNull(), "block"), F.lit("allow")).alias("verdict"), "mined")
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
