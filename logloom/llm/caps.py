@@ -199,6 +199,8 @@ def linked(rows: DataFrame, least: float) -> DataFrame:
 
 def links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    if least < 0.95:
+        raise ValueError("the filters and the sketches' limit hold for cosines of 0.95 and more")
     rows = cut(filtered(vectors), "vectors")
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("signs").alias("signs"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
     nodes = cut(nodes, "nodes")

@@ -172,6 +172,8 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) ->
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signatures, components of nodes): all that decides which documents hang together."""
+    if percent < 80:
+        raise ValueError("the bands and the sketches' limit hold for similarities of 80 percent and more")
     signed = cut(signatures(docs, width), "signed")
     nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "nodes")
