@@ -48,6 +48,13 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array(*sizes)).alias("f")).select("f.*").groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
 
 
+def sizes_of(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """As ``lengths``, from stored postings: each document and field has one length, and a field without terms has none."""
+    own = index.groupBy("field", "id").agg(F.first("length").alias("length")).groupBy("field").agg(F.sum("length").alias("s"))
+    n = docs.agg(F.count("*").alias("n"))
+    return own.crossJoin(n).select("field", "n", (F.col("s") / F.col("n")).alias("avg"))  # by one row
+
+
 def parse_query(query: str, case_sensitive: bool = True) -> list[list[str]]:
     """Alternatives: one-term lists, and phrases for identifiers joined by underscores."""
     out: list[list[str]] = []

@@ -1,8 +1,12 @@
-"""The store: Parquet tables under versioned folders, with upsert, cleanup, derived index and statistics.
+"""The store: Parquet segments under one folder, with upsert, cleanup, derived index and statistics.
 
-A change writes new versions of the tables that it touches and then one small pointer file, so that a reader sees
-all of a change or nothing of it.  Keys: ``source_path`` of a conversation; ids are hashes of it, hence the same
-whichever executor makes them."""
+A change appends a segment to each table that it touches, a list of ids whose older rows no longer count, and last a
+state file with the next number, made only if no one else made it.  A reader takes the highest state and sees all of a
+change or nothing of it; a crash leaves the state before.  What a change writes follows the change, not the store: readers
+drop dead rows by a join with the ids, and every ``COMPACT`` segments a table is written anew.  Files that no state of the
+last two names are deleted.
+
+Keys: ``source_path`` of a conversation; ids are hashes of it, hence the same whichever executor makes them."""
 
 from __future__ import annotations
 
@@ -13,12 +17,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import canon, text
+from ..plans.steps import lookup, written
 from . import search
 
-TABLES = {"conversations": schema.CONVERSATIONS, "messages": schema.MESSAGES, "usage_events": schema.USAGE_EVENTS, "embeddings": schema.EMBEDDINGS}
+_SEARCH = "id long, title string, content string, preview string, agent string, workspace string, source_path string, created_at long"
+TABLES = {
+    "conversations": schema.CONVERSATIONS, "messages": schema.MESSAGES, "usage_events": schema.USAGE_EVENTS, "embeddings": schema.EMBEDDINGS,
+    "search_docs": _SEARCH, "postings": "field string, term string, id long, length int, tf long, positions array<int>", "failed": "source_path string, error string",
+}
+#: The column by which a conversation's rows are told, of the tables that have it.
+KEYS = {"conversations": "id", "messages": "conversation_id", "usage_events": "conversation_id", "embeddings": "conversation_id", "search_docs": "id", "postings": "id"}
+#: Segments of a table after which it is written anew.
+COMPACT = 32
 
 
 # ---------------------------------------------------------------- rules on rows
@@ -53,8 +67,8 @@ def roots(rows: DataFrame) -> DataFrame:
     rounds = max(1, rows.count().bit_length() + 1)
     for _ in range(rounds):
         ahead = at.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("low").alias("__low"))
-        at = at.join(ahead, "up").select("id", F.col("__up").alias("up"), F.least("low", "__low").alias("low"), (F.col("__up") != F.col("up")).alias("moved"))
-        at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at.cache()
+        at = lookup(at, ahead, "up", "id", "inner").select("id", F.col("__up").alias("up"), F.least("low", "__low").alias("low"), (F.col("__up") != F.col("up")).alias("moved"))
+        at = written(at, "roots")
         if at.where("moved").isEmpty():
             break
         at = at.drop("moved")
@@ -121,34 +135,77 @@ class Store:
         if not read_only and int(version) < schema.SCHEMA_VERSION:
             self.migrate(int(version))
 
-    # the pointer: {"tables": {name: folder}, "meta": {key: value}}
-    def _state(self) -> dict:
-        at = self._path(f"{self.path}/CURRENT.json")
+    # a state: {"number", "tables": {name: [[segment number, folder], ...]}, "gone": [[number, folder], ...], "meta": {key: value}}
+    def _numbers(self) -> list[int]:
+        at = self._path(self.path)
         if not self._fs.exists(at):
-            return {"tables": {}, "meta": {}}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/CURRENT.json", wholetext=True).collect()))
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
+        return sorted(int(n[6:-5]) for n in names if n.startswith("STATE-") and n.endswith(".json"))
+
+    def _state(self, number: int | None = None) -> dict:
+        numbers = self._numbers()
+        if not numbers:
+            return {"number": 0, "tables": {}, "gone": [], "meta": {}}
+        stream = self._fs.open(self._path(f"{self.path}/STATE-{number or numbers[-1]:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _point(self, state: dict) -> None:
+        """Make the next state visible: written aside, then renamed to a name that must not exist."""
         if self.read_only:
             raise RuntimeError("the store is open for reading only")
-        new = self._path(f"{self.path}/.CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(new)
-        out.write(bytearray(json.dumps(state).encode()))
+        number = state["number"] + 1
+        aside, at = self._path(f"{self.path}/.state-{uuid.uuid4().hex}"), self._path(f"{self.path}/STATE-{number:012d}.json")
+        out = self._fs.create(aside)
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
         out.close()
-        at = self._path(f"{self.path}/CURRENT.json")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(new, at)
+        if self._fs.exists(at) or not self._fs.rename(aside, at):
+            self._fs.delete(aside, False)
+            raise RuntimeError(f"another writer made state {number}")
+        self._sweep(number)
+
+    def _sweep(self, number: int) -> None:
+        """Delete states before the last one, and folders that neither names."""
+        kept = [n for n in self._numbers() if n >= number - 1]
+        named: set[str] = set()
+        for n in kept:
+            state = self._state(n)
+            named |= {f for own in (*state["tables"].values(), state["gone"]) for _, f in own}
+        for f in self._fs.listStatus(self._path(self.path)):
+            name = f.getPath().getName()
+            old = name.startswith("STATE-") and int(name[6:-5]) not in kept
+            if old or name.startswith("segment-") and name not in named and int(name.split("-")[1]) < number:
+                self._fs.delete(f.getPath(), True)
+
+    def _segment(self, rows: DataFrame, name: str, number: int) -> str:
+        folder = f"segment-{number:012d}-{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return folder
 
     def table(self, name: str) -> DataFrame:
-        folder = self._state()["tables"].get(name)
-        if folder is None:
+        return self._rows(self._state(), name)
+
+    def _rows(self, state: dict, name: str) -> DataFrame:
+        segments = state["tables"].get(name)
+        if not segments:
             return self.spark.createDataFrame([], TABLES[name])
-        rows = self.spark.read.parquet(f"{self.path}/{folder}")
-        for f in TABLES.get(name, ()):  # columns that an older version lacks
-            if f.name not in rows.columns:
-                rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        return rows
+        key = KEYS.get(name)
+        gone = [(n, f) for n, f in state["gone"] if key and n > segments[0][0]]
+        rows = None
+        for number, folder in segments:
+            own = self.spark.read.parquet(f"{self.path}/{folder}")
+            for f in TABLES[name] if isinstance(TABLES.get(name), T.StructType) else ():  # columns that an older version lacks
+                if f.name not in own.columns:
+                    own = own.withColumn(f.name, F.lit(None).cast(f.dataType))
+            own = own.withColumn("__segment", F.lit(number).cast("long")) if gone else own
+            rows = own if rows is None else rows.unionByName(own)
+        if not gone:
+            return rows
+        dead = self.spark.read.parquet(*[f"{self.path}/{f}" for _, f in gone]).groupBy(F.col("id").alias(key)).agg(F.max("number").alias("__dead"))
+        return rows.join(dead, key, "left").where(F.col("__dead").isNull() | (F.col("__segment") >= F.col("__dead"))).drop("__dead", "__segment")
 
     def meta(self, key: str, default=None):
         return self._state()["meta"].get(key, default)
@@ -159,17 +216,37 @@ class Store:
         self._point(state)
 
     def replace(self, tables: dict[str, DataFrame], **meta) -> None:
-        """New versions of all given tables, visible together."""
+        """New contents of all given tables, visible together."""
         state = self._state()
-        old = [state["tables"][n] for n in tables if n in state["tables"]]
+        number = state["number"] + 1
         for name, rows in tables.items():
-            folder = f"{name}-{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.path}/{folder}")
-            state["tables"][name] = folder
+            state["tables"][name] = [[number, self._segment(rows, name, number)]]
+        state["meta"] |= {"schema_version": schema.SCHEMA_VERSION, **meta}
+        self._point(self._pruned(state))
+
+    @staticmethod
+    def _pruned(state: dict) -> dict:
+        """Without lists of dead ids that are older than all rows."""
+        first = min((own[0][0] for name, own in state["tables"].items() if name in KEYS and own), default=0)
+        return state | {"gone": [[n, f] for n, f in state["gone"] if n > first]}
+
+    def change(self, added: dict[str, DataFrame], gone: DataFrame | None = None, **meta) -> None:
+        """Append rows to the given tables; rows of ids in ``gone`` that any table holds so far no longer count."""
+        state = self._state()
+        number = state["number"] + 1
+        if gone is not None:
+            state["gone"].append([number, self._segment(gone.select("id").distinct().withColumn("number", F.lit(number).cast("long")), "gone", number)])
+        for name, rows in added.items():
+            state["tables"].setdefault(name, []).append([number, self._segment(rows, name, number)])
         state["meta"] |= {"schema_version": schema.SCHEMA_VERSION, **meta}
         self._point(state)
-        for folder in old:
-            self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+        if max((len(own) for own in state["tables"].values()), default=0) >= COMPACT or len(state["gone"]) >= COMPACT:
+            self.compact()
+
+    def compact(self) -> None:
+        """Every table in one segment, without dead rows."""
+        state = self._state()
+        self.replace({name: self._rows(state, name) for name, own in state["tables"].items() if own})
 
     def migrate(self, version: int) -> None:
         """Backfill of the provenance columns: blanks become null, totals and a cost status are derived."""
@@ -209,17 +286,27 @@ class Store:
             "indexed_at": F.lit(now_ms).cast("long"), "logical_session_id": F.coalesce("logical_session_id", F.nullif("external_id", F.lit(""))),
             "record_kind": F.coalesce("record_kind", F.lit("top_level")), "is_synthetic": F.coalesce("is_synthetic", F.lit(False)) | F.coalesce("__faux", F.lit(False)),
         })
-        keys = fresh.select("id")
-        keep = lambda name, key: self.table(name).join(keys.withColumnRenamed("id", key), key, "left_anti")
-        self.replace({
-            "conversations": keep("conversations", "id").unionByName(own.select(*schema.CONVERSATIONS.names)),
-            "messages": keep("messages", "conversation_id").unionByName(messages.select(*schema.MESSAGES.names)),
-            "usage_events": keep("usage_events", "conversation_id").unionByName(usage.select(*schema.USAGE_EVENTS.names)),
-            "embeddings": keep("embeddings", "conversation_id").select(*schema.EMBEDDINGS.names),
-        }, index_stale=True)
+        self.change({
+            "conversations": own.select(*schema.CONVERSATIONS.names), "messages": messages.select(*schema.MESSAGES.names), "usage_events": usage.select(*schema.USAGE_EVENTS.names),
+            **({"embeddings": self._kept_embeddings(fresh.where("not __new"))} if counts.get(False) else {}),
+        }, fresh.where("not __new") if counts.get(False) else None, index_stale=True)
         self._fs.delete(self._path(work), True)
         return {"inserted": counts.get(True, 0), "updated": counts.get(False, 0)}
 
+    def _kept_embeddings(self, updated: DataFrame) -> DataFrame:
+        """An update leaves the embedding of a conversation as it is."""
+        return self.table("embeddings").join(updated.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select(*schema.EMBEDDINGS.names)
+
+    def needs_reindex(self, source_path: str, fingerprint: str) -> bool:
+        return self.table("conversations").where((F.col("source_path") == source_path) & (F.col("source_fingerprint") == fingerprint)).isEmpty()
+
+    def has_source_path(self, source_path: str) -> bool:
+        return not self.table("conversations").where(F.col("source_path") == source_path).isEmpty()
+
+    def fingerprints(self) -> DataFrame:
+        """source_path, source_fingerprint, id of every row."""
+        return self.table("conversations").select("source_path", "source_fingerprint", "id")
+
     def missing(self, existing: DataFrame, detected: list[str]) -> DataFrame:
         """source_path, state of rows of detected agents whose source is not there: ``existing`` has source_path and
         exists (true, false, or null where that is not known); paths that it does not name are missing."""
@@ -232,18 +319,47 @@ class Store:
         keys = missing.where("state = 'missing'").select("id")
         n = keys.count()
         if n:
-            self.replace({name: self.table(name).join(keys.withColumnRenamed("id", "id" if name == "conversations" else "conversation_id"), "id" if name == "conversations" else "conversation_id", "left_anti") for name in TABLES}, index_stale=True)
+            self.change({}, keys, index_stale=True)
         return n
 
     def rebuild_index(self) -> int:
-        """Search rows, postings and field lengths from the tables."""
-        docs = search_rows(self.table("conversations"), self.table("messages"))
-        self.replace({"search_docs": docs}, document_format=schema.DOCUMENT_FORMAT)
+        """Search rows and postings from the tables, all anew."""
+        self.replace({"search_docs": search_rows(self.table("conversations"), self.table("messages"))})
         docs = self.table("search_docs")
-        index = search.postings(docs).repartitionByRange("term").sortWithinPartitions("term")  # so that a term's rows are found by their statistics
-        self.replace({"postings": index, "lengths": search.lengths(docs)}, index_stale=False, document_format=schema.DOCUMENT_FORMAT)
+        self.replace({"postings": self._postings(docs)}, index_stale=False, document_format=schema.DOCUMENT_FORMAT)
         return docs.count()
 
+    @staticmethod
+    def _postings(docs: DataFrame) -> DataFrame:
+        return search.postings(docs).repartitionByRange("term").sortWithinPartitions("term")  # so that a term's rows are found by their statistics
+
+    def refresh_index(self) -> int:
+        """Search rows and postings of conversations that have none yet; rows of changed and deleted ones are dead already.
+        An index of another format is built anew."""
+        if self.meta("document_format") != schema.DOCUMENT_FORMAT:
+            return self.rebuild_index()
+        have = self.table("search_docs").select("id")
+        fresh = self.table("conversations").join(have, "id", "left_anti")
+        if fresh.isEmpty():
+            self.set_meta(index_stale=False)
+            return 0
+        said = self.table("messages").join(fresh.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+        work = f"{self.path}/work-{uuid.uuid4().hex}"
+        search_rows(fresh, said).write.parquet(work)
+        docs = self.spark.read.parquet(work)
+        n = docs.count()
+        self.change({"search_docs": docs, "postings": self._postings(docs)}, index_stale=False)
+        self._fs.delete(self._path(work), True)
+        return n
+
+    def remove_from_index(self, ids: DataFrame) -> None:
+        """Search rows and postings of the ids go; their conversations stay, and the next refresh adds them again."""
+        state = self._state()
+        self.replace({name: self._rows(state, name).join(ids.select("id"), "id", "left_anti") for name in ("search_docs", "postings") if state["tables"].get(name)}, index_stale=True)
+
+    def doc_count(self) -> int:
+        return self.table("search_docs").count()
+
     def index_is_current(self) -> bool:
         return not self.meta("index_stale", True) and self.meta("document_format") == schema.DOCUMENT_FORMAT
 
@@ -253,12 +369,13 @@ class Store:
         docs = self.table("search_docs").join(have, "id", "left_anti").select("id", text.cut_bytes("content", 1000).alias("text"))
         fresh = encode(docs).select(F.col("id").alias("conversation_id"), "embedding")
         before = have.count()
-        self.replace({"embeddings": self.table("embeddings").unionByName(fresh)})
+        self.change({"embeddings": fresh})
         return self.table("embeddings").count() - before
 
     # ------------------------------------------------------------ reading
     def search(self, q: search.SearchQuery, as_of: int, mode: str = "window") -> DataFrame:
-        return search.search(self.table("search_docs"), q, as_of, self.table("postings"), self.table("lengths"), mode)
+        index = self.table("postings")
+        return search.search(self.table("search_docs"), q, as_of, index, search.sizes_of(index, self.table("search_docs")), mode)
 
     def conversation(self, ident: int | str) -> dict | None:
         """A conversation with its messages and usage, by id or by exact source path."""
@@ -270,3 +387,15 @@ class Store:
         for name in ("messages", "usage_events"):
             out[name] = [json.loads(r) for r in self.table(name).where(F.col("conversation_id") == out["id"]).orderBy("idx").toJSON().collect()]
         return out
+
+    def messages_of(self, ident: int) -> DataFrame:
+        return self.table("messages").where(F.col("conversation_id") == ident).orderBy("idx")
+
+    def usage_of(self, ident: int) -> DataFrame:
+        return self.table("usage_events").where(F.col("conversation_id") == ident).orderBy(F.coalesce("timestamp", "interval_start"), "idx")
+
+    def all_conversations(self) -> DataFrame:
+        """Every conversation with its messages and usage in arrays, by id."""
+        said = self.table("messages").groupBy(F.col("conversation_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in schema.MESSAGES.names if c not in ("conversation_id", "idx")]))).alias("messages"))
+        used = self.table("usage_events").groupBy(F.col("conversation_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", *schema.USAGE_RECORD.names)), lambda a, b: a["idx"] - b["idx"]).alias("usage"))
+        return self.table("conversations").join(said, "id", "left").join(used, "id", "left").orderBy("id")

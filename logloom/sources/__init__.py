@@ -1 +1,14 @@
-"""Part of logloom."""
+"""Sources of transcripts."""
+
+from __future__ import annotations
+
+
+def connectors():
+    """All connectors by agent, in the order of the slugs."""
+    from .. import schema
+    from . import hermes, opencode
+    from .base import Connector
+    from .jsonl import CONNECTORS
+
+    own = CONNECTORS | {"hermes": Connector("hermes", ("state.db",), read=hermes.scan), "opencode": Connector("opencode", ("*.db", "*.json"), read=opencode.scan)}
+    return {a: own[a] for a in schema.AGENTS}

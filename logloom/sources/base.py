@@ -1,8 +1,9 @@
 """Sources: transcript files read by Spark, one file a row, parsed where they lie.
 
-A connector names the roots and file patterns of an agent and parses one file's bytes.  ``scan`` lists and reads the
-files with Spark's binary file source (any store that Spark reads), skips files by modification time or by an anti
-join with known paths, and keeps failed files apart, so that an incomplete scan neither moves a cursor nor deletes.
+A connector names the roots and file patterns of an agent and parses one file's bytes.  ``listed`` lists files of any
+store that Spark reads without reading them; ``scan`` reads those that are to be parsed: all, those changed since a time
+(which Spark's reader skips by itself), or those whose path is not known.  Failed files are kept apart, so that an
+incomplete scan neither moves a cursor nor deletes.
 
 A transcript is one session's log: a task holds one file at a time."""
 
@@ -15,11 +16,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
+from ..plans.steps import written
 
 U64_MAX = (1 << 64) - 1
 I64_MAX = (1 << 63) - 1
@@ -28,12 +32,15 @@ _OUT = T.StructType([T.StructField("conversation", schema.CONVERSATION_RECORD),
 
 @dataclass(frozen=True)
 class Connector:
-    """``parse(path, data)`` gives a conversation as a dict, or None for a file without one."""
+    """``parse(path, data)`` gives a conversation as a dict, or None for a file without one.  A connector with ``read``
+    reads its roots itself: it gives (conversations, errors)."""
 
     agent: str
     globs: tuple[str, ...]
-    parse: Callable[[str, bytes], dict | None]
+    parse: Callable[[str, bytes], dict | None] | None = None
     on_error: str = "skip"  # skip: leave the file out, scan incomplete; fail: raise; skip_agent: no rows of this agent
+    read: Callable[[SparkSession, list[str]], Scan] | None = None
+    keep: str | None = None  # a pattern that paths have to hold
 
     @property
     def revision(self) -> int:
@@ -50,50 +57,87 @@ class Scan:
         return self.errors.isEmpty()
 
 
-def scan(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int | None = None, known: DataFrame | None = None) -> Scan:
-    """Conversations of all files, of those changed since then, or of those whose path is not ``known``."""
+def outermost(roots: list[str]) -> list[str]:
+    """Roots without repeats and without those below another one."""
+    plain = sorted({r.rstrip("/") or "/" for r in roots})
+    return [r for r in plain if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in plain)]
+
+
+def plain_path(column: str = "path"):
+    return F.regexp_replace(column, "^file:/*", "/")
+
+
+def _files(spark: SparkSession, connector: Connector, roots: list[str]) -> DataFrame:
     rows = None
     for glob in connector.globs:
-        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true").load(roots)
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true").load(outermost(roots))
         rows = own if rows is None else rows.unionByName(own)
-    rows = rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length", "content").dropDuplicates(["path"])
-    if since_ms is not None:  # inclusive
-        rows = rows.where(F.col("mtime") >= since_ms)
+    return rows.where(F.col("path").rlike(connector.keep)) if connector.keep else rows
+
+
+def listed(spark: SparkSession, connector: Connector, roots: list[str]) -> DataFrame:
+    """path, mtime (milliseconds), length of a connector's files; contents are not read."""
+    rows = _files(spark, connector, roots)
+    return rows.select(plain_path().alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length")
+
+
+def scan(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int | None = None, known: DataFrame | None = None) -> Scan:
+    """Conversations of all files, of those changed since then, or of those whose path is not ``known``."""
+    if connector.read is not None:
+        found = connector.read(spark, roots)
+        if known is not None:
+            found = Scan(found.conversations.join(known.select("source_path"), "source_path", "left_anti"), found.errors)
+        return found
     if known is not None:
-        rows = rows.join(known.select(F.col("source_path").alias("path")), "path", "left_anti")
+        names = listed(spark, connector, roots).join(known.select(F.col("source_path").alias("path")), "path", "left_anti")
+        # no more names than the driver's own file index holds already
+        roots = [r[0] for r in names.select("path").collect()]
+        if not roots:
+            return Scan(spark.createDataFrame([], schema.CONVERSATION_RECORD), spark.createDataFrame([], "source_path string, error string"))
+    rows = _files(spark, connector, roots)
+    if since_ms is not None:  # inclusive; the reader leaves out the contents of older files
+        rows = rows.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(since_ms)))
+    return parsed(rows.select(plain_path().alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length", "content"), connector)
+
+
+def parsed(files: DataFrame, connector: Connector) -> Scan:
+    """Conversations and errors of files (path, mtime, length, content)."""
     parse, agent, revision, strict = connector.parse, connector.agent, connector.revision, connector.on_error == "fail"
-
-    def run(rows: Iterator[Any]) -> Iterator[tuple]:
-        for path, mtime, length, content in rows:
-            try:
-                found = parse(path, bytes(content))
-            except Exception as e:  # one broken file leaves the others
-                if strict:
-                    raise
-                yield None, f"{type(e).__name__}: {e}"[:500], path
-                continue
-            if found is not None:
-                yield as_row(found, agent, revision, path, mtime, length), None, path
-
-    parsed = spark.createDataFrame(rows.rdd.mapPartitions(run), _OUT).persist()
-    errors = parsed.where("error is not null").select("source_path", "error")
-    good = parsed.where("conversation is not null").select("conversation.*")
+    kinds = to_arrow_schema(_OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a file at a time
+                path, mtime, length, content = (batch.column(i)[k].as_py() for i in range(4))
+                try:
+                    found = parse(path, bytes(content))
+                    row = (None if found is None else as_row(found, agent, revision, path, mtime, length), None, path)
+                except Exception as e:  # one broken file leaves the others
+                    if strict:
+                        raise
+                    row = (None, f"{type(e).__name__}: {e}"[:500], path)
+                if row[0] is not None or row[1] is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds)], schema=kinds)
+
+    found = written(files.select("path", "mtime", "length", "content").mapInArrow(run, _OUT), "scan")
+    errors = found.where("error is not null").select("source_path", "error")
+    good = found.where("conversation is not null").select("conversation.*")
     if connector.on_error == "skip_agent" and not errors.isEmpty():
         good = good.limit(0)
     return Scan(good, errors)
 
 
-def as_row(found: dict, agent: str, revision: int, path: str, mtime: int, size: int) -> tuple:
+def as_row(found: dict, agent: str, revision: int, path: str, mtime: int, size: int) -> dict:
     """A parsed conversation in the shape of the schema, with its fingerprint."""
     files = found.get("source_files") or [(path, mtime, size)]
     parts = "|".join(sorted(f"{p}:{m}:{s}" for p, m, s in files))
     out = {"agent": agent, "source_path": path, "is_synthetic": False, "record_kind": "top_level"} | found
     out["source_fingerprint"] = f"{agent}-v{revision}:{hashlib.sha256(parts.encode()).hexdigest()}"
     out["source_mtime_max"] = max((m for _, m, _ in files), default=0)
-    out["source_files"] = files
-    out["messages"] = [(i if m.get("idx") is None else m["idx"], m["role"], m["content"], m.get("timestamp"), m.get("model")) for i, m in enumerate(found.get("messages", []))]
-    out["usage"] = [tuple(usage_row(u)[n] for n in schema.USAGE_RECORD.names) for u in found.get("usage", [])]
-    return tuple(out.get(n) for n in schema.CONVERSATION_RECORD.names)
+    out["source_files"] = [dict(zip(schema.SOURCE_FILE.names, f)) for f in files]
+    out["messages"] = [{"idx": i if m.get("idx") is None else m["idx"], "role": m["role"], "content": m["content"], "timestamp": m.get("timestamp"), "model": m.get("model")} for i, m in enumerate(found.get("messages", []))]
+    out["usage"] = [usage_row(u) for u in found.get("usage", [])]
+    return {n: out.get(n) for n in schema.CONVERSATION_RECORD.names}
 
 
 def usage_row(u: dict) -> dict:
@@ -147,8 +191,6 @@ def token_total(reported: int, *parts: int) -> int:
 
 def millis(value: Any) -> int | None:
     """Epoch milliseconds of seconds, milliseconds or an RFC 3339 text."""
-    from datetime import datetime
-
     if isinstance(value, bool):
         return None
     if isinstance(value, int):

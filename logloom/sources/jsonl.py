@@ -210,7 +210,7 @@ def block_text(content: Any) -> str:
         elif kind == "thinking":
             out.append(f"[Thinking] {text_at(b, 'thinking') or ''}")
         elif kind == "toolCall":
-            out.append(f"[Tool: {text_at(b, 'name') or ''}] {json.dumps(at(b, 'arguments'), separators=(',', ':'), ensure_ascii=False)}")
+            out.append(f"[Tool: {text_at(b, 'name') or ''}] {json.dumps(at(b, 'arguments'), separators=(',', ':'), sort_keys=True, ensure_ascii=False)}")
     return "\n".join(x for x in out if x)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import Store
-from ..sources.base import Connector, Scan, scan
+from ..sources.base import Connector, listed, scan
 
 INCOMPLETE = "__incomplete__"
 #: An index younger than this needs no refresh.
@@ -44,18 +44,16 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
         bounded = since if since is not None and store.meta(f"plan:{agent}") == key else None
         found = scan(spark, connector, roots[agent], bounded)
         rows, complete = found.conversations, found.complete
-        if bounded is not None:
+        if bounded is not None and connector.read is None:
             late = scan(spark, connector, roots[agent], None, store.table("conversations").select("source_path"))
             rows, complete = rows.unionByName(late.conversations).dropDuplicates(["source_path"]), complete and late.complete
         plans[f"plan:{agent}"] = key if complete else INCOMPLETE
         out["complete"] &= complete
         gone = None
         if complete:
-            files = None
-            for glob in connector.globs:
-                own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots[agent]).select(F.regexp_replace("path", "^file:/*", "/").alias("source_path"))
-                files = own if files is None else files.unionByName(own)
-            gone = store.missing(files.distinct().withColumn("exists", F.lit(True)), [agent])
+            # a source that reads its roots itself has no files of sessions; what it found is what there is
+            there = rows.select("source_path") if connector.read is not None else listed(spark, connector, roots[agent]).select(F.col("path").alias("source_path"))
+            gone = store.missing(there.distinct().withColumn("exists", F.lit(True)), [agent])
         if dry_run:
             own = store.dry_run(rows, gone)
             report = {k: v + own[k] for k, v in report.items()}
@@ -68,19 +66,29 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
         return report
     store.set_meta(**plans, **({"last_scan_ts": now} if out["complete"] and plans else {}))
     if not store.index_is_current():
-        store.rebuild_index()
+        store.refresh_index()
     return out
 
 
 def stream(store: Store, connector: Connector, roots: list[str], checkpoint: str) -> int:
-    """New files since the stream's checkpoint, once each, upserted batch by batch; returns the number of batches."""
+    """New files since the stream's checkpoint, once each, upserted batch by batch; returns the number of batches.
+
+    Files that cannot be parsed are kept in the table ``failed`` and tried again by the next run."""
     spark, batches = store.spark, []
+    again = [r[0] for r in store.table("failed").select("source_path").collect()]
+    if again:
+        found = scan(spark, connector, again)
+        store.upsert(found.conversations, int(time.time() * 1000))
+        store.replace({"failed": found.errors})
     schema = "path string, modificationTime timestamp, length long, content binary"
 
     def upsert(batch: DataFrame, number: int) -> None:
         paths = [r[0] for r in batch.select("path").distinct().collect()]  # names of a batch's files, at most maxFilesPerTrigger
         if paths:
-            store.upsert(scan(spark, connector, paths).conversations, int(time.time() * 1000))
+            found = scan(spark, connector, paths)
+            store.upsert(found.conversations, int(time.time() * 1000))
+            if not found.complete:
+                store.change({"failed": found.errors})
             batches.append(number)
 
     for k, (root, glob) in enumerate((r, g) for r in roots for g in connector.globs):
