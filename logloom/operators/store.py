@@ -357,6 +357,11 @@ class Store:
         state = self._state()
         self.replace({name: self._rows(state, name).join(ids.select("id"), "id", "left_anti") for name in ("search_docs", "postings") if state["tables"].get(name)}, index_stale=True)
 
+    def size(self) -> int:
+        """Bytes of all files."""
+        at = self._path(self.path)
+        return self._fs.getContentSummary(at).getLength() if self._fs.exists(at) else 0
+
     def doc_count(self) -> int:
         return self.table("search_docs").count()
 

@@ -219,18 +219,49 @@ def breakdown(selected: DataFrame, name: str, list_costs: bool = False) -> DataF
 
 
 def breakdowns(selected: DataFrame, names=tuple(DIMENSIONS), list_costs: bool = False) -> DataFrame:
-    """All dimensions in one pass: each row once for each of them, one aggregation."""
-    pairs = [F.struct(F.lit(n).alias("dimension"), *(c.alias(a) for c, a in zip(dimension(DIMENSIONS[n]), ("key", "label")))) for n in names]
-    rows = costed(selected, list_costs).withColumn("__d", F.explode(F.array(*pairs))).select("*", "__d.*")
-    return rows.groupBy("dimension", "key").agg(F.min("label").alias("label"), *total_columns())
+    """All dimensions in one pass over the rows.
+
+    Rows are first summed by all dimensions and what distinct counts need, so that what is taken once for each dimension
+    are these sums and not the events."""
+    session = F.struct("agent", F.coalesce("logical_session_id", F.concat(F.lit("record:"), F.col("conversation_id").cast("string"))))
+    rows = costed(selected, list_costs)
+    both = {n: dimension(DIMENSIONS[n]) for n in names}
+    rows = rows.select(
+        "conversation_id", session.alias("__session"), *[c.alias(f"__{k}_{n}") for n in names for k, c in zip("kl", both[n])], "api_calls", "request_attempts", *[f"{t}_tokens" for t in TOKENS], "actual_usd", "estimated_usd", "list_usd",
+    )
+    keys = ["conversation_id", "__session", *[f"__{k}_{n}" for n in names for k in "kl"]]
+    exact = lambda x: F.sum(canon.col(x).cast("decimal(38,0)"))
+    actual, estimated, own = F.col("actual_usd"), F.col("estimated_usd"), F.col("list_usd")
+    whole = ["api_calls", "request_attempts", *[f"{t}_tokens" for t in TOKENS], "covered_tokens", "list_estimated_tokens"]
+    parts = rows.groupBy(*keys).agg(
+        F.count("*").alias("events"), *[exact(c).alias(c) for c in whole[:-2]], exact(F.when(actual.isNotNull() | estimated.isNotNull(), F.col("total_tokens"))).alias("covered_tokens"), exact(F.when(own.isNotNull(), F.col("total_tokens"))).alias("list_estimated_tokens"),
+        F.sum(actual).alias("actual_usd"), F.sum(estimated).alias("estimated_usd"), F.sum(F.coalesce(actual, estimated)).alias("accounted_usd"), F.sum(own).alias("list_estimated_usd"),
+        F.count(actual).alias("actual_events"), F.count(estimated).alias("estimated_events"), F.count(own).alias("list_estimated_events"),
+    )
+    pairs = [F.struct(F.lit(n).alias("dimension"), F.col(f"__k_{n}").alias("key"), F.col(f"__l_{n}").alias("label")) for n in names]
+    each = parts.withColumn("__d", F.explode(F.array(*pairs))).select("*", "__d.*")
+    top_ = F.lit(LONG_MAX).cast("decimal(38,0)")
+    sums = {c: F.least(F.coalesce(F.sum(c), F.lit(0).cast("decimal(38,0)")), top_).cast("long") for c in whole}
+    counts, money = ("events", "actual_events", "estimated_events", "list_estimated_events"), ("actual_usd", "estimated_usd", "accounted_usd", "list_estimated_usd")
+    plain = {c: F.sum(c) for c in (*counts, *money)}
+    distinct = {"conversations": F.countDistinct("conversation_id"), "logical_sessions": F.countDistinct("__session")}
+    order = ["events", "api_calls", "request_attempts", "conversations", "logical_sessions", *[f"{t}_tokens" for t in TOKENS], *money, *counts[1:], "covered_tokens", "list_estimated_tokens"]
+    return each.groupBy("dimension", "key").agg(F.min("label").alias("label"), *[(sums | plain | distinct)[c].alias(c) for c in order])
 
 
 def top(breakdown_: DataFrame, n: int) -> DataFrame:
-    """The first n keys by tokens, calls, key, and the unknown one if it is cut off."""
+    """The first n keys by tokens, calls, key, and the unknown one if it is cut off.  ``rank`` counts rows in that order;
+    each task keeps n rows, and only the unknown key's rank is counted over all."""
     from pyspark.sql import Window as W
 
-    order = W.orderBy(F.desc("total_tokens"), F.desc("api_calls"), "key")
-    return breakdown_.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= n) | (F.col("key") == UNKNOWN))
+    order = [F.desc("total_tokens"), F.desc("api_calls"), F.col("key")]
+    first = breakdown_.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))  # of n rows
+    own = breakdown_.where(F.col("key") == UNKNOWN)
+    ahead = breakdown_.crossJoin(own.select(F.col("total_tokens").alias("__t"), F.col("api_calls").alias("__c")))  # by one row
+    before = (F.col("total_tokens") > F.col("__t")) | (F.col("total_tokens") == F.col("__t")) & ((F.col("api_calls") > F.col("__c")) | (F.col("api_calls") == F.col("__c")) & (F.col("key") < UNKNOWN))
+    rank = ahead.agg((F.sum(F.when(before, 1).otherwise(0)) + 1).alias("rank"))
+    late = own.crossJoin(rank).where(F.col("rank") > n).select(*breakdown_.columns, F.col("rank").cast("long").alias("rank"))
+    return first.unionByName(late)
 
 
 def by_provider_model(selected: DataFrame, list_costs: bool = False) -> DataFrame:
@@ -259,7 +290,6 @@ def coverage(rows: DataFrame, f: UsageFilters, bucket: str) -> DataFrame:
     chosen = filter_dimensions(rows, f)
     raw = chosen.agg(F.count("*").alias("raw_events"), saturating_sum("total_tokens").alias("raw_tokens"))
     merged = deduplicate(chosen).withColumn("__in", in_time(f))
-    use = merged.where("__in")
     when = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
     one, total, calls = F.lit(1), F.col("total_tokens"), F.col("api_calls")
     rep, com = F.col("reported_total_tokens"), F.col("component_total_tokens")
@@ -285,7 +315,6 @@ def coverage(rows: DataFrame, f: UsageFilters, bucket: str) -> DataFrame:
         when(at & actual, total).alias("__covered"),
         F.count("*").alias("__events"), saturating_sum("total_tokens").alias("__tokens"),
     ).crossJoin(raw)  # fmt: skip  one row by one row
-    del use
     c = F.col
     share = {
         "token_event_percent": ("events_with_tokens", "events"),

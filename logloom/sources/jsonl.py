@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, field
 from typing import Any
 
+from .roots import ANY_NAME, SESSION_PATH, parent_id, read_local, workspace_of_folder
 from .base import Connector, at, count_at, flatten, lines, millis, number_at, rfc3339, saturated, shortened, text_at, title_of, token_total
 from ..schema import parse_role
 
@@ -263,6 +264,8 @@ def parse_session_tree(path: str, data: bytes) -> dict | None:
                     fold.usage.append(row)
             fold.say(role, block_text(at(message, "content")), when, model)
     f = fold.facts
+    f["workspace"] = f.get("workspace") or workspace_of_folder(path)
+    f["parent"] = parent_id(f["parent"], path, read_local) if f.get("parent") else None
     tmp = any((f.get("workspace") or "") == r or (f.get("workspace") or "").startswith(r + "/") for r in ("/tmp", "/var/tmp", "/private/tmp"))
     faux = any((u["provider"] or "").lower() == "faux" or (u["model"] or "").lower() == "faux" or (u["model"] or "").lower().startswith("faux-") for u in fold.usage) or (f.get("provider") or "").lower() == "faux"
     kind = "test" if faux or tmp else "child_agent" if f.get("parent") or "/.shuvhelm/mate/" in path else "automation" if "/.openclaw/agents/" in path else "top_level"
@@ -272,5 +275,5 @@ def parse_session_tree(path: str, data: bytes) -> dict | None:
 CONNECTORS = {
     "claude_code": Connector("claude_code", ("*.jsonl",), parse_message_lines),
     "codex": Connector("codex", ("rollout-*.jsonl", "rollout-*.json"), parse_rollout),
-    **{a: Connector(a, ("*.jsonl",), parse_session_tree) for a in ("pi_agent", "factory", "oh_my_pi", "prime_agent", "shuvlr")},
+    **{a: Connector(a, ("*.jsonl",), parse_session_tree, keep=None if a in ANY_NAME else SESSION_PATH) for a in ("pi_agent", "factory", "oh_my_pi", "prime_agent", "shuvlr")},
 }
