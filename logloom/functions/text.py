@@ -67,4 +67,4 @@ def snippet(preview_: Column | str, query: str) -> Column:
 
 def sanitized(text: Column | str) -> Column:
     """Control and direction characters made visible."""
-    return F.regexp_replace(col(text), "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]", "�")
+    return F.regexp_replace(col(text), "[\\x00-\\x1f\\x7f-\\x9f\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]", "�")

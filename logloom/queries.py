@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import adapters as A
@@ -231,8 +230,7 @@ def _trend_query(bucket: str) -> None:
         f = UsageFilters(since=_SINCE, bucket=bucket)
         rows = U.select_rows(A.usage_rows(spark, sf_dir), f)
         # as_of lies beyond the last row, so it is the extent's end
-        w = U.Window(_SINCE, A.AS_OF, bucket, None, None)
-        out, _ = U.trend(rows, w)
+        out, _ = U.trend(rows, U.window(rows, f, A.AS_OF))
         return _rounded(out.select("bucket_start", "label", "events", "api_calls", "conversations", "logical_sessions", *_SUMS, "actual_usd"))
 
 
@@ -407,21 +405,11 @@ _ranked_query("search_filter_dates", S.SearchQuery("", since=A.AS_OF - 8_640_000
 
 @register(
     "search_snippet",
-    f"""WITH {A.DUCK_DOCS}, s AS (SELECT id, content AS p, instr(lower(content), 'the') AS a FROM docs WHERE octet_length(encode(content)) <= 300)
-SELECT id, CASE WHEN a > 0 THEN replace(substr(p, greatest(a - 50, 1), a + 103 - greatest(a - 50, 1)), 'the', '<mark>' || substr(p, a, 3) || '</mark>') WHEN length(p) > 150 THEN substr(p, 1, 150) || '...' ELSE p END AS snippet FROM s""",
-)
-def search_snippet(spark, sf_dir):
-    docs = A.search_docs(spark, sf_dir).where(F.octet_length("content") <= 300)
-    return docs.select("id", text.snippet("preview", "the").alias("snippet"))
-
-
-@register(
-    "search_snippet_whole",
     f"""WITH {A.DUCK_DOCS}, c AS (SELECT id, CASE WHEN strlen(content) <= 300 THEN content ELSE left(content, CAST(list_max(list_filter(range(0, 301), lambda i: strlen(left(content, i)) <= 300)) AS BIGINT)) || '...' END AS p FROM docs),
 s AS (SELECT id, p, instr(lower(p), 'the') AS a FROM c)
 SELECT id, CASE WHEN a > 0 THEN replace(substr(p, greatest(a - 50, 1), a + 103 - greatest(a - 50, 1)), 'the', '<mark>' || substr(p, a, 3) || '</mark>') WHEN length(p) > 150 THEN substr(p, 1, 150) || '...' ELSE p END AS snippet FROM s""",
 )
-def search_snippet_whole(spark, sf_dir):
+def search_snippet(spark, sf_dir):
     return A.search_docs(spark, sf_dir).select("id", text.snippet("preview", "the").alias("snippet"))
 
 
@@ -457,38 +445,28 @@ def hybrid_rrf(spark, sf_dir):
     return out.select("id", F.round("score", 8).alias("score"))
 
 
-# ---------------------------------------------------------------- sources: the window and merge rules of the parsers
-@register("carry_forward_model", "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events")
-def carry_forward_model(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return _read(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "view", F.col("props")), True).over(w).alias("model"))
-
-
-@register("cumulative_dedup", "SELECT event_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS rn FROM events) WHERE rn = 1 OR event_type = 'error'")
-def cumulative_dedup(spark, sf_dir):
-    w = W.partitionBy("user_id", "props").orderBy("event_id")
-    return _read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).where((F.col("rn") == 1) | (F.col("event_type") == "error")).select("event_id")
+_IN_SCOPE = "(workspace IN ('', '/repo/src1', '/repo/src2') OR workspace LIKE '/repo/src1/%' OR workspace LIKE '/repo/src2/%')"
 
 
-@register("adjacent_dedup", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type")
-def adjacent_dedup(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    rows = _read(spark, sf_dir, "events").withColumn("p", F.lag("event_type").over(w))
-    return rows.where(~F.col("p").eqNullSafe(F.col("event_type"))).select("event_id")
+@register(
+    "hybrid_scoped",
+    f"""WITH {_duck_bm25(_TERMS)}, {_KNN}, kept AS (SELECT docs.*, bm25 FROM docs JOIN bm USING (id) WHERE {_IN_SCOPE} ORDER BY bm25 DESC, id LIMIT 50),
+k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS kr FROM (SELECT id, bm25 * 0.3 + {_REC} * 0.7 AS score FROM kept)),
+v AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS sr FROM near WHERE id IN (SELECT id FROM docs WHERE {_IN_SCOPE})),
+f AS (SELECT coalesce(k.id, v.id) AS id, kr, coalesce(1.0 / (60 + kr), 0) + coalesce(1.0 / (60 + sr), 0) AS score FROM k FULL JOIN v ON k.id = v.id ORDER BY score DESC, 1 LIMIT 50)
+SELECT id, round(score, 8) AS score FROM f WHERE kr IS NOT NULL""",
+)
+def hybrid_scoped(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    out = S.hybrid(A.search_docs(spark, sf_dir), vectors, _vector(spark, sf_dir), S.SearchQuery(_TEXT, limit=50, scope=("/repo/src1", "/repo/src2/")), A.AS_OF)
+    return out.select("id", F.round("score", 8).alias("score"))
 
 
-@register("message_dedup", "SELECT conversation_id, role, content, row_number() OVER (PARTITION BY conversation_id ORDER BY role, content) - 1 AS idx FROM (SELECT DISTINCT conv_id % 20 AS conversation_id, role, left(text, 8) AS content FROM conversations)")
+# ---------------------------------------------------------------- store: rules on rows
+@register("message_dedup", "SELECT conversation_id, role, content, row_number() OVER (PARTITION BY conversation_id ORDER BY role, content) - 1 AS idx FROM (SELECT DISTINCT conv_id AS conversation_id, role, text AS content FROM conversations)")
 def message_dedup(spark, sf_dir):
     from .operators.store import normalized_messages
 
-    rows = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("conversation_id"), F.lit(None).cast("long").alias("timestamp"), "role", F.lit(None).cast("string").alias("model"), F.substring("text", 1, 8).alias("content"), F.col("turn").cast("int").alias("idx"))
-    return normalized_messages(rows).select("conversation_id", "role", "content", F.col("idx").cast("long").alias("idx"))
-
-
-@register("message_dedup_whole", "SELECT conversation_id, role, content, row_number() OVER (PARTITION BY conversation_id ORDER BY role, content) - 1 AS idx FROM (SELECT DISTINCT conv_id AS conversation_id, role, text AS content FROM conversations)")
-def message_dedup_whole(spark, sf_dir):
-    from .operators.store import normalized_messages
-
     _, messages = A.conversations(spark, sf_dir)
     return normalized_messages(messages).select("conversation_id", "role", "content", F.col("idx").cast("long").alias("idx"))
 
@@ -519,32 +497,12 @@ def session_residual(spark, sf_dir):
     return residual(sessions, rows.where("usage_grain = 'event'"), ["total_tokens"])
 
 
-# ---------------------------------------------------------------- store: stale rows, dry run, set operations
-@register("stale_anti_join", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def stale_anti_join(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
-
-
 @register(
     "dry_run_classes",
-    """WITH o AS (SELECT doc_id AS k, md5(text) AS f FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS k, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE md5(text) END AS f FROM documents WHERE doc_id % 4 <> 0)
-SELECT CASE WHEN o.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'delete' WHEN o.f <> n.f THEN 'update' ELSE 'unchanged' END AS class, count(*) AS n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""",
-)
-def dry_run_classes(spark, sf_dir):
-    from .operators.store import change_classes
-
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.md5(F.col("text").cast("binary")).alias("source_fingerprint"), "doc_id")
-    old = docs.where("doc_id % 3 <> 0").drop("doc_id")
-    new = docs.where("doc_id % 4 <> 0").select("source_path", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("source_fingerprint")).alias("source_fingerprint"))
-    return change_classes(old, new).groupBy("class").agg(F.count("*").alias("n"))
-
-
-@register(
-    "dry_run_classes_whole",
     """WITH o AS (SELECT doc_id AS k, md5(text) AS f, 1 AS o FROM documents), n AS (SELECT CASE WHEN doc_id % 4 = 0 THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN doc_id % 10 = 5 THEN 'x' ELSE md5(text) END AS f, 1 AS n FROM documents)
 SELECT CASE WHEN o IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' WHEN o.f IS DISTINCT FROM n.f THEN 'update' ELSE 'unchanged' END AS class, count(*) AS n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""",
 )
-def dry_run_classes_whole(spark, sf_dir):
+def dry_run_classes(spark, sf_dir):
     from .operators.store import change_classes
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("source_fingerprint"))
@@ -554,18 +512,6 @@ def dry_run_classes_whole(spark, sf_dir):
     return change_classes(old, new).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@register("union_distinct_roots", "SELECT source AS root FROM documents WHERE source IS NOT NULL UNION SELECT concat('src', CAST(user_id % 30 AS VARCHAR)) FROM events")
-def union_distinct_roots(spark, sf_dir):
-    a = _read(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("root"))
-    return a.unionByName(_read(spark, sf_dir, "events").selectExpr("concat('src', CAST(user_id % 30 AS STRING)) AS root")).distinct()
-
-
-@register("semi_scope", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')")
-def semi_scope(spark, sf_dir):
-    ids = _read(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("vec_id"))
-    return _read(spark, sf_dir, "embeddings").select("vec_id").join(ids, "vec_id", "left_semi")
-
-
 @register(
     "nation_revenue",
     "SELECT n_name, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1",

@@ -75,7 +75,7 @@ def messages(rows: DataFrame, owners: DataFrame) -> DataFrame:
     calls = by_json(tool_summary)(F.col("tool_calls"))
     parts = F.array(F.struct(F.lit(0).alias("part"), role.alias("role"), F.when(F.trim(content) != "", named).alias("content")), F.struct(F.lit(1).alias("part"), F.lit("tool").alias("role"), calls.alias("content")))
     every = rows.where(role.isNotNull()).select("session_id", "id", epoch_millis("timestamp").alias("timestamp"), F.explode(parts).alias("p")).where("p.content is not null")
-    order = W.partitionBy("session_id").orderBy("id", "p.part")
+    order = W.partitionBy("session_id").orderBy("id", "p.part", "p.role", "p.content")
     every = every.select(F.col("session_id").alias("external_id"), (F.row_number().over(order) - 1).cast("int").alias("idx"), "p.role", "p.content", "timestamp")
     return lookup(every, owners.select("external_id", "model"), "external_id", "idx", "inner").withColumnRenamed("external_id", "conversation_id")
 
