@@ -19,6 +19,7 @@ from .operators.usage import UsageFilters
 from .schema import AGENTS, BUCKETS, RANKINGS, parse_agent
 from .sources import connectors, roots
 from .streaming.ingest import index, is_fresh
+from .streaming.refresh import Refresher
 
 #: An index of this age is fresh; hits of a page; the constant of rank fusion.
 MAX_AGE, LIMIT, RRF_K = "15m", 20, 60
@@ -83,7 +84,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-semantic", action="store_true")
     p.add_argument("--max-age", type=parse_duration, default=parse_duration(MAX_AGE))
     p.add_argument("--data-dir", default=str(Path.home() / ".local" / "share" / "logloom"))
-    sub = p.add_subparsers(dest="command", required=True)
+    sub = p.add_subparsers(dest="command")
     q = sub.add_parser("search")
     q.add_argument("query")
     for name in ("agent", "workspace", "since", "until"):
@@ -172,8 +173,8 @@ def refresh(store: Store, args, home: str | None = None) -> dict | None:
     return index(store, connectors(), found_roots(home))
 
 
-def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None = None, encode=None) -> int:
-    """One command; ``encode`` maps a text to a vector, where a model is at hand."""
+def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None = None, encode=None, keys=sys.stdin) -> int:
+    """One command, or without one browsing by ``keys``, a line each; ``encode`` maps a text to a vector, where a model is at hand."""
     args = parser().parse_args(argv)
     say = lambda text="": print(text, file=out)
     as_json = lambda value: say(json.dumps(value, indent=2, ensure_ascii=False, default=str))
@@ -212,6 +213,14 @@ def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None =
             say(f"Conversations: {value['total_conversations']}\nMessages: {value['total_messages']}\nSize: {value['index_size_bytes']} bytes")
             [say(f"  {AGENTS.get(a, a)}: {n['conversations']} conversations, {n['messages']} messages") for a, n in value["agents"].items()]
         return 0
+    if args.command is None:  # browse
+        from .browse import Browser, loop
+
+        work = Refresher(lambda: index(store, connectors(), found_roots(home)))
+        state = Browser(lambda q: search_output(store, q, int(time.time() * 1000)), store.conversation, lambda: int(time.time() * 1000), None if project is None else project.roots)
+        with work:
+            loop(state, (line.rstrip("\n") for line in keys), out, None if args.no_refresh else work)
+        return 0
     refresh(store, args, home)
     roots_ = None if args.workspace is not None or project is None else project.roots
     if args.command == "search":

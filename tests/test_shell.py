@@ -5,14 +5,17 @@ import io
 import json
 import os
 import re
+import threading
+import time
 from datetime import datetime
 
 import pytest
 
-from logloom import cli, report, scope
+from logloom import browse, cli, report, scope
 from logloom.operators import usage as U
 from logloom.sources import roots
 from logloom.sources.jsonl import parse_session_tree
+from logloom.streaming.refresh import Refresher, tried
 
 
 def test_scope(tmp_path):
@@ -132,8 +135,67 @@ def test_command_line(spark, tmp_path, monkeypatch):
     code, shown = call("view", str(at / "a.jsonl"))
     assert code == 0 and "the gasket is mended" in shown and call("view", "/none")[0] == 1
     assert {r["slug"]: r["detected"] for r in json.loads(call("agents", "--json")[1])}["claude_code"] is True
+    out = io.StringIO()
+    assert cli.run(["-g", "--data-dir", data, "--no-refresh"], spark, out, home, keys=iter(["/gasket\n", "o\n", "b\n", "q\n"])) == 0
+    assert "mend the <gasket>" in out.getvalue() and "the gasket is mended" in out.getvalue()
     for bad in (("usage", "--since", "soon"), ("usage", "--agent", "nobody"), ("usage", "--since", "2024-02-02", "--until", "2024-01-01")):
         with pytest.raises(ValueError):
             call("--no-refresh", *bad)
     with pytest.raises(SystemExit):
         call("index", "--full", "--rebuild")
+
+
+def test_refresh_beside():
+    tries = []
+
+    def work():
+        tries.append(1)
+        if len(tries) < 3:
+            raise RuntimeError("another writer made state 4")
+        return {"inserted": 1}
+
+    waits = []
+    assert tried(work, sleep=waits.append) == {"inserted": 1} and waits == [0.2, 0.4]
+    with pytest.raises(RuntimeError):
+        tried(lambda: (_ for _ in ()).throw(RuntimeError("disk full")), sleep=waits.append)
+    assert len(waits) == 2
+    gate = threading.Event()
+    with Refresher(lambda: {"ok": gate.wait(10)}, every=60) as own:
+        assert own.poll() is None and own.ask()
+        while not own.busy:
+            time.sleep(0.01)
+        assert not own.ask()
+        gate.set()
+        while (found := own.poll()) is None:
+            time.sleep(0.01)
+        assert found == ("done", {"ok": True}) and not own.busy
+    assert not own._thread.is_alive()
+    with Refresher(lambda: 1 // 0, every=0.01) as own:
+        while (found := own.poll()) is None:
+            time.sleep(0.01)
+    assert found[0] == "failed" and "ZeroDivisionError" in found[1]
+
+
+def test_browsing():
+    asked = []
+
+    def find(q):
+        asked.append(q)
+        return {"total_hits": 2, "hits": [{"id": i, "agent": "codex", "title": f"title {i}\x1b", "created_at": "2024-01-02T", "snippet": "snip", "preview": ""} for i in (7, 8)]}
+
+    own = browse.Browser(find, lambda i: {"agent": "codex", "source_path": "/p", "title": None, "messages": [{"role": "user", "content": f"say {i}"}]} if i == 8 else None, lambda: 1_700_000_000_000, ("/repo",))
+    out = io.StringIO()
+    browse.loop(own, ["/ words ", "t", "t", "r", "a", "g", "j", "j", "o", "j", "b", "k", "o", "?"], out)
+    assert asked[0].text == "" and asked[1].text == "words" and asked[0].scope == ("/repo",) and asked[-1].scope is None
+    assert asked[2].since == 1_699_920_000_000 or asked[2].since is not None
+    assert asked[3].since == 1_700_000_000_000 - 7 * 86_400_000 and asked[4].ranking == "balanced" and asked[5].agent == "claude_code" and asked[5].limit == 50
+    assert "say 8" in out.getvalue() and "\x1b" not in out.getvalue() and own.status == "The conversation is gone" and "q quit" in out.getvalue()
+    assert all(len(line) <= 20 for line in own.lines(20, 6)) and len(own.lines(20, 6)) <= 6
+    old = own.latest.ask()
+    own.latest.ask()
+    own.answer(old, {"total_hits": 99, "hits": []})
+    assert own.total == 2
+    own.refreshed(("failed", "x"))
+    assert own.status == "Refresh failed: x"
+    own.key("q")
+    assert own.done
