@@ -214,13 +214,18 @@ def is_synthetic(provider: Column | str, model: Column | str, workspace: Column
     return F.coalesce(p == "faux", F.lit(False)) | F.coalesce((m == "faux") | m.startswith("faux-"), F.lit(False)) | F.coalesce(tmp, F.lit(False))
 
 
-def in_scope(workspace: Column | str, roots) -> Column:
-    """A workspace that is unknown, one of the roots or below one; roots without content are passed over."""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def in_scope(workspace: Column | str, roots, below_ignores_case: bool = False) -> Column:
+    """A workspace that is unknown, one of the roots or below one; roots without content are passed over.  With
+    ``below_ignores_case`` the case of A-Z does not matter below a root, as a store's LIKE has it."""
     w = F.regexp_replace(col(workspace), "(?<=.)/+$", "")
     out = F.col(workspace).isNull() if isinstance(workspace, str) else workspace.isNull()
     out = out | (trimmed(workspace) == "")
     for root in roots:
         root = root.rstrip("/") if root.strip("/") else root[:1]
         if root.strip():
-            out = out | (w == root) | w.startswith(root if root == "/" else root + "/")
+            below = root if root == "/" else root + "/"
+            out = out | (w == root) | (F.translate(w, _UPPER, _LOWER).startswith(below.translate(str.maketrans(_UPPER, _LOWER))) if below_ignores_case else w.startswith(below))
     return F.coalesce(out, F.lit(True))

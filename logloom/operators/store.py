@@ -10,6 +10,7 @@ Keys: ``source_path`` of a conversation; ids are hashes of it, hence the same wh
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -31,6 +32,10 @@ TABLES = {
 }
 #: The column by which a conversation's rows are told, of the tables that have it.
 KEYS = {"conversations": "id", "messages": "conversation_id", "usage_events": "conversation_id", "embeddings": "conversation_id", "search_docs": "id", "postings": "id"}
+#: A digest of the index tables' columns; an index of other columns is built anew.
+INDEX_SCHEMA = hashlib.sha256(f"{TABLES['search_docs']}|{TABLES['postings']}".encode()).hexdigest()
+#: Steps from older versions, by the version that they lead to.
+MIGRATIONS = ((schema.SCHEMA_VERSION, "_provenance"),)
 #: Segments of a table after which it is written anew.
 COMPACT = 32
 
@@ -98,7 +103,7 @@ def change_classes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def stats(conversations: DataFrame, messages: DataFrame, scope=None) -> DataFrame:
     """Per agent: conversations and messages in scope, and the whole store's last index time."""
-    own = conversations if scope is None else conversations.where(canon.in_scope("workspace", scope))
+    own = conversations if scope is None else conversations.where(canon.in_scope("workspace", scope, below_ignores_case=True))
     n = messages.groupBy("conversation_id").agg(F.count("*").alias("n"))
     rows = own.join(n, own["id"] == n["conversation_id"], "left").groupBy("agent").agg(F.count("*").alias("conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"))
     return rows.crossJoin(conversations.agg(F.max("indexed_at").alias("last_indexed_at")))  # by one row
@@ -249,6 +254,13 @@ class Store:
         self.replace({name: self._rows(state, name) for name, own in state["tables"].items() if own})
 
     def migrate(self, version: int) -> None:
+        """The steps that are newer than a version, in order; each is one change, with its number."""
+        for number, step in MIGRATIONS:
+            if number > version:
+                getattr(self, step)()
+                self.set_meta(schema_version=number)
+
+    def _provenance(self) -> None:
         """Backfill of the provenance columns: blanks become null, totals and a cost status are derived."""
         rows = self.table("usage_events")
         blank = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in schema.USAGE_EVENTS if f.dataType.simpleString() == "string"}
@@ -326,7 +338,7 @@ class Store:
         """Search rows and postings from the tables, all anew."""
         self.replace({"search_docs": search_rows(self.table("conversations"), self.table("messages"))})
         docs = self.table("search_docs")
-        self.replace({"postings": self._postings(docs)}, index_stale=False, document_format=schema.DOCUMENT_FORMAT)
+        self.replace({"postings": self._postings(docs)}, index_stale=False, document_format=schema.DOCUMENT_FORMAT, index_schema=INDEX_SCHEMA)
         return docs.count()
 
     @staticmethod
@@ -336,7 +348,7 @@ class Store:
     def refresh_index(self) -> int:
         """Search rows and postings of conversations that have none yet; rows of changed and deleted ones are dead already.
         An index of another format is built anew."""
-        if self.meta("document_format") != schema.DOCUMENT_FORMAT:
+        if not self._same_format():
             return self.rebuild_index()
         have = self.table("search_docs").select("id")
         fresh = self.table("conversations").join(have, "id", "left_anti")
@@ -366,7 +378,11 @@ class Store:
         return self.table("search_docs").count()
 
     def index_is_current(self) -> bool:
-        return not self.meta("index_stale", True) and self.meta("document_format") == schema.DOCUMENT_FORMAT
+        return not self.meta("index_stale", True) and self._same_format()
+
+    def _same_format(self) -> bool:
+        """Whether the index has this version's columns and document format."""
+        return self.meta("document_format") == schema.DOCUMENT_FORMAT and self.meta("index_schema") == INDEX_SCHEMA
 
     def embed(self, encode: Callable[[DataFrame], DataFrame]) -> int:
         """Embeddings for conversations that have none; ``encode`` maps (id, text) to (id, embedding)."""

@@ -71,7 +71,7 @@ _totals_query("usage_filter_provider_unknown", UsageFilters(providers=("unknown"
 _totals_query("usage_filter_model", UsageFilters(models=("gpt", "glm-5")), "lower(model) IN ('gpt', 'glm-5') OR model_family IN ('gpt', 'glm-5')")
 _totals_query("usage_filter_variant_task", UsageFilters(variants=("high", "unknown"), tasks=("REVIEW",)), "lower(coalesce(model_variant, 'unknown')) IN ('high', 'unknown') AND lower(task) = 'review'")
 _totals_query("usage_filter_workspace", UsageFilters(workspace="/repo"), "workspace = '/repo'")
-_totals_query("usage_filter_scope", UsageFilters(scope=("/repo/",)), "workspace IS NULL OR workspace = '/repo' OR workspace LIKE '/repo/%'")
+_totals_query("usage_filter_scope", UsageFilters(scope=("/repo/",)), "workspace IS NULL OR workspace = '/repo' OR workspace ILIKE '/repo/%'")
 
 
 @register("usage_raw_totals", f"WITH {A.duck_usage()} SELECT {_ALL} FROM u")
@@ -306,7 +306,7 @@ SELECT s.agent, count(DISTINCT s.id) AS conversations, count(m.conversation_id)
 
 
 _stats_query("stats_global", None, "TRUE")
-_stats_query("stats_scoped", ("/repo",), "workspace IS NULL OR workspace = '' OR workspace = '/repo' OR workspace LIKE '/repo/%'")
+_stats_query("stats_scoped", ("/repo",), "workspace IS NULL OR workspace = '' OR workspace = '/repo' OR workspace ILIKE '/repo/%'")
 
 
 @register(

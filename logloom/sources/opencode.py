@@ -338,6 +338,11 @@ def inventory(spark: SparkSession, roots: list[str]) -> DataFrame:
     return ids.unionByName(files.select(F.get_json_object("body", "$.id").alias("external_id"))).where("external_id is not null").distinct()
 
 
+def disjoint(a: DataFrame, b: DataFrame, column: str = "external_id") -> bool:
+    """Whether two stores share no value of a column."""
+    return a.select(column).join(b.select(column), column, "left_semi").isEmpty()
+
+
 def unindexed(spark: SparkSession, roots: list[str], known: DataFrame) -> DataFrame:
     """Sessions of the inventory that no row of ``known`` (external_id) stands for."""
     return inventory(spark, roots).join(known.select("external_id"), "external_id", "left_anti")

@@ -129,6 +129,7 @@ def test_opencode(spark, tmp_path):
     lost = {r.external_id: r for r in opencode.scan(spark, [str(tmp_path)], recover=True).conversations.collect()}["lost"]
     assert (lost.title, lost.record_kind, lost.is_synthetic, lost.started_at) == ("Recovered OpenCode session lost", "recovered", True, 50)
     known = spark.createDataFrame([("s1",)], "external_id string")
+    assert not opencode.disjoint(known, found.conversations) and opencode.disjoint(known, found.conversations.where("external_id != 's1'"))
     assert {r[0] for r in opencode.unindexed(spark, [str(tmp_path)], known).collect()} == {"s2", "s3", "s4", "s5"}
 
 

@@ -207,3 +207,23 @@ def test_dry_run_of_whole_table(spark):
     assert got == want
     count = {r["class"]: r.n for r in queries.QUERIES["dry_run_classes"](spark, SF).collect()}
     assert set(count) == {"insert", "delete", "update", "unchanged"} and count["delete"] + count["update"] + count["unchanged"] == n == count["insert"] + count["update"] + count["unchanged"]
+
+
+def test_migration_and_scope_case(spark, tmp_path):
+    """An older store gets the columns that it lacks, once; what is below a root may differ in case."""
+    import json as j
+
+    at = tmp_path / "old"
+    spark.createDataFrame([(1, "codex", "", "/Repo/X", "p")], "id long, agent string, external_id string, workspace string, source_path string").write.parquet(f"{at}/segment-000000000001-conversations-a")
+    spark.createDataFrame([(1, 0, "", 5, 3, 0.5)], "conversation_id long, idx int, provider string, input_tokens long, output_tokens long, estimated_cost_usd double").write.parquet(f"{at}/segment-000000000001-usage_events-a")
+    (at / "STATE-000000000001.json").write_text(j.dumps({"number": 1, "tables": {"conversations": [[1, "segment-000000000001-conversations-a"]], "usage_events": [[1, "segment-000000000001-usage_events-a"]]}, "gone": [], "meta": {"schema_version": 1}}))
+    store = Store(spark, str(at))
+    row, own = store.table("usage_events").first(), store.table("conversations").first()
+    assert (row.provider, row.usage_grain, row.cost_status, own.record_kind, own.is_synthetic, own.logical_session_id) == (None, "event", "source_estimated", "top_level", False, None)
+    n = store._state()["number"]
+    assert Store(spark, str(at))._state()["number"] == n and store.meta("schema_version") == 4
+    store.set_meta(schema_version=99)
+    with pytest.raises(ValueError):
+        Store(spark, str(at))
+    rows = spark.createDataFrame([("/repo/x",), ("/REPO/x",), ("/REPO",), (None,)], "workspace string")
+    assert rows.where(canon.in_scope("workspace", ["/repo"], True)).count() == 3 and rows.where(canon.in_scope("workspace", ["/repo"])).count() == 2
