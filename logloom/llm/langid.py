@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, sampled, slices
+from .common import is_held_out, sampled
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 15)
 #: Code points of a text that are hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def has_letter(text: str) -> bool:
@@ -134,15 +135,27 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], keep: list[s
     """The columns ``keep`` (doc_id) of every row, and the two ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(trained)
     keep = keep or ["doc_id"]
-    rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + f", {names[0]} string, {names[1]} double"
+    return _scored(docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep]), shared, names, False)
+
+
+def _scored(rows: DataFrame, shared, names: tuple[str, str], whole: bool) -> DataFrame:
+    """``rows`` with the two ``names``: of their first column, a text that goes, or if ``whole`` a row with a text that stays."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[not whole :]) + f", {names[0]} string, {names[1]} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value
         for batch in batches:
-            for part in slices(batch, BLOCK, 0):
-                found, best = score(part.column(0).to_pylist(), langs, model)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.string()), pa.array(best)], names=[*part.schema.names[1:], *names])
+            texts, found, best = (pc.struct_field(batch.column(0), "text") if whole else batch.column(0)).to_pylist(), [], []
+            begin, size = 0, 0
+            for i, t in enumerate(texts, 1):
+                size += len(t or "")
+                if size >= BLOCK or i == len(texts):
+                    own = score(texts[begin:i], langs, model)
+                    found += own[0]
+                    best.append(own[1])
+                    begin, size = i, 0
+            if best:
+                yield pa.RecordBatch.from_arrays([*batch.columns[not whole :], pa.array(found, pa.string()), pa.array(np.concatenate(best))], names=[*batch.schema.names[not whole :], *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -156,6 +169,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def filter_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Keeps documents whose language is found with at least that score; columns stay as they are, whatever their names."""
     trained = train(docs, F.lit(True))
-    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    found = predict(row, trained, ["__row"], ("__lang", "__score")).where((F.col("__lang") != "und") & (F.col("__score") >= least))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = _scored(row, docs.sparkSession.sparkContext.broadcast(trained), ("__lang", "__score"), True).where((F.col("__lang") != "und") & (F.col("__score") >= least))
     return found.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
