@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, group_bounds, slices
+from .common import by_group, cut, dealt_join, group_bounds, slices
 from .linking import blocked, components, dealt, pairs_in_groups
 
 BANDS, ROWS, BITS = 32, 5, 1024
@@ -157,7 +157,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, text of the given nodes (column ``node``)."""
-    wanted = signed.where("doc_id is not null").select("node", "doc_id").join(nodes.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = dealt_join(signed.where("doc_id is not null").select("node", "doc_id"), nodes.distinct(), "node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     members = nodes.select("node", F.explode("keys").alias("key"))
     # the node nearest to a bucket's key by XOR is its centre: another one in each bucket
     centre = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("c"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(members.join(centre, "key").select("key", "node", F.col("c").bitwiseXOR(F.col("key")).alias("c"), "n"), "buckets")
+    shared = cut(dealt_join(members, centre, "key", "node").select("key", "node", F.col("c").bitwiseXOR(F.col("key")).alias("c"), "n"), "buckets")
     star = shared.where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     star = cut(_sketched(star, nodes), "star")
     texts = cut(_texts(docs, signed, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))), width), "texts")
@@ -333,9 +333,9 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed, comps = linked(docs, width, percent)
-    rows = signed.select("doc_id", "n_shingles", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = dealt_join(signed.select("doc_id", "n_shingles", "node"), comps, "node", "doc_id", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    full = rows.join(least, "comp", "left")
+    full = dealt_join(rows, least, "comp", "doc_id", "left")
     own = F.when(F.col("comp").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return full.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
