@@ -510,15 +510,3 @@ def dry_run_classes(spark, sf_dir):
     key = F.when(F.col("doc_id") % 4 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
     new = docs.select(key.cast("string").alias("source_path"), F.when(F.col("doc_id") % 10 == 5, "x").otherwise(F.col("source_fingerprint")).alias("source_fingerprint"))
     return change_classes(old, new).groupBy("class").agg(F.count("*").alias("n"))
-
-
-@register(
-    "nation_revenue",
-    "SELECT n_name, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1",
-)
-def nation_revenue(spark, sf_dir):
-    line = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-    order = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    who = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    rows = line.join(order, "o_orderkey").join(who, "c_custkey").join(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
-    return rows.groupBy("n_name").agg(F.count("*").alias("lines"), F.round(F.sum("v"), 2).alias("revenue"))

@@ -51,6 +51,7 @@ class Connector:
 class Scan:
     conversations: DataFrame
     errors: DataFrame
+    unchanged: bool = False  # nothing was read, as no file of the source is newer than asked for
 
     @property
     def complete(self) -> bool:
@@ -81,9 +82,18 @@ def listed(spark: SparkSession, connector: Connector, roots: list[str]) -> DataF
     return rows.select(plain_path().alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length")
 
 
+def changed(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int) -> bool:
+    """Whether any file of a source, or the log that a database writes beside it, is as new as that."""
+    more = tuple(f"{g}-wal" for g in connector.globs if g.endswith(".db"))
+    every = listed(spark, Connector(connector.agent, connector.globs + more, keep=connector.keep), roots)
+    return not every.where(F.col("mtime") >= since_ms).isEmpty()
+
+
 def scan(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int | None = None, known: DataFrame | None = None) -> Scan:
     """Conversations of all files, of those changed since then, or of those whose path is not ``known``."""
     if connector.read is not None:
+        if since_ms is not None and not changed(spark, connector, roots, since_ms):
+            return Scan(spark.createDataFrame([], schema.CONVERSATION_RECORD), spark.createDataFrame([], "source_path string, error string"), True)
         found = connector.read(spark, roots)
         if known is not None:
             found = Scan(found.conversations.join(known.select("source_path"), "source_path", "left_anti"), found.errors)

@@ -33,7 +33,8 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
     Incremental scans read files changed since the cursor, and files of any age whose path is unknown."""
     now = now_ms if now_ms is not None else int(time.time() * 1000)
     spark, since = store.spark, None if full else store.meta("last_scan_ts")
-    out = {"inserted": 0, "updated": 0, "deleted": 0, "agents": [], "complete": True}
+    began = time.monotonic()
+    out = {"inserted": 0, "updated": 0, "deleted": 0, "agents": [], "finished": [], "complete": True}
     report = {"insert": 0, "update": 0, "delete": 0, "uncertain": 0}
     plans = {}
     for agent, connector in connectors.items():
@@ -50,7 +51,7 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
         plans[f"plan:{agent}"] = key if complete else INCOMPLETE
         out["complete"] &= complete
         gone = None
-        if complete:
+        if complete and not found.unchanged:
             # a source that reads its roots itself has no files of sessions; what it found is what there is
             there = rows.select("source_path") if connector.read is not None else listed(spark, connector, roots[agent]).select(F.col("path").alias("source_path"))
             gone = store.missing(there.distinct().withColumn("exists", F.lit(True)), [agent])
@@ -59,6 +60,8 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
             report = {k: v + own[k] for k, v in report.items()}
             continue
         counts = store.upsert(rows, now)
+        if complete:
+            out["finished"].append(agent)
         out["inserted"] += counts["inserted"]
         out["updated"] += counts["updated"]
         out["deleted"] += store.delete_missing(gone) if gone is not None else 0
@@ -67,6 +70,7 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
     store.set_meta(**plans, **({"last_scan_ts": now} if out["complete"] and plans else {}))
     if not store.index_is_current():
         store.refresh_index()
+    out["took_ms"] = int((time.monotonic() - began) * 1000)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.store import Store
 from logloom.sources import database, hermes, opencode
+from logloom.sources.base import changed
 from logloom.streaming.ingest import index
 
 
@@ -152,6 +153,11 @@ def test_index_of_databases(spark, tmp_path):
     from logloom.sources import connectors
 
     out = index(store, {"hermes": connectors()["hermes"]}, {"hermes": [str(tmp_path / "h")]}, now_ms=1000)
+    assert index(store, {"hermes": connectors()["hermes"]}, {"hermes": [str(tmp_path / "h")]}, now_ms=4_000_000_000_000)["deleted"] == 0
+    again = index(store, {"hermes": connectors()["hermes"]}, {"hermes": [str(tmp_path / "h")]}, now_ms=4_000_000_000_001)
+    assert (again["inserted"], again["updated"], again["deleted"], again["complete"]) == (0, 0, 0, True)  # no file is as new as the last scan
+    (tmp_path / "h" / "state.db-wal").touch()
+    assert changed(spark, connectors()["hermes"], [str(tmp_path / "h")], 1000) and not changed(spark, connectors()["hermes"], [str(tmp_path / "h")], 4_000_000_000_000)
     assert out["inserted"] == 1 and out["complete"] and store.table("messages").select(F.col("content")).first()[0] == "hello"
     (tmp_path / "h" / "state.db").unlink()
     make(tmp_path / "h" / "state.db", {"sessions": ("id TEXT, source TEXT, model TEXT, started_at REAL", [("y", "cli", "m", 1.0)]), "messages": ("id INT, session_id TEXT, role TEXT, content TEXT", [(1, "y", "user", "other")])})
