@@ -220,7 +220,7 @@ def _trend_query(bucket: str) -> None:
     label = {"day": "strftime(g, '%b %-d')", "week": "'Week of ' || strftime(g, '%b %-d')", "month": "strftime(g, '%b %Y')"}[bucket]
     sums = ", ".join(f"coalesce(x.{c}, 0) AS {c}" for c in ("events", "api_calls", "conversations", "logical_sessions", *_SUMS))
     sql = _usage_sql(
-        f"""SELECT epoch_us(g) // 1000 AS bucket_start, {label} AS label, {sums}, x.actual_usd FROM (SELECT unnest(generate_series({b(_SINCE)}, {b(A.AS_OF)}, {step})) AS g) LEFT JOIN (
+        f"""SELECT epoch_us(g) // 1000 AS bucket_start, {label} AS label, {sums}, x.actual_usd FROM (SELECT unnest(generate_series({b(_SINCE)}, {b(f"(SELECT greatest(max(le), {A.AS_OF}) FROM t)")}, {step})) AS g) LEFT JOIN (
   SELECT {b('ls')} AS k, {_ALL} FROM t WHERE usage_grain = 'event' OR {b('ls')} = {b('le')} GROUP BY 1) x ON x.k = g""",
         "TRUE", f"ls >= {_SINCE} AND le IS NOT NULL",
     )
@@ -229,7 +229,6 @@ def _trend_query(bucket: str) -> None:
     def query(spark, sf_dir):
         f = UsageFilters(since=_SINCE, bucket=bucket)
         rows = U.select_rows(A.usage_rows(spark, sf_dir), f)
-        # as_of lies beyond the last row, so it is the extent's end
         out, _ = U.trend(rows, U.window(rows, f, A.AS_OF))
         return _rounded(out.select("bucket_start", "label", "events", "api_calls", "conversations", "logical_sessions", *_SUMS, "actual_usd"))
 
