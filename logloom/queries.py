@@ -214,20 +214,26 @@ def usage_coverage(spark, sf_dir):
     return _rounded(U.coverage(A.usage_rows(spark, sf_dir), f, "day"))
 
 
-def _trend_query(bucket: str) -> None:
+def _trend_query(bucket: str, name: str | None = None, since: int | None = None) -> None:
+    """A trend; by another ``name`` with a bucket that the span decides, or from so early on that empty buckets are left out."""
+    name, start = name or bucket, _SINCE if since is None else since
     b = lambda x: f"date_trunc('{bucket}', CAST(to_timestamp({x} // 1000) AT TIME ZONE 'UTC' AS TIMESTAMP))"
     step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}[bucket]
     label = {"day": "strftime(g, '%b %-d')", "week": "'Week of ' || strftime(g, '%b %-d')", "month": "strftime(g, '%b %Y')"}[bucket]
+    last = b(f"(SELECT greatest(max(le), {A.AS_OF}) FROM t)")
+    grid = f"SELECT unnest(generate_series({b(start)}, {last}, {step})) AS g"
+    if since is not None:
+        grid = f"SELECT {b('ls')} AS g FROM t WHERE usage_grain = 'event' OR {b('ls')} = {b('le')} UNION SELECT {b(start)} UNION SELECT {last}"
     sums = ", ".join(f"coalesce(x.{c}, 0) AS {c}" for c in ("events", "api_calls", "conversations", "logical_sessions", *_SUMS))
     sql = _usage_sql(
-        f"""SELECT epoch_us(g) // 1000 AS bucket_start, {label} AS label, {sums}, x.actual_usd FROM (SELECT unnest(generate_series({b(_SINCE)}, {b(f"(SELECT greatest(max(le), {A.AS_OF}) FROM t)")}, {step})) AS g) LEFT JOIN (
+        f"""SELECT epoch_us(g) // 1000 AS bucket_start, {label} AS label, {sums}, x.actual_usd FROM ({grid}) LEFT JOIN (
   SELECT {b('ls')} AS k, {_ALL} FROM t WHERE usage_grain = 'event' OR {b('ls')} = {b('le')} GROUP BY 1) x ON x.k = g""",
-        "TRUE", f"ls >= {_SINCE} AND le IS NOT NULL",
+        "TRUE", f"ls >= {start} AND le IS NOT NULL",
     )
 
-    @register(f"usage_trend_{bucket}", sql)
+    @register(f"usage_trend_{name}", sql)
     def query(spark, sf_dir):
-        f = UsageFilters(since=_SINCE, bucket=bucket)
+        f = UsageFilters(since=start, bucket="auto" if name == "auto" else bucket)
         rows = U.select_rows(A.usage_rows(spark, sf_dir), f)
         out, _ = U.trend(rows, U.window(rows, f, A.AS_OF))
         return _rounded(out.select("bucket_start", "label", "events", "api_calls", "conversations", "logical_sessions", *_SUMS, "actual_usd"))
@@ -235,6 +241,8 @@ def _trend_query(bucket: str) -> None:
 
 for _bucket in ("day", "week", "month"):
     _trend_query(_bucket)
+_trend_query("day", "auto")
+_trend_query("day", "sparse", -2_208_988_800_000)
 
 
 @register("usage_unallocated", _usage_sql("SELECT agent, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM t WHERE usage_grain <> 'event' AND date_trunc('day', to_timestamp(ls // 1000) AT TIME ZONE 'UTC') <> date_trunc('day', to_timestamp(le // 1000) AT TIME ZONE 'UTC') GROUP BY 1"))

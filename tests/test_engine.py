@@ -23,7 +23,7 @@ def canonical(rows):
     return sorted((tuple(plain(x) for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["usage_totals", "usage_dedup", "usage_by_provider", "usage_coverage", "usage_trend_week", "usage_list_price", "search_recent", "search_phrase", "hybrid_rrf", "logical_root", "usage_all_breakdowns", "usage_top_models", "hybrid_scoped", "dry_run_classes", "source_coverage", "message_dedup", *SOURCES])
+@pytest.mark.parametrize("name", ["usage_totals", "usage_dedup", "usage_by_provider", "usage_coverage", "usage_trend_week", "usage_trend_sparse", "usage_list_price", "search_recent", "search_phrase", "hybrid_rrf", "logical_root", "usage_all_breakdowns", "usage_top_models", "hybrid_scoped", "dry_run_classes", "source_coverage", "message_dedup", *SOURCES])
 def test_query_is_sql(spark, name):
     con = duckdb.connect()
     for t in "events documents embeddings pages conversations customer orders lineitem nation".split():
