@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import by_group, cut, group_bounds, slices
 
 SEQUENCE, CLOSING = 4096, 2
-CACHE = 600_000
+CACHE = 300_000
 
 
 class Tournament:
@@ -110,25 +111,50 @@ class WordEncoder:
     #: A run of these after a letter or digit is a match of the tokenizer's pattern of its own.
     _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if self._AWKWARD.search(t) else (t if self._PLAIN.search(t) else t.lower()).split() for t in texts]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, of which the cache learns those that it lacks."""
         if len(self.words) > CACHE:
-            used = set().union(*(w for w in cuts if w)) & self.words.keys()
-            self.words = {w: self.words[w] for w in used}
+            self.words = {w: self.words[w] for w in self.words.keys() & set(words)}
         parts: dict[str, tuple[str, ...]] = {}
-        for word in set().union(*(w for w in cuts if w)) - self.words.keys():
-            head = word.rstrip(self._TAIL)
-            parts[word] = (head, word[len(head) :]) if head and head != word and head[-1].isalnum() and not self._PLAIN.search(head[-1]) else (word,)
-        fresh = set().union(*parts.values()) - self.words.keys()
-        letters = [w for w in fresh if w.isalpha() and not self._PLAIN.search(w)]
+        for word in words:
+            if word not in self.words:
+                head = word.rstrip(self._TAIL)
+                parts[word] = (head, word[len(head) :]) if head and head != word and head[-1].isalnum() and not self._PLAIN.search(head[-1]) else (word,)
+        fresh = {p for own in parts.values() for p in own if p not in self.words}
+        letters = [w for w in fresh if w.isalpha() and (w.isascii() or not self._PLAIN.search(w))]
         self.words.update(zip(letters, self._letters(letters)))
         rest = list(fresh.difference(letters))
         self.words.update(zip(rest, self._plain(rest)))
         for word, own in parts.items():
             if len(own) > 1:
                 self.words[word] = self.words[own[0]] + self.words[own[1]]
-        get = self.words.__getitem__
-        return [self._plain([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, cuts)]
+        return [self.words[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        use, low = [], []
+        for i, t in enumerate(texts):
+            if self._AWKWARD.search(t):
+                out[i] = self._plain([t])[0]
+            else:
+                use.append(i)
+                low.append(t.lower() if t.isascii() or not self._PLAIN.search(t) else t)
+        if not use:
+            return out
+        # words become numbers; each different word is looked up once, and the ids are put together by places
+        lists = pc.ascii_split_whitespace(pa.array(low, pa.string()))
+        coded = lists.values.dictionary_encode()
+        known, number = self._known(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        size = np.array([len(k) // 4 for k in known], dtype="i8")
+        n = size[number]
+        stops = np.append(0, np.cumsum(n))
+        begin = (np.cumsum(size) - size)[number]
+        ids = np.frombuffer(b"".join(known), dtype="<u4")[np.repeat(begin - stops[:-1], n) + np.arange(stops[-1])].tobytes()
+        bounds = (4 * stops[lists.offsets.to_numpy()]).tolist()
+        for i, a, b in zip(use, bounds[:-1], bounds[1:]):
+            out[i] = ids[a:b]
+        return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, closing: int = CLOSING) -> DataFrame:
@@ -139,7 +165,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = WordEncoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, 2_000_000):
+            for part in slices(batch, 4_000_000):
                 rows = []
                 for i, data in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     data += end
