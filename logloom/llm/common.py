@@ -33,12 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, so that the loss of an
-    executor replays one step at most.  ``free`` deletes the files; what is left goes when the driver's JVM ends."""
+    executor replays one step at most.  ``free`` deletes the files; what is left goes when the driver's JVM ends.
+
+    The shuffles behind ``df`` are done with then; the driver is made to find that, so that Spark deletes their files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at, files = _files(spark, path)
     files.deleteOnExit(at)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -50,14 +53,11 @@ def _files(spark: SparkSession, path: str):
 
 
 def free(*frames: DataFrame) -> None:
-    """Delete the files of frames from ``cut`` that nothing will read again, and let the driver find that the shuffles
-    behind them are done with, so that Spark deletes those files too."""
+    """Delete the files of frames from ``cut`` that nothing will read again."""
     for df in frames:
         if path := getattr(df, "_cut_path", None):
             at, files = _files(df.sparkSession, path)
             files.delete(at, True)
-    if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def sampled(share: float, column: str = "doc_id"):

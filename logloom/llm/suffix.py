@@ -46,8 +46,8 @@ LENGTH, ANCHOR, SUB = 400, 64, 32
 GROUP = 1 << 15
 #: Times that larger groups are split by further anchors, before their windows are counted one by one.
 LEVELS = 2
-#: Bytes that stand for a word.
-CODE = 6
+#: Bytes that stand for a word: passages that differ in one word only are taken as equal with a chance of 2^-32.
+CODE = 4
 #: Bytes of contexts that are worked on together, unless one group is larger.
 BATCH = 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -392,11 +392,11 @@ def _occurrences(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, Da
     # copies are dropped before they move
     texts = cut(long_.select("doc", "body").dropDuplicates(["doc"]).join(wanted, "doc"), "repeats")
     free(one)
-    occur = cut(_contexts(texts, length).withColumn("ident", F.unhex(F.md5("context"))), "contexts")
+    # worked out twice rather than written with their bytes, which take more room than the texts
+    occur = _contexts(texts, length).withColumn("ident", F.unhex(F.md5("context")))
     different = occur.groupBy("key", "ident").agg(F.first("context").alias("context"), F.first("place").alias("place"), F.count("*").alias("many"))
     different = cut(different, "different")
     light = cut(occur.select("key", "ident", "doc", "first"), "occur")
-    free(occur)
     return texts, light, different
 
 
@@ -406,9 +406,12 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     texts, occur, different = _occurrences(docs, length)
     spans = cut(_solved(different, length), "spans")
     free(different)
+    # few rows for each text, so they are brought to it here and the contexts can go
     back = dealt_join(occur.select("ident", "doc", "first"), spans, "ident", "doc").select("doc", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("stop")).alias("stop"))
     whole = texts.where("many > 1").select("doc", F.lit(0).cast("long").alias("begin"), F.length("body").cast("long").alias("stop"))
-    return texts, back.unionByName(whole)
+    found = cut(back.unionByName(whole), "covered")
+    free(occur, spans)
+    return texts, found
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -540,9 +543,13 @@ def _coded(docs: DataFrame, words: int, length: int) -> DataFrame:
 def _cut_passages(docs: DataFrame, words: int, length: int) -> DataFrame:
     """doc, text (what is left) of the different texts that lose something."""
     coded = _coded(docs, words, length)
-    by_word = covered(coded.select("doc", "body"), words * CODE)[1].withColumn("unit", F.lit(CODE))
+    texts, by_word = covered(coded.select("doc", "body"), words * CODE)
+    free(texts)
+    by_word = by_word.withColumn("unit", F.lit(CODE))
     few = cut(coded.where("sparse").select("doc").distinct(), "sparse")
-    by_byte = covered(docs.join(few, "doc", "left_semi"), length)[1].withColumn("unit", F.lit(1))
+    texts, by_byte = covered(docs.join(few, "doc", "left_semi"), length)
+    free(texts)
+    by_byte = by_byte.withColumn("unit", F.lit(1))
     lists = by_word.unionByName(by_byte).groupBy("doc").agg(F.collect_set(F.struct("begin", "stop", "unit")).alias("spans"))  # of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
