@@ -38,7 +38,7 @@ from .common import by_group, cut, free
 
 DEPTH, ROOT = 6, 3
 #: Bytes of text in a chunk, and of text that is sorted at once.
-CHUNK, PIECE = 16_000_000, 1_000_000
+CHUNK, PIECE = 8_000_000, 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _8 = np.uint64(8)
 
@@ -288,7 +288,7 @@ class _Chunk:
         self.waiting[train], self.size[train] = [], 0
         self.grams.append((key, n if train else np.zeros(len(n), dtype="i8")))
         self.held += len(key)
-        if self.held > 4_000_000:
+        if self.held > 1_500_000:
             self.grams = [_added(*zip(*self.grams))]
             self.held = 0
 
@@ -328,18 +328,16 @@ def _asked(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _added_up(asked: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: grams and words of each bucket with their numbers in all training texts."""
+    """Step 2: all grams and words that a bucket is asked for, with their numbers in all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             held: dict[str, list] = {"grams": [], "n": [], "words": [], "m": []}
             for row in rows:
                 for name, key in (("n", "grams"), ("m", "words")):
-                    keys, numbers = _unpack(row[key], True), _unpack(row[name])
-                    use = numbers > 0
-                    held[key].append(keys[use])
-                    held[name].append(numbers[use])
-                    if sum(map(len, held[key][1:])) > 2_000_000:
+                    held[key].append(_unpack(row[key], True))
+                    held[name].append(_unpack(row[name]))
+                    if sum(map(len, held[key][1:])) > max(500_000, len(held[key][0])):
                         one = _added(held[key], held[name])
                         held[key], held[name] = [one[0]], [one[1]]
             key, n = _added(held["grams"], held["n"])
@@ -378,7 +376,7 @@ def _crown_of(model: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _subtree_sums(gram: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    level = subtrees(gram, n)[ROOT]
+    level = subtrees(gram[n > 0], n[n > 0])[ROOT]
     ones = np.rint(level.one * (level.total + 1) - 0.5)
     up, place = np.unique(_upper(level.key), return_inverse=True)
     return tuple(np.bincount(place, weights=w, minlength=len(up)) for w in (level.total - ones, ones, level.log)), up
@@ -398,28 +396,16 @@ def _answered(model: DataFrame, asked: DataFrame, buckets: int, top) -> DataFram
                     continue
                 own, words = _unpack(row["grams"], True), _unpack(row["words"], True)
                 at, there = _found(key, own)
-                log = np.zeros(len(own), dtype="f4")
-                log[there] = known[at[there]]
                 if not there.all():
-                    log[~there] = _unseen(key, n, own[~there], top.value)
-                at, there = _found(word, words)
-                count = np.zeros(len(words), dtype="i8")
-                count[there] = m[at[there]]
-                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": bucket, "log": log.tobytes(), "count": _pack(count)}], schema)
+                    raise RuntimeError("a chunk asks for what it has not named")
+                counts = m[np.searchsorted(word, words)]
+                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": bucket, "log": known[at].tobytes(), "count": _pack(counts)}], schema)
 
     schema = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("log", pa.binary()), ("count", pa.binary())])
     rows = model.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return rows.mapInArrow(run, "chunk int, bucket int, log binary, count binary")
 
 
-def _unseen(key: np.ndarray, n: np.ndarray, own: np.ndarray, top: dict[str, np.ndarray]) -> np.ndarray:
-    """Probabilities of grams that training lacks: by the subtrees of their own roots."""
-    root = np.unique(own >> np.uint64(_SUBTREE))
-    _, use = _found(root, key >> np.uint64(_SUBTREE))
-    both, numbers = _added([key[use], own], [n[use], np.zeros(len(own), dtype="i8")])
-    return probabilities(both, numbers, top)[np.searchsorted(both, own)].astype("f4")
-
-
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
@@ -506,7 +492,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for m in batch.column(0):
             numbers = _unpack(m.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([int(numbers.sum())]), pa.array([len(numbers)])], names=["tokens", "distinct"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(numbers.sum())]), pa.array([int((numbers > 0).sum())])], names=["tokens", "distinct"])
 
 
 def is_tenth(doc_id: str = "doc_id") -> Column:
