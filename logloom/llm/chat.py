@@ -1,8 +1,10 @@
 """Chat formatting: schema fingerprints choose how a layout becomes canonical turns.
 
 ``field_paths`` lists the nested field paths of a record, ``schema_paths`` those of a table's schema; the ones that some layout knows are hashed;
-``LAYOUTS`` maps the fingerprint to a declarative mapping.  Fields that no layout knows do not change it, so
-further columns never clash.  An unknown fingerprint is an error that names the paths.
+``LAYOUTS`` maps the fingerprint to a declarative mapping.  Fields that no layout knows do not change it.  Where the fingerprint
+is not known as fields of several layouts stand side by side, the largest layout that the fields hold is taken (of equal ones the
+first), and the others are left out.  A table without a layout is an error that names the paths; a record without one, or one that
+cannot be read, has no turns, a null layout and the reason in ``error``.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Inside texts and roles each
 ``<\\..\\|`` gets one more backslash, so that no control string stands there, and reading takes it off again;
@@ -30,8 +32,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 
 
 class Layout(NamedTuple):
-    """Either ``turns`` (path of a list; role and text are fields of its items), or ``fields``: (role, path) in
-    order; a path may be several joined by ``+``, whose non-empty texts are joined by a blank line."""
+    """``fields``: (role, path) in order; a path may be several joined by ``+``, whose non-empty texts are joined by a blank
+    line.  ``turns``: path of a list behind them; role and text are fields of its items."""
 
     paths: tuple[str, ...]
     turns: str | None = None
@@ -45,6 +47,11 @@ _KNOWN = (
     Layout(("messages[].content", "messages[].role"), turns="messages"),
     Layout(("conversation[].content", "conversation[].role"), turns="conversation"),
     Layout(("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
+    *(Layout((*paths, "system"), name, *names, (("system", "system"),)) for paths, name, names in (
+        (("messages[].content", "messages[].role"), "messages", ("role", "content")),
+        (("conversation[].content", "conversation[].role"), "conversation", ("role", "content")),
+        (("conversations[].from", "conversations[].value"), "conversations", ("from", "value")),
+    )),
     Layout(("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
     Layout(("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
     Layout(("prompt", "response", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -59,6 +66,8 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 
 def field_paths(value: Any, at: str = "") -> set[str]:
+    if at in _PATHS:  # a text, or blocks of it
+        return {at}
     if isinstance(value, dict):
         return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
     if isinstance(value, list):
@@ -74,26 +83,39 @@ LAYOUTS = {fingerprint(layout.paths): layout for layout in _KNOWN}
 
 
 def layout_of(paths) -> Layout:
-    found = LAYOUTS.get(fingerprint(paths))
+    found = LAYOUTS.get(fingerprint(paths)) or max((x for x in _KNOWN if set(x.paths) <= set(paths)), key=lambda x: len(x.paths), default=None)
     if found is None:
         raise ValueError(f"no layout has the paths {sorted(paths)}")
     return found
 
 
+def _text(value: Any) -> str:
+    """A text, or blocks with one each."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        return "\n".join(t for b in value if (t := _text(b.get("text") if isinstance(b, dict) else b)))
+    raise ValueError(f"no text: {type(value).__name__}")
+
+
 def canonical(record: dict) -> list[tuple[str, str]]:
     """(role, text) of each turn of one record of any known layout."""
-    empty = next((k for k in ("messages", "conversations", "conversation") if record.get(k) == []), None)
-    if empty:
+    if not isinstance(record, dict):
+        raise ValueError(f"no object: {type(record).__name__}")
+    if any(record.get(k) == [] for k in ("messages", "conversations", "conversation")):
         return []
     layout = layout_of(field_paths(record))
-    if layout.turns is not None:
-        items = record[layout.turns] if layout.turns else [record]
-        return [(ROLES.get(role := x.get(layout.role) or "", role), x.get(layout.text) or "") for x in items]
     out = []
     for role, path in layout.fields:
-        text = "\n\n".join(t for p in path.split("+") if (t := record.get(p) or ""))
+        text = "\n\n".join(t for p in path.split("+") if (t := _text(record.get(p))))
         if text or role != "system":
             out.append((role, text))
+    if layout.turns is not None:
+        for item in record[layout.turns] if layout.turns else [record]:
+            if not isinstance(item, dict):
+                raise ValueError(f"a turn is no object: {type(item).__name__}")
+            role = _text(item.get(layout.role))
+            out.append((ROLES.get(role, role), _text(item.get(layout.text))))
     return out
 
 
@@ -149,23 +171,27 @@ def masked(formatted: str, spans: list[tuple[int, int]]) -> str:
 
 
 def format_records(records: DataFrame, ident: str = "id", column: str = "record") -> DataFrame:
-    """JSON records of mixed layouts: id, layout (fingerprint), formatted, loss spans; a null record has none."""
+    """JSON records of mixed layouts: id, layout (fingerprint), formatted, loss spans, error; a null record has none of them."""
+
+    def row(raw: str | None):
+        if not raw:
+            return None, "", [], None
+        try:
+            record = json.loads(raw)
+            text, spans = format_chat(canonical(record))
+            paths = layout_of(field_paths(record)).paths if text else field_paths(record)  # an empty list has no layout
+        except (ValueError, RecursionError) as e:  # one odd record leaves the others
+            return None, "", [], f"{type(e).__name__}: {e}"[:500]
+        return fingerprint(paths), text, [list(x) for x in spans], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.list_(pa.int64()))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string())
         for batch in batches:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                record = json.loads(raw) if raw else None
-                if record is None:
-                    out.append((None, "", []))
-                    continue
-                text, spans = format_chat(canonical(record))
-                out.append((fingerprint(field_paths(record)), text, [list(x) for x in spans]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], kind)], names=["id", "layout", "formatted", "loss"])
+            out = [row(raw) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["id", "layout", "formatted", "loss", "error"])
 
     rows = records.select(F.col(ident).cast("string").alias("id"), F.col(column).alias("record"))
-    return rows.mapInArrow(run, "id string, layout string, formatted string, loss array<array<long>>")
+    return rows.mapInArrow(run, "id string, layout string, formatted string, loss array<array<long>>, error string")
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
@@ -178,21 +204,25 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 def turns_of(rows: DataFrame, ident: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text of a table in any layout that its schema's fingerprint selects."""
     paths, conv = schema_paths(rows.schema), F.col(ident).cast("long").alias("conv_id")
-    layout = layout_of(paths if fingerprint(paths) in LAYOUTS else paths - {ident})
+    layout = layout_of(paths)
     blank = lambda c: F.coalesce(c, F.lit(""))
     if layout.turns == "":
         return rows.select(conv, F.col("turn").cast("long").alias("turn"), blank(F.col(layout.role)).alias("role"), blank(F.col(layout.text)).alias("text"))
-    if layout.turns:
-        own = rows.select(conv, F.posexplode(layout.turns).alias("turn", "__t"))
-        role = F.col("__t").getField(layout.role)
-        for theirs, ours in ROLES.items():
-            role = F.when(F.col("__t").getField(layout.role) == theirs, ours).otherwise(role)
-        return own.select("conv_id", F.col("turn").cast("long").alias("turn"), blank(role).alias("role"), blank(F.col("__t").getField(layout.text)).alias("text"))
     parts = []
     for role, path in layout.fields:
         texts = F.filter(F.array(*[blank(F.col(p)) for p in path.split("+")]), lambda x: x != "")
         parts.append(F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text")))
-    kept = F.filter(F.array(*parts), lambda x: (x["role"] != "system") | (x["text"] != ""))
+    kept = F.filter(F.array(*parts), lambda x: (x["role"] != "system") | (x["text"] != "")) if parts else None
+    if layout.turns:
+
+        def one(item):
+            role = blank(item.getField(layout.role))
+            for theirs, ours in ROLES.items():
+                role = F.when(item.getField(layout.role) == theirs, ours).otherwise(role)
+            return F.struct(role.alias("role"), blank(item.getField(layout.text)).alias("text"))
+
+        turns = F.transform(layout.turns, one)
+        kept = turns if kept is None else F.concat(kept, turns)
     return rows.select(conv, F.posexplode(kept).alias("turn", "__t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "__t.role", "__t.text")
 
 

@@ -176,23 +176,19 @@ def repeated(fingerprints: DataFrame, column: str, ranges: int | None = None) ->
     return blobs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(merge, f"{column} long")
 
 
-def _keyed(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.withColumns({"__text": text, "__fp": F.xxhash64(text), "__sha": F.unhex(F.sha2(text.cast("binary"), 256))})
+#: Rows of one text are dealt to so many tasks by their id.
+SALTS = 16
 
 
 def _classes(docs: DataFrame, text: Column) -> DataFrame:
     """Groups of equal texts with more than one row: __sha, __keep, __n."""
     rows = docs.select("doc_id", text.alias("__text")).select("doc_id", "__text", F.xxhash64("__text").alias("__fp"))
     twice = repeated(rows, "__fp")
-    routed = rows.join(twice, "__fp", "left_semi")
+    routed = dealt_join(rows, twice, "__fp", "doc_id", "left_semi", SALTS)  # each of a hot text's tasks sends one row on
     same = routed.groupBy("__text").agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__n")).where("__n > 1")
     return same.select(F.unhex(F.sha2(F.col("__text").cast("binary"), 256)).alias("__sha"), "__keep", "__n")
 
 
-#: Rows of one text are dealt to so many tasks by their id.
-SALTS = 16
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -209,14 +205,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, that with the largest doc_id; columns stay as they are.
+    """One row of each group of equal texts, that with the largest doc_id; columns stay as they are, whatever their names.
 
     Rows meet their group by (text, salt of the id), so that a large group is spread; rows that agree in both text
     and id share the salt, and one of them is taken without a further shuffle."""
     text = F.coalesce("text", F.lit(""))
-    salt = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SALTS)).cast("int")
-    found = _classes(docs, text).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = docs.withColumns({"__sha": F.unhex(F.sha2(text.cast("binary"), 256)), "__salt": salt}).join(found, ["__sha", "__salt"], "left")
-    kept = rows.where(F.col("__n").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("__sha"), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("__salt"), row)
+    found = _classes(docs.select("doc_id", "text"), text).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = rows.join(found, ["__sha", "__salt"], "left").where(F.col("__n").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
     at = F.when(F.col("__n").isNull(), 1).otherwise(F.row_number().over(W.partitionBy("__sha", "__salt").orderBy("doc_id")))
-    return kept.withColumn("__at", at).where("__at = 1").select(*docs.columns)
+    return kept.withColumn("__at", at).where("__at = 1").select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -97,7 +97,7 @@ def fold(low: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node, n_shingles, keys, sketch; a node is the hash of a set, null for an empty one."""
+    """doc_id, mark, node, n_shingles, keys, sketch; a node is the hash of a set, null for an empty one, a mark that of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
@@ -112,9 +112,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     else:
                         out.append((None, 0, None, None))
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["doc_id", "node", "n_shingles", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["doc_id", "mark", "node", "n_shingles", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, node long, n_shingles long, keys array<long>, sketch binary")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -330,17 +330,25 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, node, comp and the smallest (doc_id, node) of its component for every row."""
+    signed, comps = linked(docs, width, percent)
+    rows = dealt_join(signed.select("doc_id", "mark", "n_shingles", "node"), comps, "node", "doc_id", "left").withColumn("comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")))
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    return dealt_join(rows, least, "comp", "doc_id", "left")
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    signed, comps = linked(docs, width, percent)
-    rows = dealt_join(signed.select("doc_id", "n_shingles", "node"), comps, "node", "doc_id", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    full = dealt_join(rows, least, "comp", "doc_id", "left")
-    own = F.when(F.col("comp").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return full.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    own = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return _members(docs, width, percent).select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; columns stay as they are."""
-    dropped = classes(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__id"], "left_anti")
+    """One document of each component: that with the smallest doc_id; columns stay as they are.
+
+    Rows are told apart by id and text: of two texts under one id each stays or goes with its own component, and of two in
+    one component one stays."""
+    far = (F.col("doc_id") != F.col("least.doc_id")) | (F.col("node") != F.col("least.node"))
+    dropped = _members(docs, width, percent).where(F.col("comp").isNotNull() & far).select("doc_id", "mark").distinct()
+    return docs.join(dropped, (docs["doc_id"].cast("long") == dropped["doc_id"]) & (F.xxhash64(docs["text"]) == dropped["mark"]), "left_anti")
