@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import by_group, cut, free
 
-DEPTH, ROOT = 6, 3
+DEPTH, ROOT = 5, 3
 #: Bytes of text in a chunk, and of text that is sorted at once.
 CHUNK, PIECE = 8_000_000, 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

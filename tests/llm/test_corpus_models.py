@@ -196,7 +196,7 @@ def test_probabilities_add_up_to_one():
     n = rng.integers(1, 9, len(gram))
     sums, up = ctw._subtree_sums(gram, n)
     top = ctw.crown(up, *sums)
-    for context in (gram[5] >> np.uint64(8), np.uint64(0x616263616263), np.uint64(0x7A7A7A616263), np.uint64(0x616161010203)):
+    for context in (gram[5] >> np.uint64(8), *(np.uint64(int.from_bytes(c[: ctw.DEPTH], "big")) for c in (b"abcabca", b"zzzabca", b"aaa\1\2\3\4"))):
         every = context << np.uint64(8) | np.arange(256, dtype="u8")
         both, m = ctw._added([gram, every], [n, np.zeros(256, dtype="i8")])
         p = 10 ** ctw.probabilities(both, m, top)[np.searchsorted(both, every)]
