@@ -132,7 +132,7 @@ def search_output(store: Store, q: S.SearchQuery, now_ms: int, vector: list[floa
     """query, total_hits, query_time_ms, hits; with a query ``vector``, keyword and vector hits are fused."""
     began = time.monotonic()
     docs, index_ = store.table("search_docs"), store.table("postings")
-    sizes = S.sizes_of(index_, docs)
+    sizes = S.sizes_of(docs)
     total = S.count(docs, q, index_, sizes).first()[0]
     page = S.search(docs, q, now_ms, index_, sizes)
     rows = [r.asDict() for r in page.orderBy("rank").collect()]
@@ -201,9 +201,9 @@ def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None =
         if args.json:
             as_json(own)
             return 0
-        say(f"Agent: {AGENTS.get(own['agent'], own['agent'])}\nTitle: {own.get('title', '')}\nSource: {own['source_path']}\n\nMessages ({len(own['messages'])}):")
+        say(f"Agent: {AGENTS.get(own['agent'], own['agent'])}\nTitle: {report.safe(own.get('title') or '')}\nSource: {report.safe(own['source_path'])}\n\nMessages ({len(own['messages'])}):")
         for m in own["messages"]:
-            say(f"\n[{m['role']}]\n{report.safe(m['content']) if m['content'].count(chr(10)) == 0 else m['content']}")
+            say(f"\n[{m['role']}]\n" + "\n".join(map(report.safe, m["content"].split("\n"))))
         return 0
     if args.command == "stats":
         value = stats_output(store, project)
@@ -230,14 +230,14 @@ def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None =
             except ValueError:
                 return None
 
-        q = S.SearchQuery(args.query, lenient(parse_agent, args.agent), args.workspace, roots_, lenient(parse_date, args.since), lenient(parse_until, args.until), args.limit, args.offset, args.ranking, rrf_k=args.rrf_k)
+        q = S.SearchQuery(args.query, lenient(parse_agent, args.agent), args.workspace, roots_, lenient(parse_date, args.since), lenient(parse_until, args.until), args.limit, args.offset, args.ranking, rrf_k=args.rrf_k, filter_scores=True)
         value = search_output(store, q, now, encode(args.query) if encode is not None and args.semantic and not args.no_semantic else None)
         if args.json:
             as_json(value)
         else:
             say(f"Query: {args.query}\nFound {value['total_hits']} results in {value['query_time_ms']}ms\n")
             for i, h in enumerate(value["hits"], 1 + args.offset):
-                say(f"{i}. [{h['agent']}] {report.safe(h['title'] or 'Untitled')} - {h['created_at'][:10]}\n   {h['source_path']}\n   {report.safe(report.cut(h['preview'] or '', 100))}\n")
+                say(f"{i}. [{h['agent']}] {report.safe(h['title'] or 'Untitled')} - {h['created_at'][:10]}\n   {report.safe(h['source_path'])}\n   {report.safe(report.cut(h['preview'] or '', 100))}\n")
         return 0
     since, until = args.since and parse_date(args.since), args.until and parse_until(args.until)
     f = UsageFilters(tuple(map(parse_agent, args.agent)), tuple(args.provider), tuple(args.model), tuple(args.variant), tuple(args.task), args.workspace, roots_, args.exclude_synthetic, since, until, args.bucket, args.estimate_list_costs)

@@ -33,6 +33,7 @@ class SearchQuery:
     ranking: str = "recent"
     case_sensitive: bool = True
     rrf_k: int = 60
+    filter_scores: bool = False  # filters are clauses of the query, whose scores add to BM25
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -48,11 +49,10 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array(*sizes)).alias("f")).select("f.*").groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
 
 
-def sizes_of(index: DataFrame, docs: DataFrame) -> DataFrame:
-    """As ``lengths``, from stored postings: each document and field has one length, and a field without terms has none."""
-    own = index.groupBy("field", "id").agg(F.first("length").alias("length")).groupBy("field").agg(F.sum("length").alias("s"))
-    n = docs.agg(F.count("*").alias("n"))
-    return own.crossJoin(n).select("field", "n", (F.col("s") / F.col("n")).alias("avg"))  # by one row
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """As ``lengths``, from the lengths that a stored index keeps beside its documents."""
+    sums = docs.agg(F.count("*").alias("n"), *[F.sum(f"{f}_length").alias(f) for f in FIELDS])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), "n", (F.col(f) / F.col("n")).alias("avg")) for f in FIELDS])).alias("f")).select("f.*")
 
 
 def parse_query(query: str, case_sensitive: bool = True) -> list[list[str]]:
@@ -102,6 +102,37 @@ def matches(docs: DataFrame, q: SearchQuery) -> DataFrame:
     return docs
 
 
+def clause_scores(docs: DataFrame, q: SearchQuery) -> tuple[DataFrame, Column] | None:
+    """What a query's filters add to a document's score: (one row with the documents' number and those of each term, the sum).
+
+    A term of agent or workspace counts by how rare it is, as its field has one term; a range, of dates or of workspaces
+    below a root, counts 1; of a scope all that holds counts.  None for a query without filters."""
+    terms: list[Column] = []
+    parts: list[Column] = []
+
+    def term(where: Column) -> Column:
+        terms.append(where)
+        n, df = F.col("__n"), F.col(f"__df{len(terms) - 1}")
+        return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    if q.agent is not None:
+        parts.append(term(F.col("agent") == q.agent))
+    if q.workspace is not None:
+        parts.append(term(F.col("workspace") == q.workspace))
+    elif q.scope is not None:
+        unknown = F.coalesce("workspace", F.lit("")) == ""
+        parts.append(F.when(unknown, term(unknown)).otherwise(0.0))
+        for root in filter(None, (r.rstrip("/") for r in q.scope)):
+            own = F.col("workspace") == root
+            parts.append(F.when(own, term(own)).when(F.col("workspace").startswith(root + "/"), 1.0).otherwise(0.0))
+    if q.since is not None or q.until is not None:
+        parts.append(F.lit(1.0))
+    if not parts:
+        return None
+    row = docs.agg(F.count("*").alias("__n"), *[F.count_if(w).alias(f"__df{k}") for k, w in enumerate(terms)])
+    return row, sum(parts[1:], parts[0])
+
+
 def recency(created: Column, as_of: int) -> Column:
     days = ((F.lit(as_of) - created) / 86_400_000).cast("long")
     return F.when(days <= 0, 1.0).when(days > 365, 0.0).otherwise(1 - days / 365.0)
@@ -112,10 +143,15 @@ def hits(docs: DataFrame, q: SearchQuery, index: DataFrame | None = None, sizes:
     found = matches(docs, q)
     by_date = q.ranking in ("newest", "oldest") or not q.text.strip() and q.ranking in ("recent", "balanced")
     alternatives = parse_query(q.text, q.case_sensitive)
+    more = clause_scores(docs, q) if q.filter_scores and not by_date else None
+    if more is not None:  # by one row
+        found = found.crossJoin(F.broadcast(more[0])).withColumn("__more", more[1])
     if not alternatives:
-        return found.withColumn("bm25", F.lit(0.0 if by_date else 1.0)), by_date
+        base = F.lit(0.0 if by_date else 1.0) if more is None else F.col("__more")  # a query of filters only has their scores
+        return found.withColumn("bm25", base).drop("__more", *([] if more is None else more[0].columns)), by_date
     scores = bm25(index if index is not None else postings(docs), sizes if sizes is not None else lengths(docs), alternatives)
-    return found.join(scores, "id").withColumn("bm25", F.lit(0.0) if by_date else F.col("score")).drop("score"), by_date
+    score = F.lit(0.0) if by_date else F.col("score") if more is None else F.col("score") + F.col("__more")
+    return found.join(scores, "id").withColumn("bm25", score).drop("score", "__more", *([] if more is None else more[0].columns)), by_date
 
 
 def search(docs: DataFrame, q: SearchQuery, as_of: int, index: DataFrame | None = None, sizes: DataFrame | None = None, mode: str = "window") -> DataFrame:
@@ -123,7 +159,9 @@ def search(docs: DataFrame, q: SearchQuery, as_of: int, index: DataFrame | None
 
     ``window`` blends the BM25 page only, as a page is cut out before its blended order is made; ``global`` blends
     all hits first."""
-    found, by_date = hits(docs, q, index, sizes)
+    cols = [c for c in ("agent", "title", "workspace", "source_path", "preview") if c in docs.columns]
+    # of a stored index, what is shown is read for the page alone
+    found, by_date = hits(docs.select("id", *[c for c in ("agent", "workspace") if c in docs.columns], "created_at") if index is not None else docs, q, index, sizes)
     created = F.coalesce("created_at", F.lit(0))
     words, recent = BLENDS[q.ranking]
     found = found.withColumn("score", F.col("bm25") * words + recency(created, as_of) * recent)
@@ -132,8 +170,9 @@ def search(docs: DataFrame, q: SearchQuery, as_of: int, index: DataFrame | None
     page = found.orderBy(first, "id").limit(q.limit + q.offset)
     if q.offset:
         page = page.orderBy(first, "id").offset(q.offset)
+    if index is not None:
+        page = docs.select("id", *cols).join(F.broadcast(page.select("id", "score", "created_at")), "id")
     rank = F.row_number().over(W.orderBy(keys["date"] if by_date else keys["score"], "id"))  # of one page
-    cols = [c for c in ("agent", "title", "workspace", "source_path", "preview") if c in docs.columns]
     return page.select("id", "score", created.alias("created_at"), *cols, text.snippet("preview", q.text).alias("snippet"), rank.alias("rank"))
 
 

@@ -25,7 +25,7 @@ from ..functions import canon, text
 from ..plans.steps import lookup, written
 from . import search
 
-_SEARCH = "id long, title string, content string, preview string, agent string, workspace string, source_path string, created_at long"
+_SEARCH = "id long, title string, content string, preview string, agent string, workspace string, source_path string, created_at long, title_length int, content_length int"
 TABLES = {
     "conversations": schema.CONVERSATIONS, "messages": schema.MESSAGES, "usage_events": schema.USAGE_EVENTS, "embeddings": schema.EMBEDDINGS,
     "search_docs": _SEARCH, "postings": "field string, term string, id long, length int, tf long, positions array<int>", "failed": "source_path string, error string",
@@ -116,8 +116,9 @@ def search_rows(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     rows = conversations.join(named, "id").join(body, "id", "left")
     content = F.coalesce("content", F.lit(""))
     return rows.select(
-        "id", F.col("__title").alias("title"), content.alias("content"), text.preview(content).alias("preview"), "agent", F.coalesce("workspace", F.lit("")).alias("workspace"), "source_path", F.coalesce("started_at", F.lit(0)).alias("created_at")
-    )
+        "id", F.col("__title").alias("title"), content.alias("content"), text.preview(content).alias("preview"), "agent", F.coalesce("workspace", F.lit("")).alias("workspace"), "source_path", F.coalesce("started_at", F.lit(0)).alias("created_at"),
+        F.size(text.terms(F.coalesce("__title", F.lit("")))).alias("title_length"), F.size(text.terms(content)).alias("content_length"),
+    )
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -396,7 +397,8 @@ class Store:
     # ------------------------------------------------------------ reading
     def search(self, q: search.SearchQuery, as_of: int, mode: str = "window") -> DataFrame:
         index = self.table("postings")
-        return search.search(self.table("search_docs"), q, as_of, index, search.sizes_of(index, self.table("search_docs")), mode)
+        docs = self.table("search_docs")
+        return search.search(docs, q, as_of, index, search.sizes_of(docs), mode)
 
     def conversation(self, ident: int | str) -> dict | None:
         """A conversation with its messages and usage, by id or by exact source path."""

@@ -410,6 +410,18 @@ _ranked_query("search_filter_scope", S.SearchQuery(_TEXT, scope=("/repo/src1", "
 _ranked_query("search_filter_dates", S.SearchQuery("", since=A.AS_OF - 8_640_000_000, until=A.AS_OF - 864_000_000), f"created_at BETWEEN {A.AS_OF - 8_640_000_000} AND {A.AS_OF - 864_000_000}")
 
 
+@register(
+    "search_filter_scores",
+    f"""WITH {_duck_bm25(_TERMS)}, s AS (SELECT count(*) AS n, count_if(agent = 'codex') AS a, count_if(workspace = '') AS e, count_if(workspace = '/repo/src1') AS o, count_if(workspace = '/repo') AS p FROM docs)
+SELECT id, round(bm25 + ln(1 + (n - a + 0.5) / (a + 0.5)) + 1 + CASE WHEN workspace = '' THEN ln(1 + (n - e + 0.5) / (e + 0.5)) ELSE 0 END + CASE WHEN workspace = '/repo/src1' THEN ln(1 + (n - o + 0.5) / (o + 0.5)) WHEN workspace LIKE '/repo/src1/%' THEN 1 ELSE 0 END
+  + CASE WHEN workspace = '/repo' THEN ln(1 + (n - p + 0.5) / (p + 0.5)) WHEN workspace LIKE '/repo/%' THEN 1 ELSE 0 END, 6) AS score
+FROM bm JOIN docs USING (id), s WHERE agent = 'codex' AND (workspace IN ('', '/repo', '/repo/src1') OR workspace LIKE '/repo/%') AND created_at <= {A.AS_OF - 8_640_000}""",
+)
+def search_filter_scores(spark, sf_dir):
+    q = S.SearchQuery(_TEXT, agent="codex", scope=("/repo/src1/", "/repo"), until=A.AS_OF - 8_640_000, filter_scores=True)
+    return S.hits(A.search_docs(spark, sf_dir), q)[0].select("id", F.round("bm25", 6).alias("score"))
+
+
 @register(
     "search_snippet",
     f"""WITH {A.DUCK_DOCS}, c AS (SELECT id, CASE WHEN strlen(content) <= 300 THEN content ELSE left(content, CAST(list_max(list_filter(range(0, 301), lambda i: strlen(left(content, i)) <= 300)) AS BIGINT)) || '...' END AS p FROM docs),

@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import usage as U
 from .operators.store import Store, titles
-from .plans.steps import shared_dir, written
+from .plans.steps import lookup, shared_dir, written
 from .queries import _read, register
-from .sources import database, hermes, opencode, roots
-from .sources.base import parsed
-from .sources.jsonl import CONNECTORS
+from .sources import database, hermes, lines as L, opencode, roots
 
 # ---------------------------------------------------------------- sessions of a database, per-model rows, the rest
 _HERMES_SESSIONS = {
@@ -260,10 +258,14 @@ def opencode_tree(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- files of lines
-def _files(lines: DataFrame, path) -> DataFrame:
-    """One file for each conversation from lines (conv_id, at, line); a transcript is one session's log."""
-    own = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    return own.select(path.alias("path"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("length"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").cast("binary").alias("content"))
+def _lines(rows: DataFrame, path) -> DataFrame:
+    """Lines (conv_id, at, line) as a reader gives them: one file for each conversation, in splits of a few lines each."""
+    return rows.select(path.alias("path"), F.floor(F.col("at") / 7).alias("block"), F.col("at").alias("row"), "line")
+
+
+def _told(folded: L.Folded, name: str, *facts: str) -> DataFrame:
+    """Messages or usage rows with facts of their file."""
+    return lookup(getattr(folded, name), folded.facts.select("path", *facts), "path", "idx" if name == "messages" else "source_event_id", "inner")
 
 
 def _message_lines(spark, sf_dir) -> DataFrame:
@@ -272,7 +274,7 @@ def _message_lines(spark, sf_dir) -> DataFrame:
     use = F.when(answer, F.struct(F.length("text").alias("input_tokens"), (F.col("turn") % 7).alias("output_tokens"), F.lit(2).alias("cache_read_input_tokens")))
     message = F.struct("role", F.col("text").alias("content"), F.when(answer, F.concat(F.lit("i"), F.floor(F.col("turn") / 4))).alias("id"), F.when(answer & (F.col("turn") % 3 == 1), F.concat(F.lit("m"), F.col("turn"))).alias("model"), use.alias("usage"))
     line = F.to_json(F.struct(F.when(answer, "assistant").otherwise("user").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 1000).alias("timestamp"), message.alias("message")))
-    return _files(turns.select("conv_id", F.col("turn").alias("at"), line.alias("line")), F.concat(F.lit("/p/"), F.when(F.col("conv_id") % 4 == 0, "subagents/").otherwise(""), F.col("conv_id").cast("string"), F.lit(".jsonl")))
+    return _lines(turns.select("conv_id", F.col("turn").alias("at"), line.alias("line")), F.concat(F.lit("/p/"), F.when(F.col("conv_id") % 4 == 0, "subagents/").otherwise(""), F.col("conv_id").cast("string"), F.lit(".jsonl")))
 
 
 _DUCK_ML = f"""{_DUCK_TURNS}, ml AS (SELECT *, last_value(CASE WHEN turn % 2 = 0 THEN turn * 1000 END IGNORE NULLS) OVER o AS now, last_value(CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN 'm' || turn END IGNORE NULLS) OVER o AS model FROM tu WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
@@ -284,8 +286,8 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g') <> ''"
     f"WITH {_DUCK_ML} SELECT 's' || conv_id AS external_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, text AS content, now AS timestamp, model, CASE WHEN conv_id % 4 = 0 THEN 'child_agent' ELSE 'top_level' END AS record_kind FROM ml WHERE {_STRIP.format('text')}",
 )
 def message_line_messages(spark, sf_dir):
-    found = parsed(_message_lines(spark, sf_dir), CONNECTORS["claude_code"]).conversations
-    return found.select("external_id", "record_kind", F.explode("messages").alias("m")).select("external_id", F.col("m.idx").cast("long").alias("idx"), "m.role", "m.content", "m.timestamp", "m.model", "record_kind")
+    found = _told(L.message_lines(_message_lines(spark, sf_dir)), "messages", "external_id", "record_kind")
+    return found.select("external_id", F.col("idx").cast("long").alias("idx"), "role", "content", "timestamp", "model", "record_kind")
 
 
 @register(
@@ -295,8 +297,8 @@ y AS (SELECT *, row_number() OVER (PARTITION BY conv_id, source_event_id ORDER B
 SELECT 's' || conv_id AS external_id, source_event_id, timestamp, model, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, CAST(total_tokens AS BIGINT) AS total_tokens FROM y WHERE best = 1""",
 )
 def message_line_usage(spark, sf_dir):
-    found = parsed(_message_lines(spark, sf_dir), CONNECTORS["claude_code"]).conversations
-    return found.select("external_id", F.explode("usage").alias("u")).select("external_id", "u.source_event_id", "u.timestamp", "u.model", "u.input_tokens", "u.output_tokens", "u.total_tokens")
+    found = _told(L.message_lines(_message_lines(spark, sf_dir)), "usage", "external_id")
+    return found.select("external_id", "source_event_id", "timestamp", "model", "input_tokens", "output_tokens", "total_tokens")
 
 
 def _rollouts(spark, sf_dir) -> DataFrame:
@@ -309,7 +311,7 @@ def _rollouts(spark, sf_dir) -> DataFrame:
     count = wrap("event_msg", F.struct(F.lit("token_count").alias("type"), F.struct(F.when(F.col("turn") % 4 != 3, seen(F.floor(F.col("turn") / 2) + 1)).alias("total_token_usage"), seen(F.lit(2)).alias("last_token_usage")).alias("info")))
     parts = F.array(F.when(F.col("turn") == 0, meta), said, said, count)
     lines = turns.select("conv_id", "turn", F.posexplode(parts).alias("k", "line")).where("line is not null").select("conv_id", (F.col("turn") * 10 + F.col("k")).alias("at"), "line")
-    return _files(lines, F.concat(F.lit("/r/rollout-"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
+    return _lines(lines, F.concat(F.lit("/r/rollout-"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
 
 
 @register(
@@ -318,8 +320,8 @@ def _rollouts(spark, sf_dir) -> DataFrame:
   CASE WHEN conv_id % 3 = 0 THEN 'automation' ELSE 'top_level' END AS record_kind FROM tu WHERE {_STRIP.format('text')}""",
 )
 def rollout_messages(spark, sf_dir):
-    found = parsed(_rollouts(spark, sf_dir), CONNECTORS["codex"]).conversations
-    return found.select("external_id", "record_kind", F.explode("messages").alias("m")).select("external_id", F.col("m.idx").cast("long").alias("idx"), "m.role", "m.content", "m.timestamp", "record_kind")
+    found = _told(L.rollouts(_rollouts(spark, sf_dir)), "messages", "external_id", "record_kind")
+    return found.select("external_id", F.col("idx").cast("long").alias("idx"), "role", "content", "timestamp", "record_kind")
 
 
 @register(
@@ -328,8 +330,8 @@ def rollout_messages(spark, sf_dir):
 SELECT 'r' || conv_id AS external_id, CASE WHEN mark IS NOT NULL THEN concat('codex-cumulative-v2:r', conv_id, ':', mark * 100, ':', mark * 40, ':', mark * 7, ':', mark * 107, ':200:80:14:0:214') END AS source_event_id, (turn + 2000000000) * 1000 AS timestamp, 120 AS input_tokens, 80 AS cache_read_tokens, 14 AS output_tokens, 214 AS total_tokens FROM y WHERE mark IS NULL OR rn = 1""",
 )
 def rollout_usage(spark, sf_dir):
-    found = parsed(_rollouts(spark, sf_dir), CONNECTORS["codex"]).conversations
-    return found.select("external_id", F.explode("usage").alias("u")).select("external_id", "u.source_event_id", "u.timestamp", "u.input_tokens", "u.cache_read_tokens", "u.output_tokens", "u.total_tokens")
+    found = _told(L.rollouts(_rollouts(spark, sf_dir)), "usage", "external_id")
+    return found.select("external_id", "source_event_id", "timestamp", "input_tokens", "cache_read_tokens", "output_tokens", "total_tokens")
 
 
 def _trees(spark, sf_dir) -> DataFrame:
@@ -341,7 +343,7 @@ def _trees(spark, sf_dir) -> DataFrame:
     said = F.concat(F.lit('{"type":"message","id":"e'), F.col("turn"), F.lit('","timestamp":'), F.col("turn") + 5, F.lit(',"message":{"role":"'), F.col("role"), F.lit('","content":['), F.array_join(blocks, ","), F.lit("]"), F.coalesce(F.concat(F.lit(',"usage":'), F.to_json(use)), F.lit("")), F.lit("}}"))
     parts = F.array(F.when(F.col("turn") == 0, head), F.when(F.col("turn") % 4 == 2, change), said)
     lines = turns.select("conv_id", "turn", F.posexplode(parts).alias("k", "line")).where("line is not null").select("conv_id", (F.col("turn") * 10 + F.col("k")).alias("at"), "line")
-    return _files(lines, F.concat(F.lit("/r/1_"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
+    return _lines(lines, F.concat(F.lit("/r/1_"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
 
 
 _DUCK_TREE = f"{_DUCK_TURNS}, tr AS (SELECT *, coalesce(last_value(CASE WHEN turn % 4 = 2 THEN 'm' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'm0') AS model FROM tu)"
@@ -352,8 +354,8 @@ _DUCK_TREE = f"{_DUCK_TURNS}, tr AS (SELECT *, coalesce(last_value(CASE WHEN tur
     f"""WITH {_DUCK_TREE} SELECT 't' || conv_id AS external_id, turn AS idx, role, '[Thinking] hm' || chr(10) || CASE WHEN text = '' THEN '' ELSE text || chr(10) END || '[Tool: sed] {{"a":2,"z":1}}' AS content, turn + 5 AS timestamp, model, CASE WHEN conv_id % 6 = 0 THEN 'test' ELSE 'top_level' END AS record_kind, conv_id % 6 = 0 AS is_synthetic FROM tr""",
 )
 def tree_messages(spark, sf_dir):
-    found = parsed(_trees(spark, sf_dir), CONNECTORS["pi_agent"]).conversations
-    return found.select("external_id", "record_kind", "is_synthetic", F.explode("messages").alias("m")).select("external_id", F.col("m.idx").cast("long").alias("idx"), "m.role", "m.content", "m.timestamp", "m.model", "record_kind", "is_synthetic")
+    found = _told(L.session_trees(_trees(spark, sf_dir)), "messages", "external_id", "record_kind", "is_synthetic")
+    return found.select("external_id", F.col("idx").cast("long").alias("idx"), "role", "content", "timestamp", "model", "record_kind", "is_synthetic")
 
 
 @register(
@@ -362,21 +364,23 @@ def tree_messages(spark, sf_dir):
   CASE conv_id % 3 WHEN 0 THEN 'pi.google.input-includes-cache-read.v1' WHEN 1 THEN 'pi.cursor-sdk.cumulative-reported-total.v1' ELSE 'pi.reported-total-with-additive-components.v1' END AS token_semantics, CASE WHEN turn % 3 = 0 THEN 'source_reported_zero' END AS cost_status FROM tr WHERE role = 'assistant'""",
 )
 def tree_usage(spark, sf_dir):
-    found = parsed(_trees(spark, sf_dir), CONNECTORS["pi_agent"]).conversations
-    return found.select("external_id", F.explode("usage").alias("u")).select("external_id", "u.source_event_id", "u.model", "u.input_tokens", "u.total_tokens", "u.token_semantics", "u.cost_status")
+    found = _told(L.session_trees(_trees(spark, sf_dir)), "usage", "external_id")
+    return found.select("external_id", "source_event_id", "model", "input_tokens", "total_tokens", "token_semantics", "cost_status")
 
 
-@register("copied_sessions", "SELECT 't' || vec_id AS external_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND lang = 'en')")
+@register("copied_sessions", "SELECT 't' || vec_id AS external_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id * 3 FROM documents WHERE doc_id IS NOT NULL)")
 def copied_sessions(spark, sf_dir):
     own = _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("t"), "vec_id").alias("external_id"))
-    originals = _read(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.lit("t"), "doc_id").alias("external_id"))
+    originals = _read(spark, sf_dir, "documents").select(F.concat(F.lit("t"), F.col("doc_id") * 3).alias("external_id"))
     return roots.without_copies(own, originals)
 
 
 # ---------------------------------------------------------------- the store
 def _scanned(spark, sf_dir, changed: bool) -> DataFrame:
     """The conversations as scanned records; of the changed ones the last turn is left out."""
-    found = parsed(_message_lines(spark, sf_dir), CONNECTORS["claude_code"]).conversations
+    rows = _message_lines(spark, sf_dir)
+    files = rows.groupBy("path").agg(F.lit(0).cast("long").alias("mtime"), F.sum(F.length("line")).alias("length"))
+    found = L.records(L.message_lines(rows), files, "claude_code", 3)
     n = F.expr("CAST(substring(external_id, 2) AS BIGINT)")
     if changed:
         short = (n % 3 == 0) & (F.size("messages") > 1)
@@ -385,24 +389,17 @@ def _scanned(spark, sf_dir, changed: bool) -> DataFrame:
 
 
 def _store(spark, sf_dir) -> Store:
-    """All conversations, then an update of some and the deletion of others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _STORES:
-        return Store(spark, _STORES[key], read_only=True)
-    path = f"{shared_dir(spark)}/logloom-store-{uuid.uuid4().hex}"
-    store = Store(spark, path)
+    """A store of its own: all conversations, then an update of some and the deletion of others."""
+    store = Store(spark, f"{shared_dir(spark)}/logloom-store-{uuid.uuid4().hex}")
     store.upsert(_scanned(spark, sf_dir, False), 1000)
     store.rebuild_index()
     store.upsert(_scanned(spark, sf_dir, True), 2000)
     there = store.table("conversations").where("CAST(substring(external_id, 2) AS BIGINT) % 10 <> 7").select("source_path", F.lit(True).alias("exists"))
     store.delete_missing(written(store.missing(there, ["claude_code"]), "missing"))
     store.refresh_index()
-    _STORES[key] = path
     return store
 
 
-#: Stores that a session has made, by its tables.
-_STORES: dict[tuple[str, str], str] = {}
 _DUCK_STORE = f"""{_DUCK_ML}, kept AS (SELECT conv_id, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n, role, text AS content FROM ml WHERE {_STRIP.format('text')} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 st AS (SELECT * FROM kept WHERE conv_id % 10 <> 7 AND NOT (conv_id % 3 = 0 AND n > 1 AND idx = n - 1))"""
 
@@ -414,11 +411,16 @@ def store_messages(spark, sf_dir):
     return store.table("messages").join(own, "conversation_id").select("external_id", F.col("idx").cast("long").alias("idx"), "role", "content", "content_hash")
 
 
-@register("store_titles", f"WITH {_DUCK_STORE}, f AS (SELECT conv_id, arg_min(content, idx) AS t FROM kept WHERE role = 'user' GROUP BY 1), c AS (SELECT DISTINCT conv_id, n FROM kept WHERE conv_id % 10 <> 7) SELECT 's' || conv_id AS external_id, CASE WHEN conv_id % 3 = 0 AND n > 1 THEN 2000 ELSE 1000 END AS indexed_at, t IS NULL AS untitled FROM c LEFT JOIN f USING (conv_id)")
+@register(
+    "store_titles",
+    f"""WITH {_DUCK_STORE}, f AS (SELECT conv_id, regexp_replace(split_part(arg_min(content, idx), chr(10), 1), chr(13) || '$', '') AS t FROM kept WHERE role = 'user' GROUP BY 1), c AS (SELECT DISTINCT conv_id, n FROM kept WHERE conv_id % 10 <> 7)
+SELECT 's' || conv_id AS external_id, CASE WHEN conv_id % 3 = 0 AND n > 1 THEN 2000 ELSE 1000 END AS indexed_at, CASE WHEN t IS NULL THEN 'Untitled' WHEN octet_length(encode(t)) <= 100 THEN t
+  ELSE (SELECT max(p) FROM (SELECT substr(t, 1, k) AS p FROM range(1, 98) r(k)) WHERE octet_length(encode(p)) <= 97) || '...' END AS title FROM c LEFT JOIN f USING (conv_id)""",
+)
 def store_titles(spark, sf_dir):
     store = _store(spark, sf_dir)
     own = store.table("conversations")
-    return own.join(titles(own, store.table("messages")).withColumnRenamed("title", "t"), "id").select("external_id", "indexed_at", (F.col("t") == "Untitled").alias("untitled"))
+    return titles(own, store.table("messages")).join(own.select("id", "external_id", "indexed_at"), "id").select("external_id", "indexed_at", "title")
 
 
 @register("store_index", f"WITH {_DUCK_STORE} SELECT 's' || conv_id AS external_id, string_agg('[' || role || '] ' || content, chr(10) || chr(10) ORDER BY idx) AS content FROM st GROUP BY conv_id")

@@ -8,7 +8,7 @@ def connectors():
     from .. import schema
     from . import hermes, opencode
     from .base import Connector
-    from .jsonl import CONNECTORS
+    from .formats import CONNECTORS
 
-    own = CONNECTORS | {"hermes": Connector("hermes", ("state.db",), read=hermes.scan), "opencode": Connector("opencode", ("*.db", "*.json"), read=opencode.scan)}
+    own = CONNECTORS | {"hermes": Connector("hermes", ("state.db",), load=hermes.scan, inventory=hermes.inventory), "opencode": Connector("opencode", ("*.db", "*.json"), load=opencode.scan, inventory=opencode.inventory)}
     return {a: own[a] for a in schema.AGENTS}

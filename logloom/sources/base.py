@@ -1,46 +1,51 @@
-"""Sources: transcript files read by Spark, one file a row, parsed where they lie.
+"""Sources: transcript files listed and read by Spark's tasks.
 
-A connector names the roots and file patterns of an agent and parses one file's bytes.  ``listed`` lists files of any
-store that Spark reads without reading them; ``scan`` reads those that are to be parsed: all, those changed since a time
-(which Spark's reader skips by itself), or those whose path is not known.  Failed files are kept apart, so that an
-incomplete scan neither moves a cursor nor deletes.
-
-A transcript is one session's log: a task holds one file at a time."""
+A connector names the file patterns of an agent and folds lines, or whole files, into conversations.  ``walk`` lists folders in
+tasks, as many levels as a task may see entries; a folder that cannot be read is an error and leaves the scan incomplete,
+so that it neither moves a cursor nor deletes.  ``scan`` reads what is to be read: all, files changed since a time, or files
+whose path is not known."""
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import json
+import re
+import stat
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
 from ..plans.steps import written
+from .lines import Folded, read, records
 
-U64_MAX = (1 << 64) - 1
-I64_MAX = (1 << 63) - 1
-_OUT = T.StructType([T.StructField("conversation", schema.CONVERSATION_RECORD), T.StructField("error", T.StringType()), T.StructField("source_path", T.StringType())])
+#: Entries that a task lists before it hands the folders that are left on to other tasks.
+ENTRIES = 10_000
+#: Up to so many files are read by their names; beyond, the roots are read and joined with the listing.
+NAMES = 10_000
+#: Bytes that a file read whole may have, as Spark holds it in one value.
+WHOLE = (1 << 31) - 1 - 64
 
 
 @dataclass(frozen=True)
 class Connector:
-    """``parse(path, data)`` gives a conversation as a dict, or None for a file without one.  A connector with ``read``
-    reads its roots itself: it gives (conversations, errors)."""
+    """``fold`` makes conversations of the lines of files that match ``globs``, ``whole`` of (path, value) of those that match
+    ``objects``.  A connector with ``load`` reads its roots itself: it gives (conversations, errors)."""
 
     agent: str
     globs: tuple[str, ...]
-    parse: Callable[[str, bytes], dict | None] | None = None
+    fold: Callable[..., Folded] | None = None
+    objects: tuple[str, ...] = ()
+    whole: Callable[[DataFrame], Folded] | None = None
     on_error: str = "skip"  # skip: leave the file out, scan incomplete; fail: raise; skip_agent: no rows of this agent
-    read: Callable[[SparkSession, list[str]], Scan] | None = None
+    load: Callable[[SparkSession, list[str]], Scan] | None = None
+    inventory: Callable[[SparkSession, list[str]], DataFrame] | None = None  # source_path, external_id of all sessions that ``load`` would find
     keep: str | None = None  # a pattern that paths have to hold
+    headers: bool = False  # sessions name files as their parents
 
     @property
     def revision(self) -> int:
@@ -52,6 +57,8 @@ class Scan:
     conversations: DataFrame
     errors: DataFrame
     unchanged: bool = False  # nothing was read, as no file of the source is newer than asked for
+    present: DataFrame | None = None  # source_path of all that there is, read or not
+    mark: str | None = None  # a digest of the listing
 
     @property
     def complete(self) -> bool:
@@ -68,106 +75,200 @@ def plain_path(column: str = "path"):
     return F.regexp_replace(column, "^file:/*", "/")
 
 
-def _files(spark: SparkSession, connector: Connector, roots: list[str]) -> DataFrame:
-    rows = None
-    for glob in connector.globs:
-        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true").load(outermost(roots))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.where(F.col("path").rlike(connector.keep)) if connector.keep else rows
-
-
-def listed(spark: SparkSession, connector: Connector, roots: list[str]) -> DataFrame:
-    """path, mtime (milliseconds), length of a connector's files; contents are not read."""
-    rows = _files(spark, connector, roots)
-    return rows.select(plain_path().alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length")
-
-
-def changed(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int) -> bool:
-    """Whether any file of a source, or the log that a database writes beside it, is as new as that."""
-    more = tuple(f"{g}-wal" for g in connector.globs if g.endswith(".db"))
-    every = listed(spark, Connector(connector.agent, connector.globs + more, keep=connector.keep), roots)
-    return not every.where(F.col("mtime") >= since_ms).isEmpty()
-
-
-def scan(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int | None = None, known: DataFrame | None = None) -> Scan:
-    """Conversations of all files, of those changed since then, or of those whose path is not ``known``."""
-    if connector.read is not None:
-        if since_ms is not None and not changed(spark, connector, roots, since_ms):
-            return Scan(spark.createDataFrame([], schema.CONVERSATION_RECORD), spark.createDataFrame([], "source_path string, error string"), True)
-        found = connector.read(spark, roots)
-        if known is not None:
-            found = Scan(found.conversations.join(known.select("source_path"), "source_path", "left_anti"), found.errors)
-        return found
-    if known is not None:
-        names = listed(spark, connector, roots).join(known.select(F.col("source_path").alias("path")), "path", "left_anti")
-        # no more names than the driver's own file index holds already
-        roots = [r[0] for r in names.select("path").collect()]
-        if not roots:
-            return Scan(spark.createDataFrame([], schema.CONVERSATION_RECORD), spark.createDataFrame([], "source_path string, error string"))
-    rows = _files(spark, connector, roots)
-    if since_ms is not None:  # inclusive; the reader leaves out the contents of older files
-        rows = rows.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(since_ms)))
-    return parsed(rows.select(plain_path().alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length", "content"), connector)
-
-
-def parsed(files: DataFrame, connector: Connector) -> Scan:
-    """Conversations and errors of files (path, mtime, length, content)."""
-    parse, agent, revision, strict = connector.parse, connector.agent, connector.revision, connector.on_error == "fail"
-    kinds = to_arrow_schema(_OUT)
+def literal(path: str) -> str:
+    """A path as Spark's readers take it, with no pattern in it."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+# ---------------------------------------------------------------- listing
+_LISTED = "path string, mtime long, length long, kind string, error string"
+
+
+def _entries(folder: str, globs: tuple[str, ...], limit: int) -> Iterator[tuple]:
+    """(path, mtime, length, kind, error) of what lies below a folder or is that file; kinds: file, folder (not listed yet), error."""
+    import os
+
+    stack, seen = [folder], 0
+    while stack:
+        at = stack.pop()
+        if seen >= limit:
+            yield at, None, None, "folder", None
+            continue
+        try:
+            found = os.stat(at)
+            if stat.S_ISDIR(found.st_mode):
+                below = sorted(os.path.join(at, e) for e in os.listdir(at))
+                seen += len(below)
+                # a link to a folder above would never end
+                stack += [b for b in below if not (os.path.islink(b) and (os.path.realpath(at) + "/").startswith(os.path.realpath(b) + "/"))]
+            elif stat.S_ISREG(found.st_mode) and any(fnmatchcase(os.path.basename(at), g) for g in globs):
+                yield at, int(found.st_mtime * 1000), found.st_size, "file", None
+        except (FileNotFoundError, NotADirectoryError):  # gone meanwhile, or a link to nothing
+            continue
+        except OSError as e:
+            yield at, None, None, "error", f"{type(e).__name__}: {e.strerror}"
+
+
+def walk(spark: SparkSession, roots: list[str], globs: tuple[str, ...], keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, errors): path, mtime (milliseconds), length of all files below the roots that match; and source_path, error of
+    what cannot be listed.  Roots with a scheme other than ``file`` are listed by Spark's reader instead, which fails as a whole."""
+    plain = [re.sub("^file:/*", "/", r) for r in outermost(roots)]
+    local, far = [r for r in plain if r.startswith("/")], [r for r in plain if not r.startswith("/")]
+    names = [c.split()[0] for c in _LISTED.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):  # a file at a time
-                path, mtime, length, content = (batch.column(i)[k].as_py() for i in range(4))
-                try:
-                    found = parse(path, bytes(content))
-                    row = (None if found is None else as_row(found, agent, revision, path, mtime, length), None, path)
-                except Exception as e:  # one broken file leaves the others
-                    if strict:
-                        raise
-                    row = (None, f"{type(e).__name__}: {e}"[:500], path)
-                if row[0] is not None or row[1] is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds)], schema=kinds)
-
-    found = written(files.select("path", "mtime", "length", "content").mapInArrow(run, _OUT), "scan")
-    errors = found.where("error is not null").select("source_path", "error")
-    good = found.where("conversation is not null").select("conversation.*")
-    if connector.on_error == "skip_agent" and not errors.isEmpty():
-        good = good.limit(0)
-    return Scan(good, errors)
-
-
-def as_row(found: dict, agent: str, revision: int, path: str, mtime: int, size: int) -> dict:
-    """A parsed conversation in the shape of the schema, with its fingerprint."""
-    files = found.get("source_files") or [(path, mtime, size)]
-    parts = "|".join(sorted(f"{p}:{m}:{s}" for p, m, s in files))
-    out = {"agent": agent, "source_path": path, "is_synthetic": False, "record_kind": "top_level"} | found
-    out["source_fingerprint"] = f"{agent}-v{revision}:{hashlib.sha256(parts.encode()).hexdigest()}"
-    out["source_mtime_max"] = max((m for _, m, _ in files), default=0)
-    out["source_files"] = [dict(zip(schema.SOURCE_FILE.names, f)) for f in files]
-    out["messages"] = [{"idx": i if m.get("idx") is None else m["idx"], "role": m["role"], "content": m["content"], "timestamp": m.get("timestamp"), "model": m.get("model")} for i, m in enumerate(found.get("messages", []))]
-    out["usage"] = [usage_row(u) for u in found.get("usage", [])]
-    return {n: out.get(n) for n in schema.CONVERSATION_RECORD.names}
-
-
-def usage_row(u: dict) -> dict:
-    """All columns of a usage record; counters are clamped to what a long holds."""
-    out = dict.fromkeys(schema.USAGE_RECORD.names)
-    out |= {"usage_grain": "event", "api_calls": 0, "request_attempts": 0} | {f"{t}_tokens": 0 for t in ("input", "output", "cache_read", "cache_write", "reasoning", "total")} | u
-    for f in schema.USAGE_RECORD:
-        if isinstance(out[f.name], int) and f.dataType.typeName() == "long":
-            out[f.name] = max(-I64_MAX - 1, min(I64_MAX, out[f.name]))
-    return out
-
+            for folder in batch.column(0).to_pylist():
+                rows = list(_entries(folder, globs, ENTRIES))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    rows = spark.createDataFrame([], _LISTED)
+    front = spark.createDataFrame([(r,) for r in local], "path string")
+    while local:
+        found = written(front.repartition("path").mapInArrow(run, _LISTED), "listing")
+        rows, front = rows.unionByName(found.where("kind != 'folder'")), found.where("kind = 'folder'").select("path")
+        if front.isEmpty():
+            break
+    for glob in globs if far else ():
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true").load([literal(r) for r in far])
+        rows = rows.unionByName(own.select("path", (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length", F.lit("file").alias("kind"), F.lit(None).cast("string").alias("error")))
+    files = rows.where("kind = 'file'").select("path", "mtime", "length")
+    return files.where(F.col("path").rlike(keep)) if keep else files, rows.where("kind = 'error'").select(F.col("path").alias("source_path"), "error")
+
+
+def existence(paths: DataFrame) -> DataFrame:
+    """source_path, exists of given source_paths: false only where the file system says that nothing is there, null where it
+    cannot tell."""
+
+    def one(path: str) -> bool | None:
+        import os
+
+        try:
+            if "://" in path:
+                from pyarrow import fs
+
+                system, at = fs.FileSystem.from_uri(path)
+                return system.get_file_info(at).type != fs.FileType.NotFound
+            os.stat(path)
+        except (FileNotFoundError, NotADirectoryError):
+            return False
+        except Exception:
+            return None
+        return True
 
-# ---------------------------------------------------------------- helpers on JSON
-def lines(data: bytes) -> Iterator[tuple[int, Any]]:
-    """(line number, value) of each line that is not blank; a broken line fails the file."""
-    for k, line in enumerate(data.decode("utf-8").split("\n")):
-        if line.strip():
-            yield k, json.loads(line)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(p) for p in batch.column(0).to_pylist()], pa.bool_())], names=["source_path", "exists"])
+
+    return paths.select("source_path").mapInArrow(run, "source_path string, exists boolean")
+
+
+# ---------------------------------------------------------------- reading
+def reading(spark: SparkSession, files: DataFrame, roots: list[str], globs: tuple[str, ...], load: Callable[[list[str], str], DataFrame], broken: bool = False) -> DataFrame | None:
+    """``load(paths, glob)`` of the given files; None if there are none.  Few files, or any where a folder is ``broken``, are
+    read by their names; many by their roots, which costs a listing and no pattern of names."""
+    def union(frames):
+        out = None
+        for f in frames:
+            out = f if out is None else out.unionByName(f)
+        return out
+
+    if not broken:
+        some = files.select("path").limit(NAMES + 1).collect()
+        if len(some) > NAMES:
+            own = union(load([literal(r) for r in outermost(roots)], g) for g in globs)
+            return own.join(files.select("path"), "path", "left_semi")
+    else:
+        some = files.select("path").collect()
+    names = [r[0] for r in some]
+    parts = [([literal(n) for n in names if fnmatchcase(n.rsplit("/", 1)[-1], g)], g) for g in globs]
+    return union(load(p, g) for p, g in parts if p)
+
+
+def scan(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int | None = None, known: DataFrame | None = None, mark: str | None = None) -> Scan:
+    """Conversations of all files; with ``since_ms`` of those changed since then, with ``known`` (source_path) of those whose path
+    it lacks, with both of either.  ``mark`` is the digest of an earlier complete listing: a source that loads its roots itself is
+    not read where no file has come, gone or changed since, and only looked through for unknown sessions where files have
+    come or gone but none is new."""
+    if connector.load is not None:
+        return _loaded(spark, connector, roots, since_ms, known, mark)
+    files, errors = walk(spark, roots, connector.globs + connector.objects, connector.keep)
+    wanted = files
+    if since_ms is not None or known is not None:
+        new = files.join(known.select(F.col("source_path").alias("path")), "path", "left_anti") if known is not None else files.limit(0)
+        wanted = files.where(F.col("mtime") >= since_ms).unionByName(new).dropDuplicates(["path"]) if since_ms is not None else new
+    wanted = written(wanted, "wanted")
+    rows, bad = conversations_of(spark, connector, wanted, roots, not errors.isEmpty())
+    if connector.on_error == "fail" and not bad.isEmpty():
+        raise ValueError(f"{connector.agent}: {bad.first()}")
+    if connector.on_error == "skip_agent" and not bad.isEmpty():
+        rows = rows.limit(0)
+    return Scan(rows, errors.unionByName(bad), False, files.select(F.col("path").alias("source_path")))
+
+
+def _loaded(spark: SparkSession, connector: Connector, roots: list[str], since_ms: int | None, known: DataFrame | None, mark: str | None) -> Scan:
+    logs = tuple(f"{g}-wal" for g in connector.globs if g.endswith(".db"))
+    files, errors = walk(spark, roots, connector.globs + logs)
+    sums = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "mtime", "length").cast("decimal(20,0)")).alias("s"), F.max("mtime").alias("last")).first()
+    own, none = f"{sums['n']}:{sums['s']}", spark.createDataFrame([], schema.CONVERSATION_RECORD)
+    older = since_ms is not None and (sums["last"] is None or sums["last"] < since_ms)
+    if older and own == mark and errors.isEmpty():
+        return Scan(none, errors, True, mark=own)
+    if older and connector.inventory is not None and known is not None:
+        held = written(connector.inventory(spark, roots), "inventory")
+        new = held.join(known.select("source_path"), "source_path", "left_anti")
+        if new.isEmpty():
+            return Scan(none, errors, False, held.select("source_path"), own)
+        found = connector.load(spark, roots)
+        rows = found.conversations.join(new.select("source_path"), "source_path", "left_semi").select(*found.conversations.columns)
+        return Scan(rows, found.errors.unionByName(errors).dropDuplicates(["source_path"]), False, held.select("source_path"), own)
+    found = connector.load(spark, roots)
+    rows = found.conversations if known is None or since_ms is not None else found.conversations.join(known.select("source_path"), "source_path", "left_anti")
+    return Scan(rows, found.errors.unionByName(errors).dropDuplicates(["source_path"]), False, found.conversations.select("source_path"), own)
+
+
+def conversations_of(spark: SparkSession, connector: Connector, files: DataFrame, roots: list[str], broken: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(conversations, errors) of the given files (path, mtime, length) of a connector that folds."""
+    folded = []
+    lines = reading(spark, files, roots, connector.globs, lambda paths, glob: read(spark, paths, glob), broken)
+    if lines is not None:
+        more = {"headers": lambda asked: headers_of(spark, asked, roots)} if connector.headers else {}
+        folded.append(connector.fold(lines, **more))
+    if connector.whole is not None:
+        own = lambda paths, glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(paths).select(plain_path("_metadata.file_path").alias("path"), "value")
+        values = reading(spark, files.where(F.col("length") <= WHOLE), roots, connector.objects, own, broken)
+        if values is not None:
+            folded.append(connector.whole(values))
+    rows = [written(records(f, files, connector.agent, connector.revision), "scan") for f in folded]
+    out, bad = spark.createDataFrame([], schema.CONVERSATION_RECORD), spark.createDataFrame([], "source_path string, error string")
+    for own, f in zip(rows, folded):
+        out, bad = out.unionByName(own), bad.unionByName(f.errors)
+    if connector.objects:
+        large = files.where((F.col("length") > WHOLE) & F.col("path").endswith(".json"))
+        bad = bad.unionByName(large.select(F.col("path").alias("source_path"), F.lit("too large to be read whole").alias("error")))
+    return out, bad
+
+
+def headers_of(spark: SparkSession, asked: DataFrame, roots: list[str]) -> DataFrame:
+    """path, id: the session that each of the given files says it is."""
+    there = existence(asked.select(F.col("path").alias("source_path"))).where("exists").select(F.col("source_path").alias("path"))
+    rows = reading(spark, written(there, "parents"), roots, ("*",), lambda paths, glob: read(spark, paths, glob))
+    if rows is None:
+        return spark.createDataFrame([], "path string, id string")
+    return session_headers(rows, ("session",))
+
+
+def session_headers(lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """path, id of the first line of each file that opens a session."""
+    from .lines import text_of
+
+    own = lines.where(F.col("line").contains("session")).withColumn("v", F.try_parse_json("line")).where(text_of("v", "type").isin(*kinds))
+    return own.withColumn("id", text_of("v", "id")).where("id is not null").groupBy("path").agg(F.min_by("id", F.struct("block", "row")).alias("id"))
 
 
+# ---------------------------------------------------------------- helpers on JSON
 def at(value: Any, path: str) -> Any:
     """The value at a path of keys joined by ``/``, or None."""
     for key in path.strip("/").split("/"):
@@ -177,49 +278,6 @@ def at(value: Any, path: str) -> Any:
     return value
 
 
-def text_at(value: Any, *paths: str) -> str | None:
-    return next((v for p in paths if isinstance(v := at(value, p), str)), None)
-
-
-def count_at(value: Any, *paths: str) -> int:
-    """The first non-negative integer of the paths, else 0."""
-    return next((v for p in paths if isinstance(v := at(value, p), int) and not isinstance(v, bool) and 0 <= v <= U64_MAX), 0)
-
-
-def number_at(value: Any, *paths: str) -> float | None:
-    found = next((v for p in paths if isinstance(v := at(value, p), (int, float)) and not isinstance(v, bool)), None)
-    return float(found) if found is not None and abs(found) < float("inf") and found == found else None
-
-
-def saturated(*counts: int) -> int:
-    return min(U64_MAX, sum(counts))
-
-
-def token_total(reported: int, *parts: int) -> int:
-    return reported if reported > 0 else saturated(*parts)
-
-
-def millis(value: Any) -> int | None:
-    """Epoch milliseconds of seconds, milliseconds or an RFC 3339 text."""
-    if isinstance(value, bool):
-        return None
-    if isinstance(value, int):
-        return value if value > 1_000_000_000_000 else value * 1000
-    if isinstance(value, float):
-        return int(value * 1000)
-    return rfc3339(value) if isinstance(value, str) else None
-
-
-def rfc3339(value: str) -> int | None:
-    from datetime import datetime
-
-    try:
-        found = datetime.fromisoformat(value.replace("Z", "+00:00").replace("z", "+00:00"))
-    except ValueError:
-        return None
-    return None if found.tzinfo is None else int(found.timestamp() * 1_000_000) // 1000
-
-
 def flatten(content: Any) -> str:
     """The text of a message's content: a text, blocks of it, or an object that holds it."""
     if isinstance(content, str):
@@ -232,21 +290,15 @@ def flatten(content: Any) -> str:
     return ""
 
 
-def title_of(messages: list[dict], n: int = 100) -> str | None:
-    first = next((m["content"] for m in messages if m["role"] == "user"), None)
-    return None if first is None else shortened(first.split("\n", 1)[0].rstrip("\r"), n)
-
-
-def shortened(text: str, n: int) -> str:
-    raw = text.encode()
-    return text if len(raw) <= n else raw[: n - 3].decode("utf-8", "ignore") + "..."
+#: In the key of a session that is no file of its own.
+VIRTUAL = "/.logloom-sessions/"
 
 
 def virtual_path(root: str, agent: str, ident: str) -> str:
     """The key of a session that is no file of its own."""
-    return f"{root.rstrip('/')}/.sess-db-sources/{agent}/{base64.urlsafe_b64encode(ident.encode()).decode().rstrip('=')}"
+    return f"{root.rstrip('/')}{VIRTUAL}{agent}/{base64.urlsafe_b64encode(ident.encode()).decode().rstrip('=')}"
 
 
 def virtual_id(path: str, agent: str) -> str | None:
-    _, mark, rest = path.rpartition(f"/.sess-db-sources/{agent}/")
+    _, mark, rest = path.rpartition(f"{VIRTUAL}{agent}/")
     return base64.urlsafe_b64decode(rest + "=" * (-len(rest) % 4)).decode() if mark and rest else None

@@ -1,8 +1,11 @@
 """Sources that are databases: SQLite files read where they lie, and rules that their schemas share.
 
 A database file is one task's work: its bytes come from Spark's binary file source and are opened in memory, so any
-store that Spark reads will do and nothing of the file is ever written.  What is in a ``-wal`` file beside it is not seen.
-After that all is DataFrames: sessions, messages and usage rows are joined and aggregated by Spark."""
+store that Spark reads will do and nothing of the file is ever written.  The committed pages of a ``-wal`` file beside it are laid
+over it first.  Both are read one after the other, so a checkpoint in between can leave a database that does not open; that is
+an error, and the next scan reads it again.
+After that all is DataFrames: sessions, messages and usage rows of all databases are joined and aggregated by Spark in one
+plan; ids carry their database's path until rows of different databases may meet."""
 
 from __future__ import annotations
 
@@ -20,6 +23,8 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions import canon
 from ..plans.steps import lookup, written
+from .base import WHOLE, plain_path, reading, walk
+from .wal import overlaid
 
 COUNTERS = ("input", "output", "cache_read", "cache_write", "reasoning")
 
@@ -29,7 +34,7 @@ def rows_of(data: bytes, tables: list[str]) -> Iterator[tuple[str, str]]:
     """(table, row as JSON) of the tables that a database has; bytes become text where they are UTF-8, else null."""
     db = sqlite3.connect(":memory:")
     try:
-        db.deserialize(bytes(data[:18]) + b"\x01\x01" + bytes(data[20:]))  # a file in WAL mode opens as one without
+        db.deserialize(data[:18] + b"\x01\x01" + data[20:])  # a file in WAL mode opens as one without
         have = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
         for table in tables:
             if table not in have:
@@ -44,10 +49,18 @@ def rows_of(data: bytes, tables: list[str]) -> Iterator[tuple[str, str]]:
 
 
 def read_sqlite(spark: SparkSession, roots: list[str], tables: list[str], glob: str = "*.db") -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): path, mtime, size, tab, row of every database below the roots; and path, error of those that
-    cannot be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
-    files = files.select("path", (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), "length", "content")
+    """(rows, errors): path, mtime, size, tab, row of every database below the roots; and source_path, error of those that
+    cannot be read and of folders that cannot be listed."""
+    files, broken = walk(spark, roots, (glob, f"{glob}-wal"))
+    large = files.where(F.col("length") > WHOLE).select(F.col("path").alias("source_path"), F.lit("too large to be read whole").alias("error"))
+    load = lambda paths, g: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", g).option("ignoreMissingFiles", "true").load(paths).select(plain_path().alias("path"), "content")
+    fine = files.where((F.col("length") <= WHOLE) & (F.col("length") > 0))
+    contents = reading(spark, fine, roots, (glob,), load, not broken.isEmpty())
+    if contents is None:
+        return spark.createDataFrame([], "path string, mtime long, size long, tab string, row string"), broken.unionByName(large)
+    logs = reading(spark, fine.where(F.col("path").endswith("-wal")), roots, (f"{glob}-wal",), load, not broken.isEmpty())
+    logs = spark.createDataFrame([], "path string, wal binary") if logs is None else logs.select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("wal"))
+    both = contents.join(logs, "path", "left").join(files.select("path", "mtime", "length"), "path").select("path", "mtime", "length", "content", "wal")
     kinds = {"path": pa.string(), "mtime": pa.int64(), "size": pa.int64(), "tab": pa.string(), "row": pa.string(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,10 +68,12 @@ def read_sqlite(spark: SparkSession, roots: list[str], tables: list[str], glob:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds))
 
         for batch in batches:
-            for path, mtime, size, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for k in range(batch.num_rows):  # one database at a time
+                path, mtime, size = (batch.column(i)[k].as_py() for i in range(3))
                 held = []
                 try:
-                    for table, row in rows_of(content, tables):
+                    data = overlaid(batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
+                    for table, row in rows_of(data, tables):
                         held.append((path, mtime, size, table, row, None))
                         if len(held) >= 5000:
                             yield out(held)
@@ -68,9 +83,25 @@ def read_sqlite(spark: SparkSession, roots: list[str], tables: list[str], glob:
                 if held:
                     yield out(held)
 
-    found = written(files.mapInArrow(run, "path string, mtime long, size long, tab string, row string, error string"), "sqlite")
-    broken = found.where("error is not null").select(F.col("path").alias("source_path"), "error")
-    return found.where("error is null").drop("error"), broken
+    found = written(both.mapInArrow(run, "path string, mtime long, size long, tab string, row string, error string"), "sqlite")
+    bad = found.where("error is not null").select(F.col("path").alias("source_path"), "error")
+    # of a database that broke off, no row counts
+    rows = found.where("error is null").drop("error").join(bad.select(F.col("source_path").alias("path")), "path", "left_anti")
+    return rows, broken.unionByName(large).unionByName(bad)
+
+
+#: Between a database's path and an id.
+MARK = "\x1f"
+
+
+def composite(rows: DataFrame, *columns: str) -> DataFrame:
+    """Ids with their database's path before them, so that rows of several databases go through one plan."""
+    return rows.withColumns({c: F.when(F.trim(c) != "", F.concat("path", F.lit(MARK), F.col(c))).otherwise(F.col(c)) for c in columns})
+
+
+def plain_id(c: str | Column) -> Column:
+    """An id without its database's path."""
+    return F.regexp_replace(c, f"^[^{MARK}]*{MARK}", "")
 
 
 def table_of(rows: DataFrame, name: str, columns: str) -> DataFrame:

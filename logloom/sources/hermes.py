@@ -1,7 +1,7 @@
 """Sessions, messages and per-model usage of the source that keeps one database a home.
 
 All rules are DataFrame expressions over the three tables; only JSON of message contents is read by a Pandas UDF.  Ids
-are those of one home; of homes that share an id the rows are told apart by their path."""
+are those of one home; of several homes they carry the database's path until all joins are done."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..plans.steps import lookup, written
 from .base import Scan, flatten
-from .database import ancestors, assembled, blank_null, by_json, counter, epoch_millis, has_usage, json_text, read_sqlite, session_rest, table_of, total, usage_frame
+from .database import MARK, ancestors, assembled, blank_null, by_json, composite, counter, epoch_millis, has_usage, json_text, plain_id, read_sqlite, session_rest, table_of, total, usage_frame
 
 AGENT = "hermes"
 _COUNTED = "api_call_count long, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, reasoning_tokens long"
@@ -108,7 +108,7 @@ def model_usage(rows: DataFrame) -> DataFrame:
     """A row for each model of a session over the time from its first to its last use; its event id is a digest of
     what tells it apart, each part with its length in bytes."""
     rows = with_columns(rows, MODEL_USAGE)
-    parts = [F.coalesce(blank_null(F.col(c)) if c != "session_id" else F.col(c), F.lit("")) for c in ("session_id", "model", "billing_provider", "billing_base_url", "billing_mode", "task")]
+    parts = [F.coalesce(blank_null(F.col(c)) if c != "session_id" else plain_id(c), F.lit("")) for c in ("session_id", "model", "billing_provider", "billing_base_url", "billing_mode", "task")]
     ident = F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
     out = rows.select(F.col("session_id").alias("conversation_id"), *[v.alias(k) for k, v in _common("hermes_session_model_usage_v1").items()], blank_null(F.col("task")).alias("task"), F.lit("interval_aggregate").alias("usage_grain"), epoch_millis("first_seen").alias("interval_start"), epoch_millis("last_seen").alias("interval_end"), F.concat(F.lit("hermes-model-aggregate:"), ident).alias("source_event_id"))
     return usage_frame(out).where(has_usage())
@@ -117,7 +117,7 @@ def model_usage(rows: DataFrame) -> DataFrame:
 def session_usage(rows: DataFrame, projected: DataFrame, times: DataFrame) -> DataFrame:
     """What each session's own counters hold beyond its ``projected`` rows; ``times`` has its bounds by external_id."""
     rows = with_columns(rows, SESSIONS)
-    whole = rows.select(F.col("id").alias("conversation_id"), *[v.alias(k) for k, v in _common("hermes_session_residual_v1").items()], blank_null(F.col("pricing_version")).alias("pricing_version"), F.lit("session_aggregate").alias("usage_grain"), F.concat(F.lit("hermes-session-aggregate:"), F.col("id")).alias("source_event_id"))
+    whole = rows.select(F.col("id").alias("conversation_id"), *[v.alias(k) for k, v in _common("hermes_session_residual_v1").items()], blank_null(F.col("pricing_version")).alias("pricing_version"), F.lit("session_aggregate").alias("usage_grain"), F.concat(F.lit("hermes-session-aggregate:"), plain_id("id")).alias("source_event_id"))
     whole = whole.join(times.select(F.col("external_id").alias("conversation_id"), F.col("started_at").alias("interval_start"), F.col("ended_at").alias("interval_end")), "conversation_id")
     whole = usage_frame(whole).where(has_usage())
     left = session_rest(whole, projected)
@@ -134,27 +134,34 @@ def usage(session_rows: DataFrame, model_rows: DataFrame, times: DataFrame) -> D
 
 
 # ---------------------------------------------------------------- conversations
-def conversations(session_rows: DataFrame, message_rows: DataFrame, model_rows: DataFrame, root: str = "") -> DataFrame:
-    """Conversation records of one home's tables."""
+def conversations(session_rows: DataFrame, message_rows: DataFrame, model_rows: DataFrame) -> DataFrame:
+    """Conversation records of all homes' tables, whose ids are composite."""
     own = sessions(session_rows)
     said = messages(message_rows, own)
     bounds = said.groupBy(F.col("conversation_id").alias("external_id")).agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     own = own.join(bounds, "external_id", "left").withColumns({"started_at": F.coalesce("started_at", "lo"), "ended_at": F.coalesce("ended_at", "hi")}).drop("lo", "hi", "model")
     used = usage(session_rows, model_rows, own)
-    key = F.rtrim(F.translate(F.base64(F.col("external_id").cast("binary")), "+/", "-_"), F.lit("="))
-    path = F.concat(F.lit(f"{root.rstrip('/')}/.sess-db-sources/{AGENT}/"), key)
-    return assembled(own.withColumn("source_path", path), said, used, AGENT)
+    out = assembled(own.withColumn("source_path", _virtual(F.col("external_id"))), said, used, AGENT)
+    return out.withColumns({c: plain_id(c) for c in ("external_id", "logical_session_id", "parent_external_id")})
+
+
+def _virtual(ident):
+    """The store's key of a session, from its composite id."""
+    key = F.rtrim(F.translate(F.base64(plain_id(ident).cast("binary")), "+/", "-_"), F.lit("="))
+    home = F.regexp_replace(F.regexp_extract(ident, f"^([^{MARK}]*)/[^/{MARK}]*{MARK}", 1), "/+$", "")
+    return F.concat(home, F.lit(f"/.logloom-sessions/{AGENT}/"), key)
+
+
+def inventory(spark: SparkSession, homes: list[str]) -> DataFrame:
+    """source_path, external_id of every session that any home's database holds, without reading messages."""
+    rows, _ = read_sqlite(spark, homes, ["sessions"], "state.db")
+    own = composite(table_of(rows, "sessions", "id string"), "id").where("id is not null")
+    return own.select(_virtual(F.col("id")).alias("source_path"), plain_id("id").alias("external_id")).distinct()
 
 
 def scan(spark: SparkSession, homes: list[str]) -> Scan:
-    """Conversations of every home's database; homes keep one ``state.db`` each, profiles have their own."""
+    """Conversations of every home's database, all in one plan; homes keep one ``state.db`` each, profiles have their own."""
     rows, broken = read_sqlite(spark, homes, ["sessions", "messages", "session_model_usage"], "state.db")
-    paths = [r[0] for r in rows.select("path").distinct().collect()]  # one for each home
-    out = None
-    for path in sorted(paths):
-        own = rows.where(F.col("path") == path)
-        part = conversations(table_of(own, "sessions", SESSIONS), table_of(own, "messages", MESSAGES), table_of(own, "session_model_usage", MODEL_USAGE), path.removeprefix("file:").rsplit("/", 1)[0])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema.CONVERSATION_RECORD)
-    return Scan(written(out, "hermes"), broken)
+    own = composite(table_of(rows, "sessions", SESSIONS).withColumn("parent_session_id", F.trim("parent_session_id")), "id", "parent_session_id")
+    said, used = (composite(table_of(rows, t, spec), "session_id") for t, spec in (("messages", MESSAGES), ("session_model_usage", MODEL_USAGE)))
+    return Scan(written(conversations(own, said, used), "hermes"), broken)

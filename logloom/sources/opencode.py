@@ -16,8 +16,8 @@ from .. import schema
 from ..functions import text
 from ..operators.store import normalized_messages
 from ..plans.steps import lookup, written
-from .base import Scan, at, flatten
-from .database import ancestors, assembled, blank_null, by_json, counter, has_usage, json_text, merged_usage, preferred, read_sqlite, session_rest, table_of, total, usage_frame
+from .base import WHOLE, Scan, at, flatten, plain_path, reading, walk
+from .database import ancestors, assembled, blank_null, by_json, composite, counter, has_usage, json_text, merged_usage, plain_id, preferred, read_sqlite, session_rest, table_of, total, usage_frame
 
 AGENT = "opencode"
 SESSION = "id string, directory string, title string, time_created long, time_updated long, model string, parent_id string, fork_session_id string, agent string, cost double, tokens_input long, tokens_output long, tokens_reasoning long, tokens_cache_read long, tokens_cache_write long"
@@ -152,7 +152,7 @@ def message_usage(rows: DataFrame, failures: bool = False) -> DataFrame:
     common = {
         "conversation_id": F.col("session_id"), "timestamp": F.col("timestamp"), "provider": F.coalesce(got(data, "model.providerID", "providerID"), "s_provider"), "model": F.coalesce(model_of(data), "s_model"),
         "model_variant": F.coalesce(got(data, "model.variant", "variant"), "s_variant"), "task": F.coalesce(got(data, "agent"), "s_agent"), "token_semantics": F.lit(EVENT_TOKENS), "request_attempts": F.lit(1).cast("long"),
-        "source_event_id": F.concat(F.lit("opencode-message:"), F.col("session_id"), F.lit(":"), F.col("id")),
+        "source_event_id": F.concat(F.lit("opencode-message:"), plain_id("session_id"), F.lit(":"), plain_id("id")),
     }
     cols = lambda more: [v.alias(k) for k, v in (common | more).items()]
     out = usage_frame(rows.where("__t is not null").select(*cols({"api_calls": F.lit(1).cast("long")} | _usage_columns(data, F.col("__t")))))
@@ -230,7 +230,7 @@ def session_usage(sessions: DataFrame, projected: DataFrame) -> DataFrame:
     rows = sessions.select(
         F.col("id").alias("conversation_id"), provider.alias("provider"), model.alias("model"), variant.alias("model_variant"), F.col("agent").alias("task"), used.alias("input_tokens"), total(seen, thought).alias("output_tokens"), read.alias("cache_read_tokens"),
         wrote.alias("cache_write_tokens"), thought.alias("reasoning_tokens"), sums.alias("total_tokens"), sums.alias("reported_total_tokens"), cost.alias("__cost"), F.col("time_created").alias("interval_start"), F.col("time_updated").alias("interval_end"),
-        F.lit("session_aggregate").alias("usage_grain"), F.lit(SESSION_TOKENS).alias("token_semantics"), F.concat(F.lit("opencode-session-aggregate:"), F.col("id")).alias("source_event_id"), F.lit(0).cast("long").alias("api_calls"),
+        F.lit("session_aggregate").alias("usage_grain"), F.lit(SESSION_TOKENS).alias("token_semantics"), F.concat(F.lit("opencode-session-aggregate:"), plain_id("id")).alias("source_event_id"), F.lit(0).cast("long").alias("api_calls"),
         F.lit(None).cast("double").alias("actual_cost_usd"), F.lit(None).cast("double").alias("estimated_cost_usd"),
     ).where("total_tokens > 0 or __cost is not null")
     left = session_rest(rows, projected)
@@ -325,17 +325,23 @@ def conversations(stores: list[tuple[DataFrame, DataFrame, DataFrame]], root: st
     messages = normalized_messages(messages)
     first = messages.where("role = 'user'").groupBy(F.col("conversation_id").alias("external_id")).agg(F.min_by("content", "idx").alias("__first"))
     own = own.join(first, "external_id", "left").withColumn("title", F.coalesce(blank_null(F.col("title")), text.truncated(text.first_line("__first"), 100))).drop("__first")
-    key = F.rtrim(F.translate(F.base64(F.col("external_id").cast("binary")), "+/", "-_"), F.lit("="))
-    path = F.concat(F.lit(f"{root.rstrip('/')}/.sess-db-sources/{AGENT}/"), key)
-    return assembled(own.withColumn("source_path", path), messages, merged_usage(usage), AGENT)
+    return assembled(own.withColumn("source_path", _virtual(F.col("external_id"), root)), messages, merged_usage(usage), AGENT)
 
 
 def inventory(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """external_id of every session that any store below the roots holds, without reading messages."""
+    """source_path, external_id of every session that any store below the roots holds, without reading messages."""
     rows, _ = read_sqlite(spark, roots, ["session", "sessions"])
     ids = rows.select(F.get_json_object("row", "$.id").alias("external_id"))
-    files = _tree_files(spark, roots).where(F.col("path").rlike(r"/session/.*\.json$"))
-    return ids.unionByName(files.select(F.get_json_object("body", "$.id").alias("external_id"))).where("external_id is not null").distinct()
+    files, _ = _tree_files(spark, roots)
+    files = files.where(F.col("path").rlike(r"/session/.*\.json$"))
+    ids = ids.unionByName(files.select(F.get_json_object("body", "$.id").alias("external_id"))).where("external_id is not null").distinct()
+    return ids.select(_virtual(F.col("external_id")).alias("source_path"), "external_id")
+
+
+def _virtual(ident: Column, root: str = "") -> Column:
+    """The store's key of a session."""
+    key = F.rtrim(F.translate(F.base64(ident.cast("binary")), "+/", "-_"), F.lit("="))
+    return F.concat(F.lit(f"{root.rstrip('/')}/.logloom-sessions/{AGENT}/"), key)
 
 
 def disjoint(a: DataFrame, b: DataFrame, column: str = "external_id") -> bool:
@@ -345,27 +351,30 @@ def disjoint(a: DataFrame, b: DataFrame, column: str = "external_id") -> bool:
 
 def unindexed(spark: SparkSession, roots: list[str], known: DataFrame) -> DataFrame:
     """Sessions of the inventory that no row of ``known`` (external_id) stands for."""
-    return inventory(spark, roots).join(known.select("external_id"), "external_id", "left_anti")
+    return inventory(spark, roots).join(known.select("external_id"), "external_id", "left_anti").select("external_id")
 
 
-def _tree_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(roots)
-    return files.select("path", F.decode("content", "UTF-8").alias("body"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), F.col("length").alias("size"))
+def _tree_files(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(path, body, mtime, size of the JSON files below the roots; errors)."""
+    files, broken = walk(spark, roots, ("*.json",))
+    load = lambda paths, g: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", g).option("ignoreMissingFiles", "true").load(paths).select(plain_path().alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("body"))
+    bodies = reading(spark, files.where(F.col("length") <= WHOLE), roots, ("*.json",), load, not broken.isEmpty())
+    if bodies is None:
+        return spark.createDataFrame([], "path string, body string, mtime long, size long"), broken
+    return bodies.join(files.withColumnRenamed("length", "size"), "path"), broken
 
 
 def scan(spark: SparkSession, roots: list[str], recover: bool = False) -> Scan:
-    """Conversations of all databases and JSON trees below the roots, merged by session."""
+    """Conversations of all databases, in one plan, and of the JSON trees below the roots, merged by session."""
     rows, broken = read_sqlite(spark, roots, ["session", "sessions", "message", "part", "session_message"])
-    stores = []
-    for path in sorted(r[0] for r in rows.select("path").distinct().collect()):  # one for each database
-        own = rows.where(F.col("path") == path)
-        have = {r[0] for r in own.select("tab").distinct().collect()}
-        name = "session" if "session" in have else "sessions"
-        if name not in have:
-            continue
-        get = lambda t, spec: table_of(own, t, spec).drop("path") if t in have else None  # noqa: B023, E731
-        stores.append(database(get(name, SESSION), get("message", MESSAGE), get("part", PART) if "part" in have else own.sparkSession.createDataFrame([], PART) if "message" in have else None, get("session_message", SESSION_MESSAGE)))
-    facts, said, used, bad = tree(_tree_files(spark, roots), recover)
-    stores.append((facts, said, used))
-    errors = broken.unionByName(bad.select(F.col("path").alias("source_path"), F.lit("no session").alias("error")))
-    return Scan(written(conversations(stores), "opencode"), errors)
+    named = rows.where("tab = 'session'").select("path").distinct()
+    older = rows.join(named, "path", "left_anti").where("tab = 'sessions'").withColumn("tab", F.lit("session"))  # a database has one of the two
+    own = table_of(rows.where("tab = 'session'").unionByName(older.select(*rows.columns)), "session", SESSION)
+    of = lambda t, spec, *ids: composite(table_of(rows, t, spec), *ids)
+    facts, said, used = database(composite(own, "id", "parent_id", "fork_session_id"), of("message", MESSAGE, "id", "session_id"), of("part", PART, "message_id"), of("session_message", SESSION_MESSAGE, "id", "session_id"))
+    facts = facts.withColumns({c: plain_id(c) for c in ("external_id", "logical_session_id", "parent_external_id")}).drop("path")
+    said, used = (x.withColumn("conversation_id", plain_id("conversation_id")) for x in (said, used))
+    files, unlisted = _tree_files(spark, roots)
+    more, told, counted, bad = tree(files, recover)
+    errors = broken.unionByName(unlisted).unionByName(bad.select(F.col("path").alias("source_path"), F.lit("no session").alias("error"))).dropDuplicates(["source_path"])
+    return Scan(written(conversations([(facts, said, used), (more, told, counted)]), "opencode"), errors)

@@ -3,24 +3,25 @@ family of session trees (which folders and names count, whose sessions are copie
 
 from __future__ import annotations
 
-import base64
-import json
 import os
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Mapping
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import outermost
+from .base import reading, session_headers, walk
+from .lines import read, some
 
 # Folders below the home, and the variables that replace or add to them.
 TREE_HOMES = (".pi/agent", ".shuvpi/agent", ".shuvhelm/pi-agent", ".shuvhelm/mate")
 FAMILY = {"factory": ".factory", "oh_my_pi": ".omp/agent", "prime_agent": ".prime/agent", "shuvlr": ".shuvlr"}
 #: Sources whose sessions may be copies of those of another one.
 COPIES = {"oh_my_pi": "pi_agent"}
+#: Lines of a file among which its header stands.
+HEADER_LINES = 4
 #: Sources of which any file counts, whatever its name.
 ANY_NAME = ("shuvlr",)
 
@@ -49,7 +50,7 @@ def default_roots(agent: str, home: str | Path | None = None, env: Mapping[str,
         at = home / ".local" / "share" / "opencode"
         return unique([env.get("OPENCODE_STORAGE_ROOT") or at / "storage", at])
     if agent == "pi_agent":
-        more = [p for p in (env.get("SESS_PI_AGENT_DIRS") or "").split(os.pathsep) if p]
+        more = [p for p in (env.get("LOGLOOM_TREE_DIRS") or "").split(os.pathsep) if p]
         own = [env["PI_CODING_AGENT_DIR"]] if env.get("PI_CODING_AGENT_DIR") else []
         shiv, claw = env.get("SHIV_AGENT_DIR") or home / ".local" / "share" / "shiv", env.get("OPENCLAW_HOME") or home / ".openclaw"
         return unique([*own, *more, *(home / h for h in TREE_HOMES), shiv, claw])
@@ -81,20 +82,6 @@ def detected(agent: str, roots: list[str]) -> bool:
     return any(Path(r).is_dir() for r in roots)
 
 
-def source_exists(path: str, present: DataFrame | None = None) -> bool | None:
-    """Whether a source is still there; None where that cannot be told.  A session of a database is there if ``present``
-    (source_path) names it, and unknown without."""
-    if "/.sess-db-sources/" in path:
-        return None if present is None else not present.where(F.col("source_path") == path).isEmpty()
-    try:
-        os.stat(path)
-    except (FileNotFoundError, NotADirectoryError):
-        return False
-    except OSError:
-        return None
-    return True
-
-
 # ---------------------------------------------------------------- session trees
 def _is_uuid(text: str) -> bool:
     try:
@@ -113,70 +100,14 @@ def session_name(name: str) -> bool:
 SESSION_PATH = r"/([^/]*_[^/]*|session-[^/]*|[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}\.jsonl)$"
 
 
-def id_of_path(path: str) -> str | None:
-    stem = os.path.basename(path).rsplit(".", 1)[0]
-    own = stem.rsplit("_", 1)[-1]
-    return own if _is_uuid(own) else None
-
-
-def _header(lines: Iterator[str], kinds: tuple[str, ...]) -> str | None:
-    for line in lines:
-        try:
-            value = json.loads(line)
-        except ValueError:
-            continue
-        if isinstance(value, dict) and value.get("type") in kinds and isinstance(value.get("id"), str):
-            return value["id"]
-    return None
-
-
-def header_id(data: bytes, first: int = 4) -> str | None:
-    """The session id that one of a file's first lines names."""
-    lines = [x for x in data.decode("utf-8", "replace").split("\n") if x.strip()]
-    return _header(iter(lines[:first]), ("session", "session_start"))
-
-
-def parent_id(raw: str, path: str, read: Callable[[str], bytes | None] | None = None) -> str | None:
-    """The session that a parent's path names: by its file name, else by the header of the file."""
-    at = raw if raw.startswith("/") else os.path.join(os.path.dirname(path), raw)
-    own = id_of_path(at)
-    if own is not None:
-        return own
-    data = read(at) if read is not None else None
-    return None if data is None else _header(iter(x for x in data.decode("utf-8", "replace").split("\n") if x.strip()), ("session",))
-
-
-def read_local(path: str) -> bytes | None:
-    try:
-        return Path(path).read_bytes()
-    except OSError:
-        return None
-
-
-def workspace_of_folder(path: str) -> str | None:
-    """The workspace that a session's folder is named after, as unpadded URL-safe base64."""
-    name = os.path.basename(os.path.dirname(path))
-    if not name or "=" in name or len(name) % 4 == 1 or not all(c.isalnum() and c.isascii() or c in "-_" for c in name):
-        return None
-    try:
-        return base64.urlsafe_b64decode(name + "=" * (-len(name) % 4)).decode("utf-8")
-    except ValueError:
-        return None
-
-
-def session_ids(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Distinct ids in the headers of the session files below the roots (those of ``session_folders``)."""
-    folders = [f for r in roots for f in session_folders(r)[0]]
-    if not folders:
+def session_ids(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Distinct ids in the headers, one of the first four lines, of the session files below the folders."""
+    files, _ = walk(spark, folders, ("*.jsonl",), SESSION_PATH)
+    lines = reading(spark, files, folders, ("*.jsonl",), lambda paths, glob: read(spark, paths, glob))
+    if lines is None:
         return spark.createDataFrame([], "external_id string")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(outermost(folders)).where(F.col("path").rlike(SESSION_PATH))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [header_id(c.as_py()) for c in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in found if x is not None], pa.string())], names=["external_id"])
-
-    return rows.select("content").mapInArrow(run, "external_id string").distinct()
+    head = lines.where((F.col("block") == 0) & some(F.col("line"))).withColumn("n", F.row_number().over(W.partitionBy("path").orderBy("row"))).where(f"n <= {HEADER_LINES}")
+    return session_headers(head.drop("n"), ("session", "session_start")).select(F.col("id").alias("external_id")).distinct()
 
 
 def without_copies(conversations: DataFrame, originals: DataFrame) -> DataFrame:

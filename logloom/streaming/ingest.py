@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import Store
-from ..sources.base import Connector, listed, scan
+from ..plans.steps import written
+from ..sources.base import VIRTUAL, Connector, Scan, existence, scan
+from ..sources.roots import COPIES, session_ids, without_copies
 
 INCOMPLETE = "__incomplete__"
 #: An index younger than this needs no refresh.
@@ -30,31 +32,32 @@ def is_fresh(store: Store, now_ms: int, max_age_ms: int = MAX_AGE_MS) -> bool:
 def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[str]], full: bool = False, now_ms: int | None = None, dry_run: bool = False) -> dict:
     """Scan detected agents, upsert, clean up, rebuild; the cursor moves only if every scan was complete.
 
-    Incremental scans read files changed since the cursor, and files of any age whose path is unknown."""
+    Incremental scans read files changed since the cursor, and files or sessions of any age that the store lacks.  Sources that
+    may hold copies of another one's sessions come behind it, and sessions whose id a header of the other one's files or the
+    store's rows of it name are left out.  Only a complete scan deletes, and only what the file system says is gone."""
     now = now_ms if now_ms is not None else int(time.time() * 1000)
     spark, since = store.spark, None if full else store.meta("last_scan_ts")
     began = time.monotonic()
     out = {"inserted": 0, "updated": 0, "deleted": 0, "agents": [], "finished": [], "complete": True}
     report = {"insert": 0, "update": 0, "delete": 0, "uncertain": 0}
     plans = {}
-    for agent, connector in connectors.items():
+    for agent in sorted(connectors, key=lambda a: a in COPIES):  # originals first
+        connector = connectors[agent]
         if not roots.get(agent):
             continue
         out["agents"].append(agent)
         key = plan_key(connector, roots[agent])
         bounded = since if since is not None and store.meta(f"plan:{agent}") == key else None
-        found = scan(spark, connector, roots[agent], bounded)
+        held = store.table("conversations").where(F.col("agent") == agent).select("source_path")
+        found = scan(spark, connector, roots[agent], bounded, held if bounded is not None else None, store.meta(f"files:{agent}"))
         rows, complete = found.conversations, found.complete
-        if bounded is not None and connector.read is None:
-            late = scan(spark, connector, roots[agent], None, store.table("conversations").select("source_path"))
-            rows, complete = rows.unionByName(late.conversations).dropDuplicates(["source_path"]), complete and late.complete
+        if (other := COPIES.get(agent)) is not None:
+            rows = without_copies(rows, _originals(store, other, roots.get(other, [])))
         plans[f"plan:{agent}"] = key if complete else INCOMPLETE
+        if complete and found.mark is not None:
+            plans[f"files:{agent}"] = found.mark
         out["complete"] &= complete
-        gone = None
-        if complete and not found.unchanged:
-            # a source that reads its roots itself has no files of sessions; what it found is what there is
-            there = rows.select("source_path") if connector.read is not None else listed(spark, connector, roots[agent]).select(F.col("path").alias("source_path"))
-            gone = store.missing(there.distinct().withColumn("exists", F.lit(True)), [agent])
+        gone = absent(store, agent, found) if complete and not found.unchanged else None
         if dry_run:
             own = store.dry_run(rows, gone)
             report = {k: v + own[k] for k, v in report.items()}
@@ -74,6 +77,23 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
     return out
 
 
+def _originals(store: Store, agent: str, roots: list[str]) -> DataFrame:
+    """external_id of all sessions of an agent: of the headers of its files, and of its rows in the store."""
+    held = store.table("conversations").where(F.col("agent") == agent).select("external_id")
+    return held.unionByName(session_ids(store.spark, roots)) if roots else held
+
+
+def absent(store: Store, agent: str, found: Scan) -> DataFrame:
+    """Rows of an agent that a complete scan did not find: missing where the file system says so, or where a source that loads
+    its roots itself has no such session; uncertain where that cannot be told.  A file that is there but no longer below the
+    roots, or no longer of the source's names, stays."""
+    there = found.present.distinct().withColumn("exists", F.lit(True))
+    rest = store.table("conversations").where(F.col("agent") == agent).select("source_path").join(there.select("source_path"), "source_path", "left_anti")
+    virtual = F.col("source_path").contains(VIRTUAL)
+    asked = existence(rest.where(~virtual)).unionByName(rest.where(virtual).withColumn("exists", F.lit(False)))
+    return written(store.missing(there.unionByName(asked), [agent]), "absent")
+
+
 def stream(store: Store, connector: Connector, roots: list[str], checkpoint: str) -> int:
     """New files since the stream's checkpoint, once each, upserted batch by batch; returns the number of batches.
 
@@ -81,7 +101,7 @@ def stream(store: Store, connector: Connector, roots: list[str], checkpoint: str
     spark, batches = store.spark, []
     again = [r[0] for r in store.table("failed").select("source_path").collect()]
     if again:
-        found = scan(spark, connector, again)
+        found = scan(spark, connector, again)  # a name is a root of one file
         store.upsert(found.conversations, int(time.time() * 1000))
         store.replace({"failed": found.errors})
     schema = "path string, modificationTime timestamp, length long, content binary"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.store import Store
 from logloom.sources import database, hermes, opencode
-from logloom.sources.base import changed
+from logloom.sources.base import scan
 from logloom.streaming.ingest import index
 
 
@@ -58,7 +58,7 @@ def test_hermes(spark, tmp_path):
     assert (got["kid"].workspace, got["kid"].logical_session_id, got["kid"].record_kind, got["kid"].usage[0].estimated_cost_usd, got["kid"].usage[0].cost_currency) == ("/w", "top", "child_agent", 0.0, "USD")
     assert (got["grandkid"].workspace, got["grandkid"].logical_session_id, got["grandkid"].title) == ("/w", "top", "hi")
     assert (got["a"].logical_session_id, got["b"].logical_session_id, got["stray"].logical_session_id) == ("a", "b", "gone")
-    assert database.rows_of is not None and got["top"].source_path.endswith("/.sess-db-sources/hermes/dG9w")
+    assert database.rows_of is not None and got["top"].source_path.endswith("/.logloom-sessions/hermes/dG9w")
     store = Store(spark, str(tmp_path / "store"))
     assert store.upsert(found.conversations, 5) == {"inserted": 6, "updated": 0} and store.upsert(found.conversations, 6) == {"inserted": 0, "updated": 0}
     (tmp_path / "bad").mkdir()
@@ -157,7 +157,9 @@ def test_index_of_databases(spark, tmp_path):
     again = index(store, {"hermes": connectors()["hermes"]}, {"hermes": [str(tmp_path / "h")]}, now_ms=4_000_000_000_001)
     assert (again["inserted"], again["updated"], again["deleted"], again["complete"]) == (0, 0, 0, True)  # no file is as new as the last scan
     (tmp_path / "h" / "state.db-wal").touch()
-    assert changed(spark, connectors()["hermes"], [str(tmp_path / "h")], 1000) and not changed(spark, connectors()["hermes"], [str(tmp_path / "h")], 4_000_000_000_000)
+    own, at = connectors()["hermes"], [str(tmp_path / "h")]
+    first = scan(spark, own, at, 1000)
+    assert not first.unchanged and scan(spark, own, at, 4_000_000_000_000, None, first.mark).unchanged and not scan(spark, own, at, 4_000_000_000_000, None, "0:0").unchanged
     assert out["inserted"] == 1 and out["complete"] and store.table("messages").select(F.col("content")).first()[0] == "hello"
     (tmp_path / "h" / "state.db").unlink()
     make(tmp_path / "h" / "state.db", {"sessions": ("id TEXT, source TEXT, model TEXT, started_at REAL", [("y", "cli", "m", 1.0)]), "messages": ("id INT, session_id TEXT, role TEXT, content TEXT", [(1, "y", "user", "other")])})
