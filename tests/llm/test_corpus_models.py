@@ -206,7 +206,7 @@ def test_probabilities_add_up_to_one():
 def test_model_beats_words(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = ctw.score(rows, ctw.is_tenth()).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
-    assert got[0] > 0.98 * got[1] and got[2] > 0.5
+    assert got[0] > got[1] and got[2] > 0.6  # both are negative
 
 
 # -- resampling
