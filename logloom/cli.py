@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import sys
 import time
@@ -166,11 +167,18 @@ def found_roots(home: str | None = None) -> dict[str, list[str]]:
     return {a: own for a, own in every.items() if own}
 
 
+def run_index(store: Store, home: str | None = None, **options) -> dict:
+    """An index run over what is there; the variable LOGLOOM_RECOVER_ORPHANS turns the recovery of lost sessions on."""
+    recover = os.environ.get("LOGLOOM_RECOVER_ORPHANS", "").strip().lower() in ("1", "true", "yes", "on")
+    unknown = frozenset(a for a in AGENTS if roots.unlisted(a, roots.default_roots(a, home)))
+    return index(store, connectors(recover), found_roots(home), unlisted=unknown, **options)
+
+
 def refresh(store: Store, args, home: str | None = None) -> dict | None:
     """An index run where the index is older than ``--max-age``."""
     if args.no_auto_index or args.no_refresh or is_fresh(store, int(time.time() * 1000), args.max_age):
         return None
-    return index(store, connectors(), found_roots(home))
+    return run_index(store, home)
 
 
 def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None = None, encode=None, keys=sys.stdin) -> int:
@@ -190,7 +198,7 @@ def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None =
         if args.rebuild:
             say(f"Rebuilt the index of {store.rebuild_index()} conversations")
             return 0
-        found = index(store, connectors(), found_roots(home), full=args.full, dry_run=args.dry_run)
+        found = run_index(store, home, full=args.full, dry_run=args.dry_run)
         say(", ".join(f"{k} {v}" for k, v in found.items() if isinstance(v, int)))
         return 0
     if args.command == "view":
@@ -216,7 +224,7 @@ def run(argv: list[str], spark: SparkSession, out=sys.stdout, home: str | None =
     if args.command is None:  # browse
         from .browse import Browser, loop
 
-        work = Refresher(lambda: index(store, connectors(), found_roots(home)))
+        work = Refresher(lambda: run_index(store, home))
         state = Browser(lambda q: search_output(store, q, int(time.time() * 1000)), store.conversation, lambda: int(time.time() * 1000), None if project is None else project.roots)
         with work:
             loop(state, (line.rstrip("\n") for line in keys), out, None if args.no_refresh else work)

@@ -15,7 +15,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,10 +121,15 @@ def search_rows(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
+def known(column: str, values, what: str) -> Column:
+    """The column's value; one that is not among ``values`` is an error, no default."""
+    bad = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(column, F.lit("null"))))
+    return F.when(F.col(column).isin(*values), F.col(column)).otherwise(bad)
+
+
 def checked(rows: DataFrame) -> DataFrame:
-    """An unknown slug is an error, no default."""
-    bad = F.raise_error(F.concat(F.lit("unknown agent: "), F.coalesce("agent", F.lit("null"))))
-    return rows.withColumn("agent", F.when(F.col("agent").isin(*schema.AGENTS), F.col("agent")).otherwise(bad))
+    """Rows whose agents are slugs."""
+    return rows.withColumn("agent", known("agent", schema.AGENTS, "agent"))
 
 
 # ---------------------------------------------------------------- the store
@@ -292,8 +297,8 @@ class Store:
             return {"inserted": 0, "updated": 0}
         usage = canon.enrich(fresh.select(F.col("id").alias("conversation_id"), F.posexplode("usage").alias("idx", "u")).select("conversation_id", "idx", "u.*"))
         counters = [c for c in usage.columns if c.endswith("_tokens") and not c.startswith(("reported", "component"))] + ["api_calls", "request_attempts"]
-        usage = usage.withColumns({c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in counters}).withColumn("usage_grain", F.coalesce("usage_grain", F.lit("event")))
-        messages = fresh.select(F.col("id").alias("conversation_id"), F.explode("messages").alias("m")).select("conversation_id", "m.*").withColumn("content_hash", F.sha2("content", 256))
+        usage = usage.withColumns({c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in counters}).withColumn("usage_grain", F.coalesce("usage_grain", F.lit("event"))).withColumn("usage_grain", known("usage_grain", schema.GRAINS, "grain"))
+        messages = fresh.select(F.col("id").alias("conversation_id"), F.explode("messages").alias("m")).select("conversation_id", "m.*").withColumns({"content_hash": F.sha2("content", 256), "role": known("role", sorted(set(schema.ROLES.values())), "role")})
         faux = usage.where(canon.is_synthetic("provider", "model", F.lit(None).cast("string"))).select(F.col("conversation_id").alias("id"), F.lit(True).alias("__faux")).distinct()
         own = fresh.join(faux, "id", "left").withColumns({
             "indexed_at": F.lit(now_ms).cast("long"), "logical_session_id": F.coalesce("logical_session_id", F.nullif("external_id", F.lit(""))),

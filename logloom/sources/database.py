@@ -85,8 +85,9 @@ def read_sqlite(spark: SparkSession, roots: list[str], tables: list[str], glob:
 
     found = written(both.mapInArrow(run, "path string, mtime long, size long, tab string, row string, error string"), "sqlite")
     bad = found.where("error is not null").select(F.col("path").alias("source_path"), "error")
-    # of a database that broke off, no row counts
-    rows = found.where("error is null").drop("error").join(bad.select(F.col("source_path").alias("path")), "path", "left_anti")
+    rows = found.where("error is null").drop("error")
+    if not bad.isEmpty():  # of a database that broke off, no row counts
+        rows = written(rows.join(bad.select(F.col("source_path").alias("path")), "path", "left_anti"), "sqlite")
     return rows, broken.unionByName(large).unionByName(bad)
 
 

@@ -328,11 +328,14 @@ def conversations(stores: list[tuple[DataFrame, DataFrame, DataFrame]], root: st
     return assembled(own.withColumn("source_path", _virtual(F.col("external_id"), root)), messages, merged_usage(usage), AGENT)
 
 
-def inventory(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """source_path, external_id of every session that any store below the roots holds, without reading messages."""
+def inventory(spark: SparkSession, roots: list[str], recover: bool = False) -> DataFrame:
+    """source_path, external_id of every session that any store below the roots holds, without reading messages; with
+    ``recover``, of the folders of messages as well."""
     rows, _ = read_sqlite(spark, roots, ["session", "sessions"])
     ids = rows.select(F.get_json_object("row", "$.id").alias("external_id"))
     files, _ = _tree_files(spark, roots)
+    if recover:
+        ids = ids.unionByName(files.where(F.col("path").rlike(r"/message/[^/]+/[^/]+\.json$")).select(F.regexp_extract("path", r"/message/([^/]+)/[^/]+$", 1).alias("external_id")))
     files = files.where(F.col("path").rlike(r"/session/.*\.json$"))
     ids = ids.unionByName(files.select(F.get_json_object("body", "$.id").alias("external_id"))).where("external_id is not null").distinct()
     return ids.select(_virtual(F.col("external_id")).alias("source_path"), "external_id")
@@ -361,7 +364,7 @@ def _tree_files(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataF
     bodies = reading(spark, files.where(F.col("length") <= WHOLE), roots, ("*.json",), load, not broken.isEmpty())
     if bodies is None:
         return spark.createDataFrame([], "path string, body string, mtime long, size long"), broken
-    return bodies.join(files.withColumnRenamed("length", "size"), "path"), broken
+    return written(bodies.join(files.withColumnRenamed("length", "size"), "path"), "tree"), broken
 
 
 def scan(spark: SparkSession, roots: list[str], recover: bool = False) -> Scan:
@@ -372,8 +375,8 @@ def scan(spark: SparkSession, roots: list[str], recover: bool = False) -> Scan:
     own = table_of(rows.where("tab = 'session'").unionByName(older.select(*rows.columns)), "session", SESSION)
     of = lambda t, spec, *ids: composite(table_of(rows, t, spec), *ids)
     facts, said, used = database(composite(own, "id", "parent_id", "fork_session_id"), of("message", MESSAGE, "id", "session_id"), of("part", PART, "message_id"), of("session_message", SESSION_MESSAGE, "id", "session_id"))
-    facts = facts.withColumns({c: plain_id(c) for c in ("external_id", "logical_session_id", "parent_external_id")}).drop("path")
-    said, used = (x.withColumn("conversation_id", plain_id("conversation_id")) for x in (said, used))
+    facts = written(facts.withColumns({c: plain_id(c) for c in ("external_id", "logical_session_id", "parent_external_id")}), "facts")
+    said, used = (written(x.withColumn("conversation_id", plain_id("conversation_id")), "rows") for x in (said, used))
     files, unlisted = _tree_files(spark, roots)
     more, told, counted, bad = tree(files, recover)
     errors = broken.unionByName(unlisted).unionByName(bad.select(F.col("path").alias("source_path"), F.lit("no session").alias("error"))).dropDuplicates(["source_path"])

@@ -116,9 +116,13 @@ def without_copies(conversations: DataFrame, originals: DataFrame) -> DataFrame:
     return conversations.join(known, "external_id", "left_anti").select(*conversations.columns)
 
 
-
 def scan_roots(agent: str, roots: list[str]) -> list[str]:
     """The folders to read: of session trees those that hold sessions, else the roots that are there."""
     if agent in FAMILY or agent == "pi_agent":
         return unique(f for r in roots for f in session_folders(r)[0])
     return [r for r in roots if Path(r).is_dir()]
+
+
+def unlisted(agent: str, roots: list[str]) -> bool:
+    """Whether folders of session trees cannot be told, so that a scan of what is known is incomplete."""
+    return (agent in FAMILY or agent == "pi_agent") and not all(complete for _, complete in map(session_folders, roots))

@@ -29,12 +29,13 @@ def is_fresh(store: Store, now_ms: int, max_age_ms: int = MAX_AGE_MS) -> bool:
     return last is not None and max(0, now_ms - last) <= max_age_ms
 
 
-def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[str]], full: bool = False, now_ms: int | None = None, dry_run: bool = False) -> dict:
+def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[str]], full: bool = False, now_ms: int | None = None, dry_run: bool = False, unlisted: frozenset[str] = frozenset()) -> dict:
     """Scan detected agents, upsert, clean up, rebuild; the cursor moves only if every scan was complete.
 
     Incremental scans read files changed since the cursor, and files or sessions of any age that the store lacks.  Sources that
     may hold copies of another one's sessions come behind it, and sessions whose id a header of the other one's files or the
-    store's rows of it name are left out.  Only a complete scan deletes, and only what the file system says is gone."""
+    store's rows of it name are left out.  Only a complete scan deletes, and only what the file system says is gone; agents in
+    ``unlisted`` may have folders that ``roots`` lacks, so their scans are not complete."""
     now = now_ms if now_ms is not None else int(time.time() * 1000)
     spark, since = store.spark, None if full else store.meta("last_scan_ts")
     began = time.monotonic()
@@ -50,7 +51,7 @@ def index(store: Store, connectors: dict[str, Connector], roots: dict[str, list[
         bounded = since if since is not None and store.meta(f"plan:{agent}") == key else None
         held = store.table("conversations").where(F.col("agent") == agent).select("source_path")
         found = scan(spark, connector, roots[agent], bounded, held if bounded is not None else None, store.meta(f"files:{agent}"))
-        rows, complete = found.conversations, found.complete
+        rows, complete = found.conversations, found.complete and agent not in unlisted
         if (other := COPIES.get(agent)) is not None:
             rows = without_copies(rows, _originals(store, other, roots.get(other, [])))
         plans[f"plan:{agent}"] = key if complete else INCOMPLETE

@@ -337,3 +337,23 @@ def test_overlay_is_the_database(tmp_path, size):
         assert copy.execute("SELECT * FROM t").fetchall() == db.execute("SELECT * FROM t").fetchall()
         assert copy.execute("PRAGMA integrity_check").fetchone() == ("ok",)
     db.close()
+
+
+def test_unknown_enumerations_are_errors(spark, tmp_path):
+    """A role or grain that the model lacks is no default."""
+    put(tmp_path / "x.jsonl", {"type": "user", "message": {"role": "user", "content": "x"}})
+    rows = scan(spark, CONNECTORS["claude_code"], [str(tmp_path)]).conversations
+    for column, value in (("messages", F.transform("messages", lambda m: m.withField("role", F.lit("alien")))), ("agent", F.lit("nobody"))):
+        with pytest.raises(Exception, match="unknown (role: alien|agent: nobody)"):
+            Store(spark, str(tmp_path / f"store-{column}")).upsert(rows.withColumn(column, value), 1)
+
+
+def test_sessions_are_recovered_on_request(spark, tmp_path):
+    put(tmp_path / "message" / "lost" / "m.json", {"id": "m", "sessionID": "lost", "role": "user"})
+    put(tmp_path / "part" / "m" / "p.json", {"messageID": "m", "type": "text", "text": "hi"})
+    where = {"opencode": [str(tmp_path)]}
+    for recover, n in ((False, 0), (True, 1)):
+        own = {"opencode": connectors(recover)["opencode"]}
+        store = Store(spark, str(tmp_path / f"store-{recover}"))
+        assert index(store, own, where, full=True, now_ms=4_000_000_000_000)["inserted"] == n
+        assert index(store, own, where, now_ms=4_000_000_000_001)["deleted"] == 0 and len(paths(store)) == n
