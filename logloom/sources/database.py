@@ -96,8 +96,9 @@ MARK = "\x1f"
 
 
 def composite(rows: DataFrame, *columns: str) -> DataFrame:
-    """Ids with their database's path before them, so that rows of several databases go through one plan."""
-    return rows.withColumns({c: F.when(F.trim(c) != "", F.concat("path", F.lit(MARK), F.col(c))).otherwise(F.col(c)) for c in columns})
+    """Ids with their database's path before them, so that rows of several databases go through one plan; written, as
+    the ids are read many times."""
+    return written(rows.withColumns({c: F.when(F.trim(c) != "", F.concat("path", F.lit(MARK), F.col(c))).otherwise(F.col(c)) for c in columns}), "ids")
 
 
 def plain_id(c: str | Column) -> Column:
