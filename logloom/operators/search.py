@@ -6,8 +6,12 @@ are one row.  Order is total: ties end with the id."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +47,40 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.groupBy("field", "term", "id", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))  # of one document
 
 
+#: Terms whose places are worked out together, unless one document has more.
+TERMS = 1 << 19
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different term of the lists (id, field, terms), by one stable sort of (row, term)."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype="i8")
+        begin = 0
+        while begin < len(ends):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TERMS, "right")))
+            part = batch.slice(begin, stop - begin)
+            sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+            coded = part.column(2).flatten().dictionary_encode()
+            codes, row = coded.indices.to_numpy().astype("i8"), np.repeat(np.arange(len(sizes)), sizes)
+            key = row * len(coded.dictionary) + codes
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            own, edges = order[first], np.append(first, len(order)).astype("i4")
+            places = pa.ListArray.from_arrays(pa.array(edges), pa.array((order - (np.cumsum(sizes) - sizes)[row[order]]).astype("i4")))
+            at = pa.array(row[own])
+            columns = [part.column(1).take(at), coded.dictionary.take(pa.array(codes[own])), part.column(0).take(at), pa.array(sizes[row[own]].astype("i4")), pa.array(np.diff(edges).astype("i8")), places]
+            yield pa.RecordBatch.from_arrays(columns, names=["field", "term", "id", "length", "tf", "positions"])
+            begin = stop
+
+
+def all_postings(docs: DataFrame) -> DataFrame:
+    """As ``postings``, where every term is wanted: a document's terms are in its row, so they are brought together there."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), text.terms(F.coalesce(f, F.lit(""))).alias("terms")) for f in FIELDS])
+    rows = docs.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.terms").where(F.size("terms") > 0)
+    return rows.mapInArrow(_placed, f"field string, term string, id {docs.schema['id'].dataType.simpleString()}, length int, tf long, positions array<int>")
+
+
 def lengths(docs: DataFrame) -> DataFrame:
     """Per field: documents n, and the mean length avg."""
     sizes = [F.struct(F.lit(f).alias("field"), F.size(text.terms(F.coalesce(f, F.lit("")))).alias("length")) for f in FIELDS]

@@ -349,7 +349,7 @@ class Store:
 
     @staticmethod
     def _postings(docs: DataFrame) -> DataFrame:
-        return search.postings(docs).repartitionByRange("term").sortWithinPartitions("term")  # so that a term's rows are found by their statistics
+        return search.all_postings(docs).repartition("term").sortWithinPartitions("term")  # so that a term's rows are found by the statistics of pages
 
     def refresh_index(self) -> int:
         """Search rows and postings of conversations that have none yet; rows of changed and deleted ones are dead already.

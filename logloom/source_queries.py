@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import usage as U
 from .operators.store import Store, titles
-from .plans.steps import lookup, shared_dir, written
+from .plans.steps import dropped, lookup, shared_dir, written
 from .queries import _read, register
 from .sources import database, hermes, lines as L, opencode, roots
 
@@ -376,24 +376,28 @@ def copied_sessions(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- the store
-def _scanned(spark, sf_dir, changed: bool) -> DataFrame:
-    """The conversations as scanned records; of the changed ones the last turn is left out."""
+def _scanned(spark, sf_dir) -> DataFrame:
+    """The conversations as scanned records."""
     rows = _message_lines(spark, sf_dir)
     files = rows.groupBy("path").agg(F.lit(0).cast("long").alias("mtime"), F.sum(F.length("line")).alias("length"))
-    found = L.records(L.message_lines(rows), files, "claude_code", 3)
+    return written(L.records(L.message_lines(rows), files, "claude_code", 3), "scan")
+
+
+def _changed(found: DataFrame) -> DataFrame:
+    """A later scan: of every third conversation the last turn is left out."""
     n = F.expr("CAST(substring(external_id, 2) AS BIGINT)")
-    if changed:
-        short = (n % 3 == 0) & (F.size("messages") > 1)
-        found = found.withColumns({"source_fingerprint": F.when(short, F.concat("source_fingerprint", F.lit("+"))).otherwise(F.col("source_fingerprint")), "messages": F.when(short, F.slice("messages", 1, F.size("messages") - 1)).otherwise(F.col("messages"))})
-    return found
+    short = (n % 3 == 0) & (F.size("messages") > 1)
+    return found.withColumns({"source_fingerprint": F.when(short, F.concat("source_fingerprint", F.lit("+"))).otherwise(F.col("source_fingerprint")), "messages": F.when(short, F.slice("messages", 1, F.size("messages") - 1)).otherwise(F.col("messages"))})
 
 
 def _store(spark, sf_dir) -> Store:
     """A store of its own: all conversations, then an update of some and the deletion of others."""
     store = Store(spark, f"{shared_dir(spark)}/logloom-store-{uuid.uuid4().hex}")
-    store.upsert(_scanned(spark, sf_dir, False), 1000)
+    found = _scanned(spark, sf_dir)
+    store.upsert(found, 1000)
     store.rebuild_index()
-    store.upsert(_scanned(spark, sf_dir, True), 2000)
+    store.upsert(_changed(found), 2000)
+    dropped(found)
     there = store.table("conversations").where("CAST(substring(external_id, 2) AS BIGINT) % 10 <> 7").select("source_path", F.lit(True).alias("exists"))
     store.delete_missing(written(store.missing(there, ["claude_code"]), "missing"))
     store.refresh_index()
