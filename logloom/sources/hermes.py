@@ -19,6 +19,8 @@ _COUNTED = "api_call_count long, input_tokens long, output_tokens long, cache_re
 SESSIONS = f"id string, source string, model string, started_at double, ended_at double, title string, cwd string, git_repo_root string, parent_session_id string, {_COUNTED}, billing_provider string, billing_base_url string, billing_mode string, estimated_cost_usd double, actual_cost_usd double, cost_status string, cost_source string, pricing_version string"
 MESSAGES = "id long, session_id string, role string, content string, tool_calls string, tool_name string, timestamp double, active long, compacted long"
 MODEL_USAGE = f"session_id string, model string, billing_provider string, billing_base_url string, billing_mode string, task string, {_COUNTED}, estimated_cost_usd double, actual_cost_usd double, cost_status string, cost_source string, first_seen double, last_seen double"
+#: Sessions whose rest one task works out.
+SESSIONS_A_TASK = 1 << 17
 _TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
 
@@ -117,10 +119,12 @@ def model_usage(rows: DataFrame) -> DataFrame:
 def session_usage(rows: DataFrame, projected: DataFrame, times: DataFrame) -> DataFrame:
     """What each session's own counters hold beyond its ``projected`` rows; ``times`` has its bounds by external_id."""
     rows = with_columns(rows, SESSIONS)
+    # what a task holds of sessions and of their few rows does not grow with the tables
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SESSIONS_A_TASK))
     whole = rows.select(F.col("id").alias("conversation_id"), *[v.alias(k) for k, v in _common("hermes_session_residual_v1").items()], blank_null(F.col("pricing_version")).alias("pricing_version"), F.lit("session_aggregate").alias("usage_grain"), F.concat(F.lit("hermes-session-aggregate:"), plain_id("id")).alias("source_event_id"))
-    whole = whole.join(times.select(F.col("external_id").alias("conversation_id"), F.col("started_at").alias("interval_start"), F.col("ended_at").alias("interval_end")), "conversation_id")
+    whole = whole.repartition(parts, "conversation_id").join(times.select(F.col("external_id").alias("conversation_id"), F.col("started_at").alias("interval_start"), F.col("ended_at").alias("interval_end")), "conversation_id")
     whole = usage_frame(whole).where(has_usage())
-    left = session_rest(whole, projected)
+    left = session_rest(whole, projected.repartition(parts, "conversation_id"))
     left = left.withColumns({"request_attempts": F.col("api_calls"), "component_total_tokens": F.col("total_tokens"), "reported_total_tokens": F.lit(None).cast("long")})
     return usage_frame(left.select("conversation_id", *schema.USAGE_RECORD.names)).where(has_usage())
 
